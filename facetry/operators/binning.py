@@ -27,19 +27,19 @@ STATISTICS = ("count", "mean", "median", "sum", "min", "max")
 Limits = tuple[float | Column, float | Column]
 
 
-def limits_of(df: DataFrame, names: list[str], given: Mapping[str, Limits] | None = None) -> dict[str, Limits]:
-    """Lowest and highest value of each numeric column, all found in one pass; given ones are kept."""
-    found = dict(given or {})
-    missing = [n for n in dict.fromkeys(names) if n not in found]
-    if missing:
-        ends = []
-        for i, name in enumerate(missing):
-            value = F.when(drawable(df, name), column(name)).cast("double")
-            ends += [F.min(value).alias(f"low{i}"), F.max(value).alias(f"high{i}")]
-        one = df.agg(F.struct(*ends).alias("limits")).scalar()
-        for i, name in enumerate(missing):
-            found[name] = (one[f"low{i}"], one[f"high{i}"])
-    return {n: found[n] for n in names}
+def _ends(df: DataFrame, names: list[str]) -> Column:
+    """Lowest and highest drawable value of each column, found in one pass, as one scalar subquery."""
+    parts = []
+    for i, name in enumerate(names):
+        value = F.when(drawable(df, name), column(name)).cast("double")
+        parts += [F.min(value).alias(f"low{i}"), F.max(value).alias(f"high{i}")]
+    return df.agg(F.struct(*parts).alias("ends")).scalar()
+
+
+def limits_of(df: DataFrame, names: list[str]) -> dict[str, Limits]:
+    """Lowest and highest value of each numeric column."""
+    ends = _ends(df, names)
+    return {name: (ends[f"low{i}"], ends[f"high{i}"]) for i, name in enumerate(names)}
 
 
 def _double(value: float | Column) -> Column:
@@ -79,6 +79,39 @@ class Axis:
     width: Column
 
 
+@dataclass(frozen=True)
+class Axes:
+    """The axes of a view by role, and the limits that had to be computed for them.
+
+    Expressions of an axis read the limits from the column ``ENDS``, which ``attach`` adds, so that the
+    subquery stands once in each step of the plan however often its result is used.
+    """
+
+    by_role: dict[str, Axis]
+    ends: Column | None
+
+    ENDS = "_ends"
+
+    def __getitem__(self, role: str) -> Axis:
+        return self.by_role[role]
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        return df if self.ends is None else df.withColumn(self.ENDS, self.ends)
+
+    def place(self, df: DataFrame, *carried: Column) -> DataFrame:
+        """The bins of the rows that have a place on every axis, with the carried columns."""
+        placed = self.attach(df)
+        for axis in self.by_role.values():
+            placed = placed.where(axis.rows)
+        bins = [axis.bin.alias(f"{role}_bin") for role, axis in self.by_role.items()]
+        return placed.select(*bins, *carried)
+
+    def mark(self, cells: DataFrame) -> DataFrame:
+        """Cells with the centre or the category of their bins, as a column named by the role."""
+        marks = {role: axis.mark for role, axis in self.by_role.items()}
+        return self.attach(cells).withColumns(marks).drop(self.ENDS)
+
+
 def axes(
     df: DataFrame,
     names: Mapping[str, str],
@@ -86,22 +119,25 @@ def axes(
     limits: Mapping[str, Limits] | None = None,
     closed: str = "both",
     category_limit: int = CATEGORY_LIMIT,
-) -> dict[str, Axis]:
+) -> Axes:
     """The axes of a view; ``names`` maps a role such as ``x`` to a column."""
     if bins < 1:
         raise FacetryError("at least one bin is needed")
     if closed not in ("both", "left"):
         raise FacetryError(f"closed is 'both' or 'left', not {closed!r}")
-    numeric = [n for n in names.values() if not is_categorical(df, n)]
-    found = limits_of(df, numeric, {n: lim for n, lim in (limits or {}).items() if n in numeric})
+    given = dict(limits or {})
+    numeric = dict.fromkeys(n for n in names.values() if not is_categorical(df, n))
+    sought = [n for n in numeric if n not in given]
+    shared = F.col(Axes.ENDS)
+    ends = {n: (shared[f"low{i}"], shared[f"high{i}"]) for i, n in enumerate(sought)}
     result = {}
     for role, name in names.items():
         number = F.col(f"{role}_bin")
-        if name in found:
-            low, high = map(_double, found[name])
+        if name in numeric:
+            low, high = map(_double, given[name] if name in given else ends[name])
             value = column(name)
             rows = drawable(df, name)
-            if limits and name in limits:
+            if name in given:
                 rows = rows & (value >= low) & (value <= high)
             if closed == "left":
                 rows = rows & (value < high)
@@ -121,12 +157,12 @@ def axes(
                 F.get(labels, number),
                 F.lit(1.0),
             )
-    return result
+    return Axes(result, _ends(df, sought) if sought else None)
 
 
-def _grid(df: DataFrame, found: Mapping[str, Axis]) -> DataFrame:
+def _grid(df: DataFrame, found: Axes) -> DataFrame:
     """Every combination of bins, counted through without a join."""
-    sizes = [F.lit(a.bins) if isinstance(a.bins, int) else a.bins for a in found.values()]
+    sizes = [F.lit(a.bins) if isinstance(a.bins, int) else a.bins for a in found.by_role.values()]
     cells = sizes[0]
     for size in sizes[1:]:
         cells = cells * size
@@ -135,7 +171,7 @@ def _grid(df: DataFrame, found: Mapping[str, Axis]) -> DataFrame:
     one = df.sparkSession.range(1).select(F.explode(numbers).alias("cell"))
     below = F.lit(1)
     columns = []
-    for role, size in reversed(list(zip(found, sizes))):
+    for role, size in reversed(list(zip(found.by_role, sizes))):
         number = F.floor(F.col("cell") / below).cast("int") % size
         columns.append(number.cast("int").alias(f"{role}_bin"))
         below = below * size
@@ -156,22 +192,22 @@ def histogram(
     ``dense`` adds the empty bins with count 0.
     """
     found = axes(df, {"x": x}, bins, {x: limits} if limits else None, closed, category_limit)
-    counts = df.where(found["x"].rows).groupBy(found["x"].bin.alias("x_bin")).agg(F.count("*").alias("n"))
+    counts = found.place(df).groupBy("x_bin").agg(F.count("*").alias("n"))
     if dense:
         counts = _grid(df, found).join(counts, "x_bin", "left").fillna(0, subset=["n"])
-    return counts.select("x_bin", found["x"].mark.alias("x"), "n")
+    return found.mark(counts).select("x_bin", "x", "n")
 
 
 def histogram_edges(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS, limits: Limits | None = None) -> DataFrame:
     """The ``bins + 1`` edges of a numeric axis."""
-    found = limits_of(df, [x], {x: limits} if limits else None)[x]
+    found = limits or limits_of(df, [x])[x]
     numbers = df.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("i"))
     return numbers.select("i", bin_edge(F.col("i"), found, bins).alias("edge"))
 
 
 def histogram_centers(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS, limits: Limits | None = None) -> DataFrame:
     """The centres of the bins of a numeric axis."""
-    found = limits_of(df, [x], {x: limits} if limits else None)[x]
+    found = limits or limits_of(df, [x])[x]
     numbers = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("i"))
     return numbers.select("i", bin_center(F.col("i"), found, bins).alias("center"))
 
@@ -202,12 +238,9 @@ def heatmap(
     if value is not None and is_categorical(df, value):
         raise FacetryError(f"column {value!r} is categorical and has no {statistic}")
     found = axes(df, {"x": x, "y": y}, bins, limits, closed, category_limit)
-    ax, ay = found["x"], found["y"]
     keys = ["x_bin", "y_bin"]
     measured = F.lit(1) if value is None else present(df, value)
-    placed = df.where(ax.rows & ay.rows).select(
-        ax.bin.alias("x_bin"), ay.bin.alias("y_bin"), measured.alias("measured")
-    )
+    placed = found.place(df, measured.alias("measured"))
     if statistic == "median" and not approximate:
         medians = grouped_median(placed, keys, F.col("measured"), few_groups=_cells_bound(bins) <= MOST_CELLS)
         cells = medians.withColumnRenamed("median", "value")
@@ -216,7 +249,7 @@ def heatmap(
     cells = cells.withColumn("value", clean_cell(F.col("value"), log))
     if dense:
         cells = _grid(df, found).join(cells, keys, "left")
-    return cells.select(*keys, ax.mark.alias("x"), ay.mark.alias("y"), "value")
+    return found.mark(cells).select(*keys, "x", "y", "value")
 
 
 def _cells_bound(bins: int) -> int:
@@ -239,4 +272,5 @@ def clean_cell(value: Column, log: bool = False) -> Column:
 def cell_widths(df: DataFrame, x: str, y: str, bins: int = HEATMAP_BINS) -> DataFrame:
     """Width of a cell on both axes; a category is 1 wide."""
     found = axes(df, {"x": x, "y": y}, bins)
-    return df.sparkSession.range(1).select(found["x"].width.alias("x_width"), found["y"].width.alias("y_width"))
+    one = found.attach(df.sparkSession.range(1))
+    return one.select(found["x"].width.alias("x_width"), found["y"].width.alias("y_width"))

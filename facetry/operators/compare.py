@@ -35,11 +35,9 @@ def compare_subsets(
     if statistic != "count" and value is None:
         raise FacetryError(f"the {statistic} of which column?")
     found = axes(df, {"x": x, "y": y}, bins, limits)
-    ax, ay = found["x"], found["y"]
     members = {name: F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for name, c in subsets.items()}
-    placed = df.where(ax.rows & ay.rows).select(
-        ax.bin.alias("x_bin"),
-        ay.bin.alias("y_bin"),
+    placed = found.place(
+        df,
         *([] if value is None else [present(df, value).alias("measured")]),
         *[c.alias(f"in{i}") for i, c in enumerate(members.values())],
     )
@@ -55,11 +53,5 @@ def compare_subsets(
         for i, name in enumerate(members)
     ]
     long = cells.select("x_bin", "y_bin", F.inline(F.array(*rows))).where(F.col("n") > 0)
-    return long.select(
-        "subset",
-        "x_bin",
-        "y_bin",
-        ax.mark.alias("x"),
-        ay.mark.alias("y"),
-        clean_cell(F.col("value"), log).alias("value"),
-    )
+    cleaned = long.withColumn("value", clean_cell(F.col("value"), log))
+    return found.mark(cleaned).select("subset", "x_bin", "y_bin", "x", "y", "value")

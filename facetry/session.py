@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Recording the call site of every column costs more than building the column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANK = r"^\s+|\s+$"
+BLANK = " \t\r\n\v\f"
 NOT_INTEGERS = "failed to convert to integer identifiers"
 
 
@@ -16,7 +16,7 @@ def read_identifiers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, BLANK, "")
+    return F.btrim(line, F.lit(BLANK))
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:

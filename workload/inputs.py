@@ -7,6 +7,7 @@ from its key; ``customer`` in file order is the mapping table.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,9 @@ N_BYTES = 57
 N_BITS = N_BYTES * 8
 
 
+@lru_cache(maxsize=None)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table, opened once per session: its files are listed and its schema is read once."""
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
@@ -54,6 +57,7 @@ def lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem")
 
 
+@lru_cache(maxsize=None)
 def lineitem_catalog(spark: SparkSession, sf: str) -> Catalog:
     """``lineitem`` opened as the catalogue of a release; the folder of the tables is the release."""
     root, release = os.path.split(sf.rstrip("/"))
@@ -128,11 +132,13 @@ SELECT p_partkey FROM part WHERE p_partkey {known}IN (SELECT p_partkey FROM hits
 
 
 def order_list(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders")
-    dear = orders.where("o_totalprice > 400000").select(F.col("o_orderkey").cast("string").alias("value"))
-    urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("value"))
-    absent = orders.select((-F.col("o_orderkey") - 1).cast("string").alias("value"))
-    return dear.unionAll(urgent).unionAll(absent)
+    key = F.col("o_orderkey").cast("string")
+    lines = F.array(
+        F.when(F.col("o_totalprice") > 400000, key),
+        F.when(F.col("o_orderpriority") == "1-URGENT", key),
+        (-F.col("o_orderkey") - 1).cast("string"),
+    )
+    return table(spark, sf, "orders").select(F.explode(F.array_compact(lines)).alias("value"))
 
 
 ORDER_LIST_SQL = "SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 OR o_orderpriority = '1-URGENT'"
