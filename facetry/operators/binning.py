@@ -55,7 +55,7 @@ def bin_number(value: Column, limits: Limits, bins: int, closed: str = "both") -
     low, high = map(_double, limits)
     place = F.floor((value.cast("double") - low) / F.nullif(high - low, F.lit(0.0)) * bins)
     if closed == "both":
-        place = F.least(place, F.lit(bins - 1))
+        place = F.when(place < bins, place).when(place.isNotNull(), F.lit(bins - 1))
     return F.coalesce(place, F.lit(0)).cast("int")
 
 

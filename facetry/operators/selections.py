@@ -59,14 +59,13 @@ def select_points(df: DataFrame, x: str, y: str, points: DataFrame, mode: str =
     """
     if mode not in POINT_MODES:
         raise FacetryError(f"mode is one of {', '.join(POINT_MODES)}, not {mode!r}")
-    kept = points.select(F.col("x").alias("_x"), F.col("y").alias("_y"))
-    for side, name in (("_x", x), ("_y", y)):
-        if is_float(kept.schema[side].dataType):
-            kept = kept.where(~F.isnan(side))
+    for side in ("x", "y"):
+        points = points.where(F.col(side).isNotNull())
+        if is_float(points.schema[side].dataType):
+            points = points.where(~F.isnan(side))
     if mode == "independent":
-        return column(x).isin(kept.select("_x").distinct()) & column(y).isin(kept.select("_y").distinct())
-    same = (F.col("_x") == column(x).outer()) & (F.col("_y") == column(y).outer())
-    return kept.distinct().where(same).exists()
+        return column(x).isin(points.select("x").distinct()) & column(y).isin(points.select("y").distinct())
+    return F.struct(column(x), column(y)).isin(points.select("x", "y").distinct())
 
 
 def viewport(

@@ -9,11 +9,10 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetry.errors import EmptySubsetError, FacetryError
+from facetry.errors import EmptySubsetError
 from facetry.functions.missing import column
 from facetry.plans.subset import SubsetSpec
 from facetry.sources.catalog import Catalog
@@ -89,7 +88,7 @@ def export_batch(
     def run(uid: str, spec: SubsetSpec) -> tuple:
         try:
             path, n_rows = export_subset(catalog, spec, f"{folder.rstrip('/')}/{uid}")
-        except (FacetryError, PySparkException) as error:
+        except Exception as error:  # whatever ends one job must not end the others
             return uid, spec.name, FAILED, str(error).splitlines()[0], None, None
         return uid, spec.name, COMPLETE, "", path, n_rows
 
