@@ -6,8 +6,8 @@ the condition an IN subquery: a semi join that Spark broadcasts or shuffles by t
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetry.errors import FacetryError
@@ -39,10 +39,8 @@ def crossmatch_condition(
     values = text_identifiers(identifiers, dtype)
     if len(values) <= MOST_LITERALS:
         return column(name).isin(values)
-    session_type = T.StringType() if isinstance(dtype, T.StringType) else T.LongType()
-    listed = df.sparkSession.createDataFrame(
-        [(v,) for v in values], T.StructType([T.StructField("id", session_type)])
-    )
+    # An Arrow table becomes a local relation, whose size Spark knows when it chooses the join.
+    listed = df.sparkSession.createDataFrame(pa.table({"id": values}))
     return column(name).isin(listed)
 
 
