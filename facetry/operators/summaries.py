@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetry.errors import FacetryError
+from facetry.errors import EmptySubsetError, FacetryError
 from facetry.functions.missing import column, is_categorical, is_missing, present, type_of
 from facetry.operators.categories import CATEGORY_LIMIT
 
@@ -17,6 +17,20 @@ def subset_count(df: DataFrame, condition: Column | None = None) -> DataFrame:
     return rows.agg(F.count("*").alias("n"))
 
 
+def require_rows(df: DataFrame) -> DataFrame:
+    """``df`` itself; no rows is an error.  Reads no more than the first row."""
+    if df.isEmpty():
+        raise EmptySubsetError("the subset has no rows")
+    return df
+
+
+def require_values(cells: DataFrame, name: str = "value") -> DataFrame:
+    """The cells of a view; when all of them are missing there is nothing to draw, which is an error."""
+    if cells.where(column(name).isNotNull()).isEmpty():
+        raise EmptySubsetError("all values of the view are missing")
+    return cells
+
+
 def subset_progress(df: DataFrame, condition: Column) -> DataFrame:
     """Filtered rows, all rows and the share in percent, in one pass."""
     counts = df.agg(F.count_if(condition).alias("filtered"), F.count("*").alias("total"))

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from facetry.functions.missing import column
+from facetry.functions.missing import column, type_of
+from facetry.operators.binning import bin_number
 
 # Seed of the shuffle, rows of a page, points of a scatter view.
 SHUFFLE_SEED = 42
@@ -15,6 +17,10 @@ PAGE_ROWS = 10
 SCATTER_POINTS = 10_000
 
 BUCKET_DIGITS = 3
+# Pages that end within the first rows are read directly; others from a range of the key.
+FEW_ROWS = 100
+RANGE_ROWS = 1_000_000
+KEY_PARTS = 4096
 
 
 def shuffle_key(key: Sequence[str | Column], seed: int = SHUFFLE_SEED) -> Column:
@@ -72,15 +78,44 @@ def page(
 ) -> DataFrame:
     """One page of a table in the order of a unique key, from page 0, with the row number.
 
-    Each task keeps no more rows than lie before the end of the page.  To read on through a long table,
-    use ``page_after``, which skips nothing.
+    To show a page, each task hands all rows before its end to one other task.  That is cheap for the
+    first pages; for a later one the range of the key in which it lies is found first.
     """
     skipped = number * rows
-    shown = df.orderBy(*map(column, key)).offset(skipped).limit(rows)
+    source, before = df, 0
+    if skipped + rows > FEW_ROWS and isinstance(type_of(df, key[0]), T.IntegralType):
+        source, before = _key_range(df, key[0], skipped, rows)
+    shown = source.orderBy(*map(column, key)).offset(skipped - before).limit(rows)
     counted = shown.withColumn("row", F.row_number().over(Window.orderBy(*map(column, key))) + skipped - 1)
     return counted.select("row", *map(column, columns or df.columns))
 
 
+def _key_range(df: DataFrame, key: str, skipped: int, rows: int) -> tuple[DataFrame, int]:
+    """The rows in a range of the key that holds the page, and the number of rows before the range.
+
+    Counts the rows in equal parts of the range, keeps the parts the page touches, and goes on inside
+    them until few rows are left or the parts no longer tell them apart.
+    """
+    value = column(key)
+    source, before, total = df, 0, None
+    while total is None or total > RANGE_ROWS:
+        low, high = source.agg(F.min(value), F.max(value)).first()
+        if low is None or low == high:
+            break
+        part = F.coalesce(bin_number(value, (low, high), KEY_PARTS), F.lit(-1))
+        part = F.when(value.isNull(), F.lit(-1)).otherwise(part)
+        upto = F.sum("n").over(Window.orderBy("part"))
+        parts = source.groupBy(part.alias("part")).agg(F.count("*").alias("n")).withColumn("upto", upto)
+        touched = parts.where((F.col("upto") > skipped - before) & (F.col("upto") - F.col("n") < skipped - before + rows))
+        first, last, left_out, kept = touched.agg(
+            F.min("part"), F.max("part"), F.min(F.col("upto") - F.col("n")), F.sum("n")
+        ).first()
+        if first is None or kept == total:
+            break
+        source, before, total = source.where(part.between(first, last)), before + left_out, kept
+    return source, before
+
+
 def page_after(
     df: DataFrame, key: str, last: int | str, rows: int = PAGE_ROWS, columns: Sequence[str] | None = None
 ) -> DataFrame:

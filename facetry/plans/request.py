@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 
 from facetry.operators.crossfilter import CrossFilter
@@ -23,3 +25,11 @@ def run_request(
     if selections is not None:
         rows = selections.frame_for(rows, view_key)
     return view.compile(rows, catalog.profile)
+
+
+def run_params(catalog: Catalog, params: Mapping[str, str]) -> DataFrame:
+    """The view of a subset that the texts of one request ask for, after a check of all names."""
+    subset, view = SubsetSpec.from_params(params), ViewSpec.from_params(params)
+    subset.check(catalog)
+    rows = subset.compile(catalog)
+    return view.fitted(rows.columns, catalog.profile).compile(rows, catalog.profile)

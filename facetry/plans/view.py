@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field, replace
+from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame
 
@@ -14,6 +14,18 @@ from facetry.operators.summaries import describe
 from facetry.operators.tables import PAGE_ROWS, page, scatter_points
 from facetry.profile import CatalogProfile
 
+# Names of the request parameters that are called differently here.
+REQUEST_NAMES = {
+    "plottype": "kind",
+    "bintype": "statistic",
+    "nbins": "bins",
+    "logx": "log_x",
+    "logy": "log_y",
+    "logcolor": "log_color",
+    "flipx": "flip_x",
+    "flipy": "flip_y",
+}
+TOGGLES = ("log_x", "log_y", "log_color", "flip_x", "flip_y", "dense")
 KINDS = ("histogram", "heatmap", "scatter", "stats", "targets")
 
 
@@ -42,6 +54,25 @@ class ViewSpec:
         if self.kind not in KINDS:
             raise FacetryError(f"a view is one of {', '.join(KINDS)}, not {self.kind!r}")
 
+    @staticmethod
+    def from_params(params: Mapping[str, str]) -> ViewSpec:
+        """A view from the texts of a request; other parameters are left alone."""
+        known = {f.name for f in fields(ViewSpec)} - {"limits"}
+        values: dict = {}
+        for key, value in params.items():
+            name = REQUEST_NAMES.get(key, key)
+            if name in TOGGLES:
+                values[name] = str(value).lower() == "true"
+            elif name in ("bins", "page", "page_rows"):
+                values[name] = int(value)
+            elif name == "columns":
+                values[name] = tuple(part.strip() for part in value.split(",") if part.strip())
+            elif name in known:
+                values[name] = value
+        if "kind" not in values:
+            raise FacetryError("the request names no view")
+        return ViewSpec(**values)
+
     def to_json(self) -> str:
         return json.dumps(asdict(self))
 

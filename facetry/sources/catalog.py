@@ -14,6 +14,7 @@ from pyspark.storagelevel import StorageLevel
 from facetry.errors import CatalogError
 from facetry.functions.missing import column, is_missing
 from facetry.profile import CatalogProfile
+from facetry.workspace import new_folder
 
 
 @dataclass(frozen=True)
@@ -95,6 +96,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back: a slice that no lost executor takes along."""
+    path = new_folder(df.sparkSession, "slice")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stack(products: Mapping[str, DataFrame], pipeline: str) -> DataFrame:
     """One table of the summary tables of all pipelines; columns a pipeline lacks are NULL."""
     named = [df.withColumn(pipeline, F.lit(name)) for name, df in products.items()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from facetry.errors import EmptySubsetError
 from facetry.functions.missing import column
 from facetry.plans.subset import SubsetSpec
-from facetry.sources.catalog import Catalog
+from facetry.sources.catalog import Catalog, keep
 
 # Rows of one chunk (a Parquet row group), states of a job.
 CHUNK_ROWS = 60_000
@@ -35,8 +36,9 @@ def write_subset(rows: DataFrame, path: str, chunk_rows: int = CHUNK_ROWS) -> in
     """Write rows in chunks and return how many a reader will find; no rows is an error.
 
     The count comes from the footers of the written files, so the subset is computed once only.
+    Rebalancing gives files of an even size: a selective subset would else leave one small file per task.
     """
-    rows.write.option("parquet.block.row.count.limit", chunk_rows).parquet(path)
+    rows.hint("rebalance").write.option("parquet.block.row.count.limit", chunk_rows).parquet(path)
     written = rows.sparkSession.read.schema(rows.schema).parquet(path).count()
     if written == 0:
         raise EmptySubsetError("the subset has no rows to export")
@@ -76,11 +78,18 @@ class Manifest:
 
 
 def export_batch(
-    catalog: Catalog, specs: Sequence[SubsetSpec], folder: str, manifest: Manifest, workers: int = 2
+    catalog: Catalog,
+    specs: Sequence[SubsetSpec],
+    folder: str,
+    manifest: Manifest,
+    workers: int = 2,
+    keep_slices: bool = False,
 ) -> list[str]:
     """Export several subsets; one that fails does not stop the rest.  Returns the job ids.
 
     Jobs run side by side on the session, so that a small export fills the slots a large one leaves.
+    ``keep_slices`` holds each dataset that several exports need until the batch is done; without it
+    every export reads the columns and partitions it needs, which is better for slices of many columns.
     """
     jobs = {uuid.uuid4().hex: spec.with_defaults(catalog.profile, catalog.datatype) for spec in specs}
     manifest.append([(uid, s.name, IN_PROGRESS, "", None, None) for uid, s in jobs.items()])
@@ -92,8 +101,12 @@ def export_batch(
             return uid, spec.name, FAILED, str(error).splitlines()[0], None, None
         return uid, spec.name, COMPLETE, "", path, n_rows
 
+    uses = Counter(spec.dataset for spec in jobs.values())
+    kept = [keep(catalog.slice(d)) for d, n in uses.items() if n > 1] if keep_slices else []
     target = inheritable_thread_target(catalog.table.sparkSession)(run)
     with ThreadPoolExecutor(max_workers=workers) as pool:
         for done in [pool.submit(target, uid, spec) for uid, spec in jobs.items()]:
             manifest.append([done.result()])
+    for held in kept:
+        held.unpersist()
     return list(jobs)

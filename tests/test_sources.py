@@ -14,6 +14,7 @@ from facetry.sources.catalog import (
     CatalogPaths,
     build_allowed_columns,
     keep,
+    materialise,
     open_catalog,
     stack,
     write_catalog,
@@ -127,6 +128,20 @@ def test_keep(stars):
     kept.unpersist()
 
 
+def test_materialise(spark, stars):
+    written = materialise(stars.where("ra > 10"))
+    assert written.schema == stars.schema and written.count() == 29
+    assert spark.conf.get(CHECKPOINT_DIR) in written.inputFiles()[0]
+
+
+def test_batch_with_kept_slices(spark, catalog, tmp_path):
+    manifest = Manifest(spark, str(tmp_path / "manifest"))
+    specs = [SubsetSpec(name=n, dataset="aspcap", flags=(), expression=e) for n, e in (("a", "ra > 100"), ("b", ""))]
+    export_batch(catalog, specs, str(tmp_path / "out"), manifest, keep_slices=True)
+    assert {r["name"]: r["n_rows"] for r in manifest.read().collect()} == {"a": 7, "b": 10}
+    assert not catalog.slice("aspcap").storageLevel.useMemory
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_root(spark) == spark.conf.get(CHECKPOINT_DIR)
     assert new_folder(spark, "x").startswith(spark.conf.get(CHECKPOINT_DIR) + "/facetry/x-")

@@ -5,9 +5,9 @@ import statistics
 import pytest
 from conftest import close
 
-from facetry.errors import FacetryError
+from facetry.errors import EmptySubsetError, FacetryError
 from facetry.functions.expressions import condition
-from facetry.operators import ranges
+from facetry.operators import ranges, tables
 from facetry.operators.binning import cell_widths, heatmap, histogram, histogram_centers, histogram_edges, limits_of
 from facetry.operators.categories import category_codes, category_guard, with_codes
 from facetry.operators.compare import compare_subsets
@@ -19,13 +19,15 @@ from facetry.operators.summaries import (
     distinct_count,
     minmax,
     pivot_counts,
+    require_rows,
+    require_values,
     subset_count,
     subset_progress,
     unique_values,
     value_counts,
 )
 from facetry.operators.tables import page, page_after, scatter_points, seeded_sample, seeded_shuffle
-from facetry.plans.request import run_request
+from facetry.plans.request import run_params, run_request
 from facetry.plans.subset import SubsetSpec
 from facetry.plans.view import ViewSpec
 from facetry.profile import TARGET_ID, CatalogProfile
@@ -387,6 +389,24 @@ def test_scatter(stars):
     assert len(rows) == 30 and sum(r["color"] is None for r in rows) == 16
 
 
+@pytest.mark.parametrize("spread", ["even", "uneven", "copies"])
+def test_deep_pages(spark, spread, monkeypatch):
+    monkeypatch.setattr(tables, "FEW_ROWS", 5)
+    monkeypatch.setattr(tables, "RANGE_ROWS", 3)
+    monkeypatch.setattr(tables, "KEY_PARTS", 8)
+    keys = {
+        "even": [(i, 0) for i in range(200)],
+        "uneven": [(int(1.25**i), i) for i in range(100)] + [(2**62 + i, i) for i in range(10)],
+        "copies": [(5, i) for i in range(50)] + [(i, 0) for i in range(30)] + [(None, i) for i in range(9)],
+    }[spread]
+    df = spark.createDataFrame(keys, "k bigint, m int").repartition(3)
+    order = sorted(keys, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for number in (0, 1, 3, 7, 11, len(keys) // 7, len(keys)):
+        found = [tuple(r) for r in page(df, ["k", "m"], number, 7).collect()]
+        start = number * 7
+        assert found == [(start + i, *r) for i, r in enumerate(order[start : start + 7])], number
+
+
 def test_pages(stars):
     def shown(number):
         return [tuple(r) for r in page(stars, ["ra"], number, 12, ["ra"]).collect()]
@@ -438,6 +458,36 @@ def test_requests(catalog):
     assert {r["ra"] > 100 for r in shown.collect()} == {True}
 
 
+def test_request_texts(catalog):
+    params = {
+        "plottype": "histogram",
+        "x": "ra",
+        "nbins": "5",
+        "flipx": "True",
+        "dataset": "spall",
+        "expression": "ra.gt.1".replace(".gt.", " > ") + ".and.release.eq.'sdss5'",
+    }
+    view = ViewSpec.from_params(params)
+    assert (view.kind, view.bins, view.flip_x, view.log_x) == ("histogram", 5, True, False)
+    found = run_params(catalog, params)
+    expected = catalog.table.where("pipeline = 'spall' and ra > 1 and release = 'sdss5'").count()
+    assert sum(r["n"] for r in found.collect()) == expected > 0
+    with pytest.raises(FacetryError, match="names no view"):
+        run_params(catalog, {"dataset": "spall"})
+    with pytest.raises(FacetryError, match="unknown dataset"):
+        run_params(catalog, {**params, "dataset": "sqall"})
+
+
+def test_nothing_to_draw(stars):
+    assert require_rows(stars) is stars
+    with pytest.raises(EmptySubsetError):
+        require_rows(stars.where("ra < 0"))
+    cells = heatmap(stars, "ra", "dec", "logg", bins=2)
+    assert require_values(cells) is cells
+    with pytest.raises(EmptySubsetError):
+        require_values(heatmap(stars.withColumn("none", F.lit(float("nan"))), "ra", "dec", "none", bins=2))
+
+
 def test_describe_over_subset_with_view(catalog):
     found = run_request(catalog, SubsetSpec(dataset="spall"), ViewSpec("stats", columns=("snr",)))
     assert found.first()["count"] == 5
