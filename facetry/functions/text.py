@@ -8,8 +8,8 @@ from itertools import permutations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Case is ignored for all letters, and only a line feed ends a line.
-FLAGS = "(?iud)"
+# Case is ignored for all letters, only a line feed ends a line, and ^ is the start of each line.
+FLAGS = "(?iudm)"
 MOST_ORDERS = 5
 
 
@@ -23,16 +23,21 @@ def any_order_pattern(words: list[str]) -> str:
     return "|".join("(" + ".*".join(f"({w})" for w in order) + ")" for order in permutations(escaped))
 
 
-def has_words(text: Column, query: str) -> Column:
-    """True where one line of the text holds every word of the query, in any order and any case.
+def search_pattern(query: str) -> str | None:
+    """The pattern of lines that hold every word of a query, in any order; ``None`` for an empty query.
 
     The number of orders grows with the factorial of the number of words.  From six words on, each
     word is looked for by itself in the same line; words may then overlap.
     """
     words = words_of(query)
     if not words:
-        return F.lit(False)
+        return None
     if len(words) <= MOST_ORDERS:
-        return text.rlike(FLAGS + any_order_pattern(words))
-    ahead = "".join(f"(?=.*{re.escape(w)})" for w in words)
-    return text.rlike(FLAGS.replace(")", "m)") + "^" + ahead)
+        return any_order_pattern(words)
+    return "^" + "".join(f"(?=.*{re.escape(w)})" for w in words)
+
+
+def has_words(text: Column, query: str) -> Column:
+    """True where one line of the text holds every word of the query, in any case."""
+    pattern = search_pattern(query)
+    return F.lit(False) if pattern is None else text.rlike(FLAGS + pattern)

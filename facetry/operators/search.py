@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from facetry.errors import FacetryError
 from facetry.functions.missing import column
-from facetry.functions.text import has_words
+from facetry.functions.text import has_words, search_pattern
 
 # Fixed value: hits of the glossary shown at once.
 GLOSSARY_HITS = 20
@@ -20,6 +21,12 @@ def fuzzy_search(df: DataFrame, query: str, name: str) -> DataFrame:
     return df.where(has_words(column(name), query))
 
 
+def matching_names(names: Iterable[str], query: str) -> list[str]:
+    """The names of a short list that hold all words of the query."""
+    pattern = search_pattern(query)
+    return [n for n in names if pattern and re.search(pattern, n, re.IGNORECASE | re.MULTILINE)]
+
+
 def glossary_search(df: DataFrame, query: str, names: Sequence[str] = ("name", "description")) -> DataFrame:
     """Rows where one of the columns holds all words; an empty query finds every row."""
     if not query.strip():

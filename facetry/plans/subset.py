@@ -145,6 +145,14 @@ class SubsetCollection:
 
     subsets: tuple[tuple[str, SubsetSpec], ...] = ()
 
+    def to_json(self) -> str:
+        return json.dumps({key: json.loads(spec.to_json()) for key, spec in self.subsets})
+
+    @staticmethod
+    def from_json(text: str) -> SubsetCollection:
+        specs = json.loads(text)
+        return SubsetCollection(tuple((key, SubsetSpec.from_json(json.dumps(s))) for key, s in specs.items()))
+
     def get(self, key: str) -> SubsetSpec:
         return dict(self.subsets)[key]
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetry.profile import DEFAULT_RELEASE
 from facetry.sources.catalog import Catalog, CatalogPaths
 from facetry.sources.mapping import read_mapping
 
@@ -45,6 +46,10 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     return _read_object(spark, path, GLOSSARY_TYPE).select("item.*")
 
 
+def open_glossary(spark: SparkSession, paths: CatalogPaths, release: str = DEFAULT_RELEASE) -> DataFrame:
+    return read_glossary(spark, paths.path("glossary", release))
+
+
 def write_glossary(glossary: DataFrame, path: str) -> None:
     entry = F.struct("name", "description", "type", "unit")
     _write_object(glossary.select(F.col("name").alias("key"), entry.alias("item")), path)

@@ -9,10 +9,17 @@ for path in (ROOT, os.path.join(ROOT, "tests")):
     if path not in sys.path:
         sys.path.insert(0, path)
 
-from facetry.profile import TARGET_FLAGS_COLUMN, TARGET_ID  # noqa: E402
+from facetry.profile import (  # noqa: E402
+    IDENTIFIER_COLUMNS,
+    SURVEY,
+    TARGET_FLAGS_COLUMN,
+    TARGET_ID,
+    TEXT_IDENTIFIER,
+)
 from facetry.session import get_session  # noqa: E402
 from facetry.sources.catalog import Catalog  # noqa: E402
 
+TEXT_ID = IDENTIFIER_COLUMNS[TEXT_IDENTIFIER]
 SF = "/root/testdata/sf0.001"
 NAN = float("nan")
 N_BYTES = 57
@@ -40,7 +47,7 @@ def flag_bytes(*bits):
 
 
 CATALOG_SCHEMA = (
-    f"pipeline string, {TARGET_ID} bigint, gaia_dr3_source_id bigint, sdss4_apogee_id string, tic_v8_id bigint, "
+    f"pipeline string, {TARGET_ID} bigint, gaia_dr3_source_id bigint, {TEXT_ID} string, tic_v8_id bigint, "
     "release string, telescope string, ra double, dec double, plx double, g_mag float, snr float, teff float, "
     "logg float, result_flags int, flag_bad int, zwarning_flags int, good boolean, same double, "
     f"{TARGET_FLAGS_COLUMN} array<smallint>"
@@ -58,9 +65,9 @@ def catalog_rows():
                 "pipeline": ["mwmlite", "spall", "aspcap"][i % 3],
                 TARGET_ID: 100 + i // 3,
                 "gaia_dr3_source_id": 4_611_686_018_427_387_904 + i,
-                "sdss4_apogee_id": f"2M{i:08d}",
+                TEXT_ID: f"2M{i:08d}",
                 "tic_v8_id": i if i % 4 else None,
-                "release": ["sdss5", "old one", "sdss4"][i % 3 if i < 15 else 0],
+                "release": [SURVEY, "old one", "other"][i % 3 if i < 15 else 0],
                 "telescope": ["apo25m", "lco25m"][i % 2],
                 "ra": i * 12.0,
                 "dec": -90.0 + 6.2 * i,

@@ -6,6 +6,7 @@ from conftest import close
 from facetry.errors import ExpressionError, FacetryError
 from facetry.functions.expressions import condition, expand_spellings, formula, formula_names
 from facetry.functions.text import any_order_pattern, has_words
+from facetry.operators.search import matching_names
 from facetry.operators.computed import ComputedColumns
 from facetry.profile import TARGET_ID
 from pyspark.sql import functions as F
@@ -197,6 +198,7 @@ def test_fuzzy(spark, query, hits):
     texts = ["", "foo and bar", "xbarxfoox", "foo\nbar", "a.c", "une étoile", "six five four three two one", "abc"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     assert {r["i"] for r in df.where(has_words(F.col("t"), query)).collect()} == hits
+    assert set(map(texts.index, matching_names(texts, query))) == hits
 
 
 def test_pattern_of_two_words():

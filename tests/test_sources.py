@@ -23,6 +23,7 @@ from facetry.sources.exports import Manifest, export_batch, export_name, export_
 from facetry.sources.mapping import read_mapping
 from facetry.sources.metadata import (
     build_glossary,
+    open_glossary,
     read_allowed_columns,
     read_glossary,
     with_metadata,
@@ -120,6 +121,9 @@ def test_glossary(spark, tmp_path):
     path = str(tmp_path / "glossary")
     write_glossary(built, path)
     assert {tuple(r) for r in read_glossary(spark, path).collect()} == expected
+    paths = CatalogPaths(str(tmp_path), glossary="{root}/{release}")
+    write_glossary(built, paths.path("glossary", "DR19"))
+    assert {tuple(r) for r in open_glossary(spark, paths).collect()} == expected
 
 
 def test_keep(stars):

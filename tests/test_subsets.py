@@ -1,7 +1,7 @@
 import itertools
 
 import pytest
-from conftest import NAMES, CATALOG_SCHEMA
+from conftest import CATALOG_SCHEMA, NAMES, TEXT_ID
 
 from facetry.errors import CatalogError, FacetryError
 from facetry.operators.crossfilter import CrossFilter
@@ -10,7 +10,7 @@ from facetry.operators.quickflags import flag_condition
 from facetry.operators.search import glossary_search, hit_counts, require_known, unknown_names
 from facetry.operators.targeting import byte_masks, carries_bits, selected_bits, target_condition
 from facetry.plans.subset import SubsetCollection, SubsetSpec
-from facetry.profile import TARGET_FLAGS_COLUMN, CatalogProfile
+from facetry.profile import SURVEY, SURVEY_ONLY, TARGET_FLAGS_COLUMN, TEXT_IDENTIFIER, CatalogProfile
 from facetry.sources.identifiers import parse_identifiers, read_identifiers
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -137,8 +137,8 @@ def test_crossmatch_text(stars, rows):
     wanted = [rows[3]["gaia_dr3_source_id"], rows[8]["gaia_dr3_source_id"]]
     text = f"\n {wanted[0]} \n\n{wanted[1]}\n{wanted[1]}\n12\n"
     assert ids(stars.where(crossmatch_condition(stars, text, "gaia_dr3", "aspcap", PROFILE))) == wanted
-    names = crossmatch_condition(stars, "2M00000004\n2M00000005", "sdss4_apogee", "aspcap", PROFILE)
-    assert ids(stars.where(names)) == ids_of(rows, lambda r: r["sdss4_apogee_id"] in ("2M00000004", "2M00000005"))
+    names = crossmatch_condition(stars, "2M00000004\n2M00000005", TEXT_IDENTIFIER, "aspcap", PROFILE)
+    assert ids(stars.where(names)) == ids_of(rows, lambda r: r[TEXT_ID] in ("2M00000004", "2M00000005"))
 
 
 def test_long_list_equals_short_list(stars, rows):
@@ -181,13 +181,13 @@ EXPRESSIONS = {
 }
 CARTONS = ([], ["carton_3"], ["carton_1", "carton_16"])
 MAPPERS = ([], ["mwm"], ["mwm", "bhm"])
-FLAGS = ((), (FLAGGED,), (FLAGGED, "sdss5 only"))
+FLAGS = ((), (FLAGGED,), (FLAGGED, SURVEY_ONLY))
 GRID = list(itertools.product(["spall", "aspcap", "best"], EXPRESSIONS, CARTONS, MAPPERS, FLAGS))
 
 
 def flag_holds(row, flag, dataset):
-    if flag == "sdss5 only":
-        return row["release"] == "sdss5"
+    if flag == SURVEY_ONLY:
+        return row["release"] == SURVEY
     if dataset == "mwmlite":
         return True
     return (row["zwarning_flags"] if dataset == "spall" else row["result_flags"]) == 0
@@ -252,7 +252,7 @@ def test_spec_survives_json(catalog):
         mappers=("mwm",),
         combine="OR",
         crossmatch="1\n2",
-        crossmatch_type="sdss5",
+        crossmatch_type=SURVEY,
         computed=(("unit", "ra / 10"),),
         invert=True,
         target_mode="bytewise",
@@ -293,6 +293,7 @@ def test_collection():
     assert some.names == ["A", "copy of A", "copy of copy of A"]
     assert some.rename("s1", "B").get("s1").name == "B"
     assert some.update("s0", expression="ra > 1").get("s0").expression == "ra > 1"
+    assert SubsetCollection.from_json(some.to_json()) == some
     assert some.remove("s1").names == ["A", "copy of copy of A"]
     for wrong in (lambda: some.add("s3", SubsetSpec()), lambda: some.rename("s1", ""), lambda: some.rename("s1", "A")):
         with pytest.raises(FacetryError):

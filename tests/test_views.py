@@ -3,7 +3,7 @@ import random
 import statistics
 
 import pytest
-from conftest import close
+from conftest import TEXT_ID, close
 
 from facetry.errors import EmptySubsetError, FacetryError
 from facetry.functions.expressions import condition
@@ -30,7 +30,7 @@ from facetry.operators.tables import page, page_after, scatter_points, seeded_sa
 from facetry.plans.request import run_params, run_request
 from facetry.plans.subset import SubsetSpec
 from facetry.plans.view import ViewSpec
-from facetry.profile import TARGET_ID, CatalogProfile
+from facetry.profile import SURVEY, TARGET_ID, CatalogProfile
 from pyspark.sql import functions as F
 
 INF = float("inf")
@@ -222,10 +222,10 @@ def test_codes(points):
 
 def test_too_many_categories(stars):
     with pytest.raises(Exception, match="10 or more categories"):
-        histogram(stars, "sdss4_apogee_id").collect()
+        histogram(stars, TEXT_ID).collect()
     with pytest.raises(FacetryError, match="not categorical"):
         with_codes(stars, "ra")
-    assert histogram(stars, "sdss4_apogee_id", category_limit=31).count() == 30
+    assert histogram(stars, TEXT_ID, category_limit=31).count() == 30
     guard = {r["column"]: (r["n_distinct"], r["allowed"]) for r in category_guard(stars, ["release", "ra"]).collect()}
     assert guard == {"release": (3, True), "ra": (30, False)}
 
@@ -312,11 +312,11 @@ def test_values(stars):
     assert minmax(stars, "logg").first() == (0.0, 4.75)
     assert distinct_count(stars, "release").first()[0] == 3
     assert {r[0] for r in unique_values(stars, "telescope").collect()} == {"apo25m", "lco25m"}
-    assert [r[0] for r in unique_values(stars, "release", 2).collect()] == ["old one", "sdss4"]
-    assert [tuple(r) for r in value_counts(stars, "release").collect()][0] == ("sdss5", 20)
-    assert {r["telescope"]: (r["sdss5"], r["sdss4"]) for r in pivot_counts(stars, "telescope", "release").collect()}
+    assert [r[0] for r in unique_values(stars, "release", 2).collect()] == ["old one", "other"]
+    assert [tuple(r) for r in value_counts(stars, "release").collect()][0] == (SURVEY, 20)
+    assert {r["telescope"]: (r[SURVEY], r["other"]) for r in pivot_counts(stars, "telescope", "release").collect()}
     with pytest.raises(FacetryError):
-        pivot_counts(stars, "telescope", "sdss4_apogee_id")
+        pivot_counts(stars, "telescope", TEXT_ID)
 
 
 def test_axis_ranges(stars, points):
@@ -465,12 +465,12 @@ def test_request_texts(catalog):
         "nbins": "5",
         "flipx": "True",
         "dataset": "spall",
-        "expression": "ra.gt.1".replace(".gt.", " > ") + ".and.release.eq.'sdss5'",
+        "expression": "ra.gt.1".replace(".gt.", " > ") + f".and.release.eq.'{SURVEY}'",
     }
     view = ViewSpec.from_params(params)
     assert (view.kind, view.bins, view.flip_x, view.log_x) == ("histogram", 5, True, False)
     found = run_params(catalog, params)
-    expected = catalog.table.where("pipeline = 'spall' and ra > 1 and release = 'sdss5'").count()
+    expected = catalog.table.where(f"pipeline = 'spall' and ra > 1 and release = '{SURVEY}'").count()
     assert sum(r["n"] for r in found.collect()) == expected > 0
     with pytest.raises(FacetryError, match="names no view"):
         run_params(catalog, {"dataset": "spall"})
