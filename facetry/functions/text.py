@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import permutations
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,21 +25,28 @@ def any_order_pattern(words: list[str]) -> str:
     return "|".join("(" + ".*".join(f"({w})" for w in order) + ")" for order in permutations(escaped))
 
 
-def search_pattern(query: str) -> str | None:
-    """The pattern of lines that hold every word of a query, in any order; ``None`` for an empty query.
+def same_line_pattern(words: list[str]) -> str:
+    """A pattern for lines that hold each word somewhere; read in one pass over the line per word."""
+    return "^" + "".join(f"(?=.*{re.escape(w)})" for w in words)
+
 
-    The number of orders grows with the factorial of the number of words.  From six words on, each
-    word is looked for by itself in the same line; words may then overlap.
+def search_patterns(query: str) -> list[str]:
+    """The patterns a text must meet, all of them, to hold every word of a query in one line.
+
+    Trying the orders of the words is slow on long lines without a hit, so lines that lack a word are
+    ruled out first.  The number of orders grows with the factorial of the number of words; from six
+    words on it is left at that, and words may overlap.
     """
     words = words_of(query)
-    if not words:
-        return None
-    if len(words) <= MOST_ORDERS:
-        return any_order_pattern(words)
-    return "^" + "".join(f"(?=.*{re.escape(w)})" for w in words)
+    if len(words) < 2:
+        return [re.escape(w) for w in words]
+    ahead = same_line_pattern(words)
+    return [ahead, any_order_pattern(words)] if len(words) <= MOST_ORDERS else [ahead]
 
 
 def has_words(text: Column, query: str) -> Column:
     """True where one line of the text holds every word of the query, in any case."""
-    pattern = search_pattern(query)
-    return F.lit(False) if pattern is None else text.rlike(FLAGS + pattern)
+    patterns = search_patterns(query)
+    if not patterns:
+        return F.lit(False)
+    return reduce(and_, [text.rlike(FLAGS + pattern) for pattern in patterns])

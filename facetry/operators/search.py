@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from facetry.errors import FacetryError
 from facetry.functions.missing import column
-from facetry.functions.text import has_words, search_pattern
+from facetry.functions.text import has_words, search_patterns
 
 # Fixed value: hits of the glossary shown at once.
 GLOSSARY_HITS = 20
@@ -23,8 +23,8 @@ def fuzzy_search(df: DataFrame, query: str, name: str) -> DataFrame:
 
 def matching_names(names: Iterable[str], query: str) -> list[str]:
     """The names of a short list that hold all words of the query."""
-    pattern = search_pattern(query)
-    return [n for n in names if pattern and re.search(pattern, n, re.IGNORECASE | re.MULTILINE)]
+    patterns = [re.compile(p, re.IGNORECASE | re.MULTILINE) for p in search_patterns(query)]
+    return [n for n in names if patterns and all(p.search(n) for p in patterns)]
 
 
 def glossary_search(df: DataFrame, query: str, names: Sequence[str] = ("name", "description")) -> DataFrame:

@@ -17,6 +17,7 @@ PAGE_ROWS = 10
 SCATTER_POINTS = 10_000
 
 BUCKET_DIGITS = 3
+SAMPLE_PLACES = 1024
 # Pages that end within the first rows are read directly; others from a range of the key.
 FEW_ROWS = 100
 RANGE_ROWS = 1_000_000
@@ -53,7 +54,11 @@ def seeded_sample(
     before = F.sum("count").over(Window.orderBy("bucket")) - F.col("count")
     last = counts.select("bucket", before.alias("before")).where(F.col("before") < limit)
     cut = last.agg(F.max("bucket")).scalar()
-    return keyed.where(bucket <= cut).orderBy("shuffle_key").limit(limit)
+    # A key with very many copies may pass the cut.  Its rows are first cut down in many places.
+    placed = keyed.where(bucket <= cut).withColumn("_place", F.spark_partition_id() % SAMPLE_PLACES)
+    nth = F.row_number().over(Window.partitionBy("_place").orderBy("shuffle_key"))
+    few = placed.withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_place", "_nth")
+    return few.orderBy("shuffle_key").limit(limit)
 
 
 def scatter_points(
@@ -83,36 +88,43 @@ def page(
     """
     skipped = number * rows
     source, before = df, 0
-    if skipped + rows > FEW_ROWS and isinstance(type_of(df, key[0]), T.IntegralType):
-        source, before = _key_range(df, key[0], skipped, rows)
+    if skipped + rows > FEW_ROWS:
+        source, before = _page_range(df, key, skipped, rows)
     shown = source.orderBy(*map(column, key)).offset(skipped - before).limit(rows)
     counted = shown.withColumn("row", F.row_number().over(Window.orderBy(*map(column, key))) + skipped - 1)
     return counted.select("row", *map(column, columns or df.columns))
 
 
-def _key_range(df: DataFrame, key: str, skipped: int, rows: int) -> tuple[DataFrame, int]:
-    """The rows in a range of the key that holds the page, and the number of rows before the range.
+def _page_range(df: DataFrame, key: Sequence[str], skipped: int, rows: int) -> tuple[DataFrame, int]:
+    """Rows that hold the page and follow each other in the order of the key, and the rows before them.
 
-    Counts the rows in equal parts of the range, keeps the parts the page touches, and goes on inside
-    them until few rows are left or the parts no longer tell them apart.
+    The range of the first key column is cut into equal parts, whose rows are counted; the parts the
+    page touches are cut again, until few rows are left.  When one value of a column is all that is
+    left, the next column goes on.  Columns that are not integers end the search.
     """
-    value = column(key)
     source, before, total = df, 0, None
-    while total is None or total > RANGE_ROWS:
-        low, high = source.agg(F.min(value), F.max(value)).first()
-        if low is None or low == high:
+    for name in key:
+        if not isinstance(type_of(df, name), T.IntegralType):
             break
-        part = F.coalesce(bin_number(value, (low, high), KEY_PARTS), F.lit(-1))
-        part = F.when(value.isNull(), F.lit(-1)).otherwise(part)
-        upto = F.sum("n").over(Window.orderBy("part"))
-        parts = source.groupBy(part.alias("part")).agg(F.count("*").alias("n")).withColumn("upto", upto)
-        touched = parts.where((F.col("upto") > skipped - before) & (F.col("upto") - F.col("n") < skipped - before + rows))
-        first, last, left_out, kept = touched.agg(
-            F.min("part"), F.max("part"), F.min(F.col("upto") - F.col("n")), F.sum("n")
-        ).first()
-        if first is None or kept == total:
+        value = column(name)
+        while total is None or total > RANGE_ROWS:
+            low, high, missing = source.agg(F.min(value), F.max(value), F.count_if(value.isNull())).first()
+            if low is None or (low == high and not missing):
+                break
+            part = F.when(value.isNull(), F.lit(-1)).otherwise(bin_number(value, (low, high), KEY_PARTS))
+            counts = source.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+            start = F.col("upto") - F.col("n") + before
+            touched = (
+                counts.withColumn("upto", F.sum("n").over(Window.orderBy("part")))
+                .where((start < skipped + rows) & (start + F.col("n") > skipped))
+                .agg(F.min("part"), F.max("part"), F.min(start), F.sum("n"))
+            )
+            first, last, first_start, kept = touched.first()
+            if first is None or kept == total:
+                return source, before
+            source, before, total = source.where(part.between(first, last)), first_start, kept
+        if total is not None and total <= RANGE_ROWS:
             break
-        source, before, total = source.where(part.between(first, last)), before + left_out, kept
     return source, before
 
 

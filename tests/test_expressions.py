@@ -189,6 +189,8 @@ def test_dropping_unknown_column(stars):
         ("foo bar", {1, 2}),
         ("BAR foo", {1, 2}),
         ("a.c", {4}),
+        ("ab bc", set()),
+        ("a b", {1, 2, 3, 7}),
         ("", set()),
         ("ÉTOILE", {5}),
         ("one two three four five six", {6}),

@@ -378,8 +378,10 @@ def test_sample_is_the_head_of_the_shuffle(points, limit):
 def test_sample_of_nothing_and_of_copies(spark):
     df = spark.range(0).withColumn("v", F.lit(1))
     assert seeded_sample(df, ["id"], 10).count() == 0
-    copies = spark.range(100).select(F.lit(7).alias("id"))
-    assert seeded_sample(copies, ["id"], 10).count() == 10
+    copies = spark.range(0, 100, numPartitions=5).select(F.when(F.col("id") < 80, 7).otherwise(F.col("id")).alias("id"))
+    for limit in (1, 10, 90, 100):
+        head = [r["id"] for r in seeded_shuffle(copies, ["id"]).limit(limit).collect()]
+        assert [r["id"] for r in seeded_sample(copies, ["id"], limit).collect()] == head
 
 
 def test_scatter(stars):
@@ -389,7 +391,7 @@ def test_scatter(stars):
     assert len(rows) == 30 and sum(r["color"] is None for r in rows) == 16
 
 
-@pytest.mark.parametrize("spread", ["even", "uneven", "copies"])
+@pytest.mark.parametrize("spread", ["even", "uneven", "one value", "copies"])
 def test_deep_pages(spark, spread, monkeypatch):
     monkeypatch.setattr(tables, "FEW_ROWS", 5)
     monkeypatch.setattr(tables, "RANGE_ROWS", 3)
@@ -397,6 +399,7 @@ def test_deep_pages(spark, spread, monkeypatch):
     keys = {
         "even": [(i, 0) for i in range(200)],
         "uneven": [(int(1.25**i), i) for i in range(100)] + [(2**62 + i, i) for i in range(10)],
+        "one value": [(5, i * i) for i in range(80)],
         "copies": [(5, i) for i in range(50)] + [(i, 0) for i in range(30)] + [(None, i) for i in range(9)],
     }[spread]
     df = spark.createDataFrame(keys, "k bigint, m int").repartition(3)
