@@ -31,5 +31,6 @@ def run_params(catalog: Catalog, params: Mapping[str, str]) -> DataFrame:
     """The view of a subset that the texts of one request ask for, after a check of all names."""
     subset, view = SubsetSpec.from_params(params), ViewSpec.from_params(params)
     subset.check(catalog)
-    rows = subset.compile(catalog)
-    return view.fitted(rows.columns, catalog.profile).compile(rows, catalog.profile)
+    spec = subset.with_defaults(catalog.profile, catalog.datatype)
+    valid = catalog.allowed_columns(spec.dataset) + [name for name, _ in spec.computed]
+    return view.fitted(valid, catalog.profile).compile(subset.compile(catalog), catalog.profile)

@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from facetry.errors import FacetryError
 from facetry.operators.binning import HEATMAP_BINS, HISTOGRAM_BINS, heatmap, histogram
+from facetry.operators.ranges import axis_range, count_axis_range, heatmap_color_range, scatter_color_range
 from facetry.operators.summaries import describe
 from facetry.operators.tables import PAGE_ROWS, page, scatter_points
 from facetry.profile import CatalogProfile
@@ -143,3 +145,23 @@ class ViewSpec:
         if spec.kind == "stats":
             return describe(df, spec.columns)
         return page(df, profile.row_key, spec.page, spec.page_rows, spec.columns)
+
+    def ranges(self, df: DataFrame, profile: CatalogProfile) -> DataFrame:
+        """``(axis, start, end)`` of the axes of a plot and of its colours, padded and flipped as it is drawn."""
+        spec = self.with_defaults(profile)
+        if spec.kind not in ("histogram", "heatmap", "scatter"):
+            raise FacetryError(f"a {spec.kind} view has no axes")
+        x = axis_range(df, spec.x, spec.kind, spec.log_x, spec.flip_x)
+        if spec.kind == "histogram":
+            return _named("x", x).unionAll(_named("y", count_axis_range(spec.compile(df, profile), spec.log_y)))
+        y = axis_range(df, spec.y, spec.kind, spec.log_y, spec.flip_y)
+        if spec.kind == "heatmap":
+            color = heatmap_color_range(spec.compile(df, profile), spec.statistic, spec.log_color)
+        else:
+            color = scatter_color_range(df, spec.color, spec.log_color)
+        color = color.withColumnsRenamed({"low": "start", "high": "end"})
+        return _named("x", x).unionAll(_named("y", y)).unionAll(_named("color", color))
+
+
+def _named(axis: str, ends: DataFrame) -> DataFrame:
+    return ends.select(F.lit(axis).alias("axis"), "start", "end")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -17,15 +18,18 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a private one is made for a local session without it."""
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    """The shared folder of the session; a local session without one gets a folder of its own."""
+    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise FacetryError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="facetry-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    return _local_root(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"facetry-{application}-")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:

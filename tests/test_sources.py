@@ -1,6 +1,7 @@
 import glob
 import json
 from datetime import datetime
+from types import SimpleNamespace
 
 import pyarrow.parquet as pq
 import pytest
@@ -152,6 +153,17 @@ def test_shared_folder_comes_from_the_session(spark):
     assert new_folder(spark, "x") != new_folder(spark, "x")
 
 
+def test_no_machine_local_folder_on_a_cluster():
+    def session(master, checkpoint=None):
+        context = SimpleNamespace(master=master, applicationId="app", getCheckpointDir=lambda: checkpoint)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    with pytest.raises(FacetryError, match=CHECKPOINT_DIR):
+        shared_root(session("spark://host:7077"))
+    assert shared_root(session("spark://host:7077", "hdfs://x/checkpoints/")) == "hdfs://x/checkpoints"
+    assert shared_root(session("local[2]")) == shared_root(session("local[2]"))
+
+
 # Exports ----------------------------------------------------------------------------------------
 
 

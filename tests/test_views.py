@@ -394,8 +394,8 @@ def test_scatter(stars):
 @pytest.mark.parametrize("spread", ["even", "uneven", "one value", "copies"])
 def test_deep_pages(spark, spread, monkeypatch):
     monkeypatch.setattr(tables, "FEW_ROWS", 5)
-    monkeypatch.setattr(tables, "RANGE_ROWS", 3)
-    monkeypatch.setattr(tables, "KEY_PARTS", 8)
+    monkeypatch.setattr(tables, "RANGE_ROWS", 12)
+    monkeypatch.setattr(tables, "KEY_PARTS", 16)
     keys = {
         "even": [(i, 0) for i in range(200)],
         "uneven": [(int(1.25**i), i) for i in range(100)] + [(2**62 + i, i) for i in range(10)],
@@ -404,7 +404,7 @@ def test_deep_pages(spark, spread, monkeypatch):
     }[spread]
     df = spark.createDataFrame(keys, "k bigint, m int").repartition(3)
     order = sorted(keys, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    for number in (0, 1, 3, 7, 11, len(keys) // 7, len(keys)):
+    for number in (1, 7, len(keys) // 7, len(keys)):
         found = [tuple(r) for r in page(df, ["k", "m"], number, 7).collect()]
         start = number * 7
         assert found == [(start + i, *r) for i, r in enumerate(order[start : start + 7])], number
@@ -461,6 +461,19 @@ def test_requests(catalog):
     assert {r["ra"] > 100 for r in shown.collect()} == {True}
 
 
+def test_ranges_of_a_view(stars):
+    found = {r["axis"]: (r["start"], r["end"]) for r in ViewSpec("heatmap", bins=3).ranges(stars, PROFILE).collect()}
+    assert found["x"] == (0.0, 348.0) and found["y"] == pytest.approx((-90.0, 89.8))
+    cells = ViewSpec("heatmap", bins=3).compile(stars, PROFILE).collect()
+    assert found["color"] == (min(r["value"] for r in cells), max(r["value"] for r in cells))
+    bars = {r["axis"]: (r["start"], r["end"]) for r in ViewSpec("histogram", x="same").ranges(stars, PROFILE).collect()}
+    assert bars == {"x": (7.0, 7.0), "y": pytest.approx((0.0, 36.0))}
+    points = ViewSpec("scatter", color="release", flip_x=True).ranges(stars, PROFILE).collect()
+    assert {r["axis"]: r["start"] for r in points} == pytest.approx({"x": 365.4, "y": -98.99, "color": 0.0})
+    with pytest.raises(FacetryError):
+        ViewSpec("stats").ranges(stars, PROFILE)
+
+
 def test_request_texts(catalog):
     params = {
         "plottype": "histogram",
