@@ -198,15 +198,25 @@ def histogram(
     return found.mark(counts).select("x_bin", "x", "n")
 
 
+def _category_numbers(df: DataFrame, x: str, bins_more: int) -> DataFrame:
+    last = F.size(sorted_labels(df, x)) - 1 + bins_more
+    numbers = F.when(last >= 0, F.sequence(F.lit(0), last))
+    return df.sparkSession.range(1).select(F.explode(numbers).alias("i"))
+
+
 def histogram_edges(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS, limits: Limits | None = None) -> DataFrame:
-    """The ``bins + 1`` edges of a numeric axis."""
+    """The edges of the bins of an axis, one more than bins; half a step around a category's number."""
+    if is_categorical(df, x):
+        return _category_numbers(df, x, 1).select("i", (F.col("i") - 0.5).cast("double").alias("edge"))
     found = limits or limits_of(df, [x])[x]
     numbers = df.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("i"))
     return numbers.select("i", bin_edge(F.col("i"), found, bins).alias("edge"))
 
 
 def histogram_centers(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS, limits: Limits | None = None) -> DataFrame:
-    """The centres of the bins of a numeric axis."""
+    """The centres of the bins of an axis; the number of a category."""
+    if is_categorical(df, x):
+        return _category_numbers(df, x, 0).select("i", F.col("i").cast("double").alias("center"))
     found = limits or limits_of(df, [x])[x]
     numbers = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("i"))
     return numbers.select("i", bin_center(F.col("i"), found, bins).alias("center"))

@@ -28,7 +28,12 @@ N_BYTES = 57
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = str(tmp_path_factory.mktemp("shared"))
-    session = get_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": shared})
+    settings = {
+        "spark.sql.shuffle.partitions": "4",
+        "spark.checkpoint.dir": shared,
+        "spark.sql.maxMetadataStringLength": "10000",
+    }
+    session = get_session("tests", "local[4]", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

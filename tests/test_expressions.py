@@ -1,4 +1,6 @@
 import math
+import operator
+import random
 
 import pytest
 from conftest import close
@@ -56,6 +58,66 @@ def test_condition(stars, rows, text, keep):
     assert selected(stars, condition(stars, text)) == expected(rows, keep)
 
 
+NUMBERS = {"teff": (3500.5, 4000, 5770, 9000), "logg": (0, 1.25, 4.75), "plx": (-0.5, 0, 2.5), "result_flags": (0, 1)}
+COMPARE = {
+    ">": operator.gt,
+    ">=": operator.ge,
+    "<": operator.lt,
+    "<=": operator.le,
+    "==": operator.eq,
+    "!=": operator.ne,
+}
+
+
+def all_of(values):
+    return False if False in values else None if None in values else True
+
+
+def any_of(values):
+    return True if True in values else None if None in values else False
+
+
+def random_text(numbers, depth):
+    """A random filter text and the function that evaluates it on a row, with NULL as ``None``."""
+    kind = numbers.random()
+    if depth and kind < 0.6:
+        sign = numbers.choice("&|")
+        parts = [random_text(numbers, depth - 1) for _ in range(numbers.choice((2, 3)))]
+        join = all_of if sign == "&" else any_of
+        text = f" {sign} ".join(f"({t})" for t, _ in parts)
+        return text, lambda row: join([f(row) for _, f in parts])
+    name = numbers.choice(list(NUMBERS))
+    op = numbers.choice(list(COMPARE))
+    value = numbers.choice(NUMBERS[name])
+    if kind < 0.7:
+        low, high = sorted(numbers.sample(NUMBERS[name], 2))
+        a, b = numbers.choice(("<", "<=")), numbers.choice(("<", "<="))
+
+        def inside(row):
+            found = row[name]
+            return None if found is None else COMPARE[a](low, found) and COMPARE[b](found, high)
+
+        return f"{low} {a} {name} {b} {high}", inside
+    if kind < 0.85:
+        return f"{name}{op}{value}", lambda row: None if row[name] is None else COMPARE[op](row[name], value)
+    return f"{value} {op} {name}", lambda row: None if row[name] is None else COMPARE[op](value, row[name])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_conditions(stars, rows, seed):
+    """Random texts, also inverted, against a row-by-row evaluation with missing values."""
+    numbers = random.Random(seed)
+    cases = [random_text(numbers, 3) for _ in range(25)]
+    tests = [condition(stars, text, invert).alias(f"t{i}_{int(invert)}") for i, (text, _) in enumerate(cases) for invert in (False, True)]
+    found = {r["gaia_dr3_source_id"]: r for r in stars.select("gaia_dr3_source_id", *tests).collect()}
+    for row in rows:
+        for i, (text, evaluate) in enumerate(cases):
+            expected = evaluate(row)
+            result = found[row["gaia_dr3_source_id"]]
+            assert result[f"t{i}_0"] == expected, (text, row)
+            assert result[f"t{i}_1"] == (None if expected is None else not expected), (text, row)
+
+
 @pytest.mark.parametrize("text", ["teff > 4000", "4000 <= teff", "teff == 4000", "teff < 4000 | logg > 1"])
 def test_inverse_is_complement_without_null(stars, text):
     known = stars.where("teff is not null")

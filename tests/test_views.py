@@ -107,6 +107,8 @@ def test_edges_and_centers(points):
     assert edges == [0, 2, 4, 6, 8]
     centers = [r["center"] for r in histogram_centers(points, "x", 4, (0, 8)).orderBy("i").collect()]
     assert centers == [1, 3, 5, 7]
+    assert [r["edge"] for r in histogram_edges(points, "kind").orderBy("i").collect()] == [-0.5, 0.5, 1.5, 2.5]
+    assert [r["center"] for r in histogram_centers(points, "kind").orderBy("i").collect()] == [0, 1, 2]
 
 
 def test_bad_bins(points):
