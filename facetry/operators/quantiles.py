@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 # The sketch is at most 1/ACCURACY of the group off; the bracket allows for four times as much.
 MARGIN = 4 / ACCURACY
+SALTS = 32
 BELOW, INSIDE, ABOVE = 0, 1, 2
 
 
@@ -23,7 +24,8 @@ def grouped_median(rows: DataFrame, keys: Sequence[str], value: Column, few_grou
     """``keys`` and ``median`` of the values that are not NULL.
 
     ``few_groups`` says that the caller has bounded the number of groups, so that the brackets fit into
-    a broadcast; otherwise Spark chooses the join by size and splits hot groups.
+    a broadcast; otherwise each bracket is copied for a number of salts, and the rows of a hot group are
+    spread over them.
     """
     keys = list(keys)
     values = rows.select(*keys, value.cast("double").alias("v")).where(F.col("v").isNotNull())
@@ -32,12 +34,15 @@ def grouped_median(rows: DataFrame, keys: Sequence[str], value: Column, few_grou
         F.count("v").alias("size"),
     )
     if few_groups:
-        brackets = F.broadcast(brackets)
+        bracketed = values.join(F.broadcast(brackets), keys)
+    else:
+        salted = values.withColumn("salt", F.spark_partition_id() % SALTS)
+        copies = brackets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        bracketed = salted.join(copies, [*keys, "salt"])
     low, high = F.col("bracket")[0], F.col("bracket")[1]
     zone = F.when(F.col("v") < low, BELOW).when(F.col("v") > high, ABOVE).otherwise(INSIDE)
     counted = (
-        values.join(brackets, keys)
-        .withColumn("zone", zone)
+        bracketed.withColumn("zone", zone)
         .groupBy(*keys, "size", "zone", F.when(F.col("zone") == INSIDE, F.col("v")).alias("v"))
         .agg(F.count("*").alias("copies"))
     )

@@ -64,8 +64,8 @@ def select_points(df: DataFrame, x: str, y: str, points: DataFrame, mode: str =
         if is_float(points.schema[side].dataType):
             points = points.where(~F.isnan(side))
     if mode == "independent":
-        return column(x).isin(points.select("x").distinct()) & column(y).isin(points.select("y").distinct())
-    return F.struct(column(x), column(y)).isin(points.select("x", "y").distinct())
+        return column(x).isin(points.select("x")) & column(y).isin(points.select("y"))
+    return F.struct(column(x), column(y)).isin(points.select("x", "y"))
 
 
 def viewport(

@@ -26,15 +26,17 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 
 
 def parse_identifiers(lines: DataFrame, dtype: T.DataType) -> DataFrame:
-    """Distinct identifiers of a list as column ``id``, in the type of the column they are looked up in.
+    """The identifiers of a list as column ``id``, in the type of the column they are looked up in.
 
     A line that is no integer ends the job when the column holds integers; it is found while the list
     is read, without a pass of its own.
     """
-    parsed = classify_lines(lines)
+    # Copies are merged by line, not by identifier: the join then shuffles the list itself, and adaptive
+    # execution can split an identifier that most rows of the catalogue carry.
+    parsed = classify_lines(lines).distinct()
     if isinstance(dtype, T.StringType):
-        return parsed.select(F.col("text").alias("id")).distinct()
+        return parsed.select(F.col("text").alias("id"))
     number = F.when(F.col("number").isNotNull(), F.col("number")).otherwise(
         F.raise_error(F.concat(F.lit(NOT_INTEGERS + ": "), F.col("text"))).cast("bigint")
     )
-    return parsed.select(number.alias("id")).distinct()
+    return parsed.select(number.alias("id"))
