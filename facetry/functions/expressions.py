@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
+import warnings
 from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
@@ -223,15 +224,26 @@ def formula(df: DataFrame, text: str) -> Column:
     """The numeric column of a formula such as ``4.44 + 4*log10(teff/5770)``."""
     if not text or not text.strip():
         raise ExpressionError("no formula given")
-    result = _formula_node(_parse(text), {f.name: f.dataType for f in df.schema.fields})
+    result = _formula_node(_parse(text), df)
     if isinstance(df.select(result.alias("x")).schema["x"].dataType, T.BooleanType):
         raise ExpressionError("a formula must give a number, not a comparison")
     return result
 
 
-def _formula_node(node: ast.expr, types: dict[str, T.DataType]) -> Column:
+def _bit_difference(df: DataFrame, left: Column, right: Column) -> Column:
+    """``^``, which is the bit operator and no power, and so takes whole numbers only."""
+    types = [f.dataType for f in df.select(left.alias("a"), right.alias("b")).schema.fields]
+    if not all(isinstance(t, T.IntegralType) for t in types):
+        raise ExpressionError("'^' is not a power; write '**'")
+    warnings.warn("'^' compares bits; for a power write '**'", stacklevel=2)
+    return left.bitwiseXOR(right)
+
+
+def _formula_node(node: ast.expr, df: DataFrame) -> Column:
+    types = {f.name: f.dataType for f in df.schema.fields}
+
     def sub(part: ast.expr) -> Column:
-        return _formula_node(part, types)
+        return _formula_node(part, df)
 
     if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
         return F.lit(node.value)
@@ -245,7 +257,7 @@ def _formula_node(node: ast.expr, types: dict[str, T.DataType]) -> Column:
         return -sub(node.operand) if isinstance(node.op, ast.USub) else sub(node.operand)
     if isinstance(node, ast.BinOp):
         if isinstance(node.op, ast.BitXor):
-            raise ExpressionError("'^' is not a power; write '**'")
+            return _bit_difference(df, sub(node.left), sub(node.right))
         if type(node.op) in ARITHMETIC:
             return ARITHMETIC[type(node.op)](sub(node.left), sub(node.right))
     if isinstance(node, ast.Compare) and len(node.ops) == 1 and type(node.ops[0]) in COMPARATORS:

@@ -252,7 +252,8 @@ def heatmap(
     measured = F.lit(1) if value is None else present(df, value)
     placed = found.place(df, measured.alias("measured"))
     if statistic == "median" and not approximate:
-        medians = grouped_median(placed, keys, F.col("measured"), few_groups=_cells_bound(bins) <= MOST_CELLS)
+        few = max(bins, category_limit) ** 2 <= MOST_CELLS
+        medians = grouped_median(placed, keys, F.col("measured"), few_groups=few)
         cells = medians.withColumnRenamed("median", "value")
     else:
         cells = placed.groupBy(*keys).agg(_statistic(statistic, F.col("measured")).alias("value"))
@@ -262,10 +263,6 @@ def heatmap(
     return found.mark(cells).select(*keys, "x", "y", "value")
 
 
-def _cells_bound(bins: int) -> int:
-    return max(bins, CATEGORY_LIMIT) ** 2
-
-
 def _statistic(name: str, value: Column) -> Column:
     if name == "median":
         return F.percentile_approx(value, 0.5, ACCURACY)

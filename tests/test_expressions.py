@@ -212,6 +212,13 @@ def test_formula_errors(stars, text, message):
         formula(stars, text)
 
 
+def test_bit_operator_warns(stars, rows):
+    with pytest.warns(UserWarning, match="power"):
+        value = formula(stars, "zwarning_flags ^ 5")
+    found = {r[0]: r[1] for r in stars.select("gaia_dr3_source_id", value).collect()}
+    assert found == {r["gaia_dr3_source_id"]: r["zwarning_flags"] ^ 5 for r in rows}
+
+
 def test_integer_overflow_gives_null(spark):
     df = spark.createDataFrame([(2**62,)], "n bigint")
     assert df.select(formula(df, "n + n + n")).first()[0] is None

@@ -50,7 +50,7 @@ N_BITS = N_BYTES * 8
 @lru_cache(maxsize=None)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table, opened once per session: its files are listed and its schema is read once."""
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def lineitem(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +60,7 @@ def lineitem(spark: SparkSession, sf: str) -> DataFrame:
 @lru_cache(maxsize=None)
 def lineitem_catalog(spark: SparkSession, sf: str) -> Catalog:
     """``lineitem`` opened as the catalogue of a release; the folder of the tables is the release."""
-    root, release = os.path.split(sf.rstrip("/"))
+    root, release = os.path.split(sf)
     paths = CatalogPaths(root, table="{root}/{release}/{datatype}.parquet")
     return open_catalog(spark, paths, release, "lineitem", LINEITEM_PROFILE)
 
@@ -82,7 +82,7 @@ MISSING_SQL = (
 
 
 def mapping(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read_mapping(spark, f"{sf.rstrip('/')}/customer.parquet", "c_mktsegment", "c_nationkey")
+    rows = read_mapping(spark, f"{sf}/customer.parquet", "c_mktsegment", "c_nationkey")
     return rows.withColumn("alt_name", F.concat(F.lit("carton_"), F.col("alt_name")))
 
 

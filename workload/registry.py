@@ -18,7 +18,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = function
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return function(spark, str(folder).rstrip("/"))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return function
