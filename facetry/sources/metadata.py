@@ -14,6 +14,7 @@ from facetry.profile import DEFAULT_RELEASE
 from facetry.sources.catalog import Catalog, CatalogPaths
 from facetry.sources.mapping import read_mapping
 
+MOST_ENTRIES = 100_000
 ALLOWED_TYPE = "map<string, array<string>>"
 GLOSSARY_TYPE = "map<string, struct<name: string, description: string, type: string, unit: string>>"
 
@@ -24,9 +25,13 @@ def _read_object(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def _write_object(pairs: DataFrame, path: str) -> None:
-    """Write ``(key, item)`` rows as one JSON object."""
-    whole = pairs.agg(F.map_from_entries(F.collect_list(F.struct("key", "item"))).alias("object"))
-    whole.select(F.to_json("object")).write.text(path)
+    """Write ``(key, item)`` rows as one JSON object; a table with more rows than any schema is refused."""
+    few = pairs.limit(MOST_ENTRIES + 1)
+    whole = few.agg(F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("key", "item"))).alias("object"))
+    text = F.when(F.col("n") <= MOST_ENTRIES, F.to_json("object")).otherwise(
+        F.raise_error(F.lit(f"more than {MOST_ENTRIES} entries in one JSON object")).cast("string")
+    )
+    whole.select(text.alias("value")).write.text(path)
 
 
 def read_allowed_columns(spark: SparkSession, path: str) -> DataFrame:

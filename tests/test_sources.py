@@ -21,6 +21,7 @@ from facetry.sources.catalog import (
     write_catalog,
 )
 from facetry.sources.exports import Manifest, export_batch, export_name, export_subset, write_subset
+from facetry.sources import metadata
 from facetry.sources.mapping import read_mapping
 from facetry.sources.metadata import (
     build_glossary,
@@ -127,6 +128,13 @@ def test_glossary(spark, tmp_path):
     assert {tuple(r) for r in open_glossary(spark, paths).collect()} == expected
 
 
+def test_object_of_a_whole_table_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(metadata, "MOST_ENTRIES", 3)
+    allowed = spark.range(9).select(F.col("id").cast("string").alias("dataset"), F.lit("x").alias("column"))
+    with pytest.raises(Exception, match="more than 3 entries"):
+        write_allowed_columns(allowed, str(tmp_path / "allowed"))
+
+
 def test_keep(stars):
     kept = keep(stars.where("ra > 10").select("ra"))
     assert kept.storageLevel.useMemory and kept.storageLevel.useDisk and kept.count() == 29
