@@ -21,8 +21,8 @@ def words_of(query: str) -> list[str]:
 
 def any_order_pattern(words: list[str]) -> str:
     """A pattern for lines that hold all words, one after the other, in any order."""
-    escaped = [re.escape(w) for w in words]
-    return "|".join("(" + ".*".join(f"({w})" for w in order) + ")" for order in permutations(escaped))
+    orders = permutations(re.escape(w) for w in words)
+    return "|".join(".*".join(order) for order in orders)
 
 
 def same_line_pattern(words: list[str]) -> str:

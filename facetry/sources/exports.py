@@ -28,6 +28,7 @@ MANIFEST_SCHEMA = (
 
 
 def export_name(spec: SubsetSpec, release: str, datatype: str, when: datetime) -> str:
+    # Fixed value: the form of the name, but for the time, in which file systems forbid colons.
     stamp = when.strftime("%Y-%m-%d_%H-%M-%S")
     return f"subset-{spec.name}-{release}-{datatype}-{spec.dataset}-{stamp}.parquet"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = " \t\r\n\v\f"
+# Fixed value: the message users know.
 NOT_INTEGERS = "failed to convert to integer identifiers"
 
 
