@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from facetry.llm.chat import format_windows, read_back
 from facetry.llm.registry import ORACLE, QUERIES, query
+from facetry.llm.sql import CHAT_SQL
 from facetry.llm.substrings import remove_repeated_windows
 
 
@@ -17,6 +20,26 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf, "documents"), digest=True)
 
 
+@query("op9_chat_windows", CHAT_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read_back(format_windows(turns)).select(
+        "conv_id",
+        F.col("n_turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+
+
 def all_queries() -> dict:
     return dict(QUERIES)
 
