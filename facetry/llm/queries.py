@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm.chat import format_windows, read_back
+from facetry.llm.quality import score_quality
 from facetry.llm.registry import ORACLE, QUERIES, query
 from facetry.llm.sql import CHAT_SQL
 from facetry.llm.substrings import remove_repeated_windows
@@ -20,6 +21,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf, "documents"), digest=True)
 
 
+@query("op6_quality_votes")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op9_chat_windows", CHAT_SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     probe = spark.range(2).select(
