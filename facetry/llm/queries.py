@@ -10,6 +10,7 @@ from facetry.llm.quality import score_quality
 from facetry.llm.registry import ORACLE, QUERIES, query
 from facetry.llm.sql import CHAT_SQL
 from facetry.llm.substrings import remove_repeated_windows
+from facetry.llm.toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,6 +47,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def all_queries() -> dict:
     return dict(QUERIES)
 
