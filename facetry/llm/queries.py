@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetry.llm.bpe import encode_decode
 from facetry.llm.chat import format_windows, read_back
 from facetry.llm.quality import score_quality
 from facetry.llm.registry import ORACLE, QUERIES, query
@@ -12,6 +15,8 @@ from facetry.llm.sql import CHAT_SQL
 from facetry.llm.substrings import remove_repeated_windows
 from facetry.llm.toxicity import score_toxicity
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -22,6 +27,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf, "documents"), digest=True)
 
 
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_decode(table(spark, sf, "documents"), RANKS, PATTERN, digest=True)
+
+
 @query("op6_quality_votes")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -55,10 +55,22 @@ def _plain(letter: str) -> str:
 for _code in (*range(0x00E0, 0x0180), *range(0xFF41, 0xFF5B)):
     _FOLD.setdefault(_code, _plain(chr(_code)))
 
+_FOLDED = np.arange(0x10000, dtype=np.uint32)
+_FOLDED[list(_FOLD)] = [ord(x) for x in _FOLD.values()]
+
+
+def _replace(text: str) -> str:
+    """Look-alikes replaced by a table over all their letters at once."""
+    if text.isascii():
+        return text
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.where(codes < 0x10000, _FOLDED[codes & 0xFFFF], codes)
+    return low.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
 
 def fold(text: str) -> str:
     """The text in lower case with look-alikes replaced, one space before each word; words of digits stay."""
-    words = text.lower().translate(_FOLD).split()
+    words = _replace(text.lower()).split()
     out = []
     for word in words:
         if not word.isascii() or not word.isalpha():
