@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from facetry.llm.bpe import encode_decode
 from facetry.llm.chat import format_windows, read_back
+from facetry.llm.neardups import near_duplicates
 from facetry.llm.quality import score_quality
 from facetry.llm.registry import ORACLE, QUERIES, query
-from facetry.llm.sql import CHAT_SQL
+from facetry.llm.sql import CHAT_SQL, NEAR_SQL
 from facetry.llm.substrings import remove_repeated_windows
 from facetry.llm.toxicity import score_toxicity
 
@@ -37,6 +38,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op7_lsh_forest", NEAR_SQL)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op9_chat_windows", CHAT_SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     probe = spark.range(2).select(

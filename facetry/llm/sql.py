@@ -45,3 +45,34 @@ SELECT t.conv_id, count(*) AS n_turns,
 FROM turns t LEFT JOIN repeats r ON r.conv_id IS NOT DISTINCT FROM t.conv_id
 GROUP BY t.conv_id
 """
+
+NEAR_SQL = r"""
+WITH RECURSIVE words_ AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words_),
+texts AS (  -- equal sets once: the smallest id stands for them
+  SELECT doc_id, len(s) AS n, s, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep FROM sets),
+members AS (
+  SELECT doc_id AS rep, n, unnest(s) AS shingle FROM texts WHERE doc_id = rep),
+links AS (
+  SELECT a.rep AS a, b.rep AS b
+  FROM members a JOIN members b ON a.shingle = b.shingle AND a.rep < b.rep AND a.n * 4 >= b.n * 3 AND b.n * 4 >= a.n * 3
+  GROUP BY a.rep, b.rep, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, seen) AS (
+  SELECT DISTINCT a, a FROM edges
+  UNION
+  SELECT e.b, r.seen FROM reach r JOIN edges e ON e.a = r.node),
+components AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT t.doc_id, t.n AS n_shingles,
+  CASE WHEN t.n = 0 THEN t.doc_id ELSE coalesce(c.component, t.rep) END AS component_id,
+  t.doc_id = CASE WHEN t.n = 0 THEN t.doc_id ELSE coalesce(c.component, t.rep) END AS kept
+FROM texts t LEFT JOIN components c ON c.node = t.rep
+"""
