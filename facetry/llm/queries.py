@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from facetry.llm.bpe import encode_decode
 from facetry.llm.chat import format_windows, read_back
+from facetry.llm.decontamination import contaminated
 from facetry.llm.neardups import near_duplicates
 from facetry.llm.quality import score_quality
 from facetry.llm.registry import ORACLE, QUERIES, query
 from facetry.llm.sql import CHAT_SQL, NEAR_SQL
 from facetry.llm.substrings import remove_repeated_windows
+from facetry.llm.suffixes import remove_repeated_bytes
 from facetry.llm.toxicity import score_toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,6 +35,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return encode_decode(table(spark, sf, "documents"), RANKS, PATTERN, digest=True)
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf, "documents"), digest=True)
+
+
 @query("op6_quality_votes")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -43,6 +50,11 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op9_chat_windows", CHAT_SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     probe = spark.range(2).select(

@@ -20,6 +20,9 @@ INVERSE = U64(pow(int(BASE), -1, 2**64))
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything but ASCII letters, digits and bytes of longer characters, for words without punctuation.
+_PUNCTUATION = np.ones(256, bool)
+_PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -85,12 +88,12 @@ class Words:
         return np.searchsorted(self.text, np.arange(len(self.bounds)))
 
 
-def cut(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """Cut every text into words. ``lower`` lower-cases A-Z first."""
+def cut(column: pa.Array | pa.ChunkedArray, lower: bool = False, punctuation: bool = True) -> Words:
+    """Cut every text into words. ``lower`` lower-cases A-Z first; ``punctuation=False`` cuts at ASCII punctuation too."""
     data, bounds = text_bytes(column)
     if lower:
         data = _LOWER[data]
-    inside = ~_SEPARATOR[data]
+    inside = ~(_SEPARATOR if punctuation else _PUNCTUATION)[data]
     edge = np.zeros(len(data) + 1, bool)  # a text's first byte never goes on with the word before
     edge[bounds] = True
     before = np.concatenate([[False], inside])[:-1] & ~edge[:-1]
