@@ -27,12 +27,12 @@ MESSAGES = "bucket int, chunk int, body binary"
 MESSAGE_TYPES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("body", pa.binary())])
 
 
-def in_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """Columns chunk, doc_id and text of ``docs``, and how many chunks there are.
+def in_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Columns doc_id, text, those of ``carry`` and chunk of ``docs``, and how many chunks there are.
 
     The chunk follows from doc_id (and, for rows without one, from the text), so a lost task finds the same again.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))
     key = F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from facetry.llm.words import U64, cut, mix, text_bytes
 
@@ -158,26 +159,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (0 or 1) of every document."""
-    return score_rows(docs, labels, sample, threshold).drop("text")
+    scored = score_rows(docs.select("doc_id", "text"), labels, sample)
+    return scored.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``score_quality`` with the text that was scored."""
+def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` with a column ``score`` (in the place of any other of that name)."""
+    docs = docs.drop("score")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample=sample))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
-                part = batch.slice(a, b - a)
-                got = model.value.scores(term_counts(part["text"]))
-                yield pa.record_batch([part["doc_id"], part["text"], pa.array(got)], ["doc_id", "text", "score"])
+            got = [model.value.scores(term_counts(batch["text"].slice(a, b - a))) for a, b in slices(batch["text"])]
+            column = pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
+            yield batch.append_column("score", column)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(score, "doc_id bigint, text string, score double")
-    return scored.select(
-        "doc_id",
-        "text",
-        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
-    )
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    return docs.mapInArrow(score, schema)

@@ -332,14 +332,19 @@ def _whole_characters(data: np.ndarray, removed: np.ndarray) -> str:
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, window: int = WINDOW, chunk_bytes: int = exchange.CHUNK_BYTES, digest: bool = False
+    docs: DataFrame,
+    window: int = WINDOW,
+    chunk_bytes: int = exchange.CHUNK_BYTES,
+    digest: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Remove every byte that a string of ``window`` bytes covers which also starts in an earlier document.
 
     Returns doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes) and text (what is left); with
-    ``digest`` the number of spans and the SHA-256 of the bytes left.
+    ``digest`` the number of spans and the SHA-256 of the bytes left. Columns named in ``carry`` (other than
+    those) follow.
     """
-    chunked, chunks = exchange.in_chunks(docs, chunk_bytes)
+    chunked, chunks = exchange.in_chunks(docs, chunk_bytes, carry)
     bits = exchange.bucket_bits(chunks)
     asked = exchange.ask(chunked, lambda table: _emit(table, window, bits))
     answers = exchange.answer(asked, lambda bodies: _reply(bodies, bits))
@@ -352,6 +357,12 @@ def remove_repeated_bytes(
 
     resolved = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(resolve, exchange.MESSAGES)
     compared = resolved.groupBy("bucket").applyInArrow(lambda key, table: _compare(key, table, window), exchange.MESSAGES)
-    return exchange.finish(
-        chunked, compared, lambda table, got: _finish(table, got, digest), DIGEST if digest else SCHEMA
-    )
+    kinds = "".join(f", {name} {chunked.schema[name].dataType.simpleString()}" for name in carry)
+
+    def finish(table: pa.Table, got: list[tuple[int, bytes]]) -> pa.Table:
+        done = _finish(table, got, digest)
+        for name in carry:
+            done = done.append_column(name, table[name])
+        return done
+
+    return exchange.finish(chunked, compared, finish, (DIGEST if digest else SCHEMA) + kinds)
