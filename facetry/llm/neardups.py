@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from facetry.llm.cells import in_cells
 from facetry.llm.components import connected_components, stored
 from facetry.llm.quality import slices
 from facetry.llm.words import U64, cut, mix, shingles
@@ -159,23 +160,13 @@ def _torn_pairs(regions: DataFrame, classes: DataFrame, components: DataFrame) -
     labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
     torn = (
         labelled.groupBy("tree", "key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-        .where("low < high")
-        .select("tree", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        .where("least < most")
+        .select("tree", "key")
     )
     signed = classes.where(F.col("signature").isNotNull()).select("rep", "signature")
     rows = labelled.join(torn, ["tree", "key"]).join(signed, "rep")
-    own = F.pmod(F.hash("rep"), F.col("blocks"))
-    cells = rows.withColumn("own", own).select(
-        "tree",
-        "key",
-        "rep",
-        "component",
-        "signature",
-        "own",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    )
-    cells = cells.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+    cells = in_cells(rows, ["tree", "key"], "rep", BLOCK)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         ids = table["rep"].to_numpy()

@@ -13,7 +13,8 @@ from facetry.llm.decontamination import contaminated
 from facetry.llm.neardups import near_duplicates
 from facetry.llm.quality import score_quality
 from facetry.llm.registry import ORACLE, QUERIES, query
-from facetry.llm.sql import CHAT_SQL, NEAR_SQL
+from facetry.llm.spherical import near_vectors
+from facetry.llm.sql import CHAT_SQL, NEAR_SQL, VECTORS_SQL
 from facetry.llm.substrings import remove_repeated_windows
 from facetry.llm.suffixes import remove_repeated_bytes
 from facetry.llm.toxicity import score_toxicity
@@ -35,6 +36,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return encode_decode(table(spark, sf, "documents"), RANKS, PATTERN, digest=True)
 
 
+@query("op3_spherical_filters", VECTORS_SQL)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf, "documents"), digest=True)

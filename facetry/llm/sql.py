@@ -76,3 +76,24 @@ SELECT t.doc_id, t.n AS n_shingles,
   t.doc_id = CASE WHEN t.n = 0 THEN t.doc_id ELSE coalesce(c.component, t.rep) END AS kept
 FROM texts t LEFT JOIN components c ON c.node = t.rep
 """
+
+VECTORS_SQL = r"""
+WITH RECURSIVE unit AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS length
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.length * b.length) >= 0.95),
+reach(node, seen) AS (
+  SELECT DISTINCT a, a FROM links
+  UNION
+  SELECT l.b, r.seen FROM reach r JOIN links l ON l.a = r.node),
+components AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component, e.vec_id) AS component_id,
+  coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN components c ON c.node = e.vec_id LEFT JOIN counts n ON n.a = e.vec_id
+"""
