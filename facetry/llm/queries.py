@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from facetry.llm.bpe import encode_decode
 from facetry.llm.chat import format_windows, read_back
 from facetry.llm.decontamination import contaminated
+from facetry.llm.language import score_texts
 from facetry.llm.neardups import near_duplicates
 from facetry.llm.quality import score_quality
 from facetry.llm.registry import ORACLE, QUERIES, query
@@ -46,6 +47,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf, "documents"), digest=True)
 
 
+@query("op5_brown_classes")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(table(spark, sf, "documents"))
+
+
 @query("op6_quality_votes")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
