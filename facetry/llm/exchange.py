@@ -40,8 +40,8 @@ def in_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str,
 
 
 def bucket_bits(chunks: int) -> int:
-    """Leading bits that name a bucket: about one bucket for each four chunks, 16 at least."""
-    return min(16, max(4, math.ceil(math.log2(max(1, chunks / 4)))))
+    """Leading bits that name a bucket: about one bucket for each chunk, 16 at least."""
+    return min(16, max(4, math.ceil(math.log2(max(1, chunks)))))
 
 
 def sorted_chunk(table: pa.Table) -> pa.Table:
@@ -105,19 +105,21 @@ def pack_sorted(numbers: np.ndarray, bits: int, low_bytes: int) -> list[tuple[in
     for b in np.flatnonzero(np.diff(bounds)):
         part = numbers[bounds[b] : bounds[b + 1]]
         leading = (part >> U64(48)).astype(np.int64) - (int(b) << (16 - bits))
-        counts = np.bincount(leading, minlength=2 ** (16 - bits)).astype(np.uint32)
+        counts = np.bincount(leading, minlength=2 ** (16 - bits))
+        counts = counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
         rest = (part << U64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :low_bytes]
-        out.append((int(b), int(bounds[b]), int(bounds[b + 1]), counts.tobytes() + rest.tobytes()))
+        body = bytes([counts.itemsize]) + counts.tobytes() + rest.tobytes()
+        out.append((int(b), int(bounds[b]), int(bounds[b + 1]), body))
     return out
 
 
 def unpack_sorted(body: bytes, bits: int, low_bytes: int, bucket: int = 0) -> np.ndarray:
     """The numbers of a body of ``pack_sorted``, without the bits that were left out."""
     size = 2 ** (16 - bits)
-    counts = np.frombuffer(body, np.uint32, size)
+    counts = np.frombuffer(body, np.uint8 if body[0] == 1 else np.uint32, size, 1)
     n = int(counts.sum())
     rest = np.zeros((n, 8), np.uint8)
-    rest[:, :low_bytes] = np.frombuffer(body, np.uint8, n * low_bytes, size * 4).reshape(n, low_bytes)
+    rest[:, :low_bytes] = np.frombuffer(body, np.uint8, n * low_bytes, 1 + size * body[0]).reshape(n, low_bytes)
     leading = np.repeat(np.arange(size, dtype=np.uint64), counts) + U64(bucket << (16 - bits))
     return (rest.reshape(-1).view(">u8").astype(np.uint64) >> U64(16)) | (leading << U64(48))
 
@@ -134,6 +136,20 @@ def split_parts(body: bytes, n: int) -> list[bytes]:
     return [body[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Sorted ids as their distances, in as few bytes as the largest needs."""
+    steps = np.diff(ids, prepend=ids[:1])
+    first = ids[:1].astype(np.int64).tobytes()
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if int(steps.max(initial=0)) <= np.iinfo(k).max)
+    return first + bytes([np.dtype(kind).itemsize]) + steps.astype(kind).tobytes()
+
+
+def unpack_ids(body: bytes) -> np.ndarray:
+    first = np.frombuffer(body, np.int64, 1)
+    steps = np.frombuffer(body, f"u{body[8]}", offset=9)
+    return first + np.cumsum(steps.astype(np.int64))
+
+
 def flags_to_bytes(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 

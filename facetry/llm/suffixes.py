@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from facetry.llm import exchange
+from facetry.llm.quality import slices
 from facetry.llm.words import BASE, BYTE_CODES, INVERSE, U64, mix, powers, text_bytes
 
 WINDOW = 50
@@ -40,6 +41,9 @@ GRAM = 25
 MANY = 2000
 
 _LOW_ANCHOR, _CONTEXT = 4, 6
+#: Bytes hashed at a time, and suffixes sorted at a time (whole texts, whole anchors).
+_PART_BYTES = 1_000_000
+_SUFFIXES = 100_000
 _NONE, _EARLIER, _SHARED, _MANY = range(4)
 
 DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -64,36 +68,11 @@ class _Contexts:
     """The contexts of a chunk: row, first byte, end, anchor and hash of each; and the different ones in order."""
 
     def __init__(self, table: pa.Table, window: int):
-        gram = min(GRAM, window)
         self.data, self.bounds = text_bytes(table["text"])
-        ids = exchange.doc_ids(table)
-        self.earliest, rank = np.unique(ids, return_inverse=True)
-        n = len(self.data)
-        if n < window:
-            start = end = row = np.zeros(0, np.int64)
-            self.anchor = self.key = np.zeros(0, np.uint64)
-        else:
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(BYTE_CODES[self.data] * powers(BASE, n), out=sums[1:])
-            back = powers(INVERSE, n)
-            grams = mix((sums[gram:] - sums[: n - gram + 1]) * back[: n - gram + 1])
-            least = _sliding_least(grams, window - gram + 1)
-            fits = np.zeros(n - window + 1, bool)  # windows inside one text
-            for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):
-                if b - a >= window:
-                    fits[a : b - window + 1] = True
-            at = np.flatnonzero(fits)
-            row_of = np.searchsorted(self.bounds, at, "right") - 1
-            of = least[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (of[1:] != of[:-1]) | (row_of[1:] != row_of[:-1])
-            first = np.flatnonzero(new)
-            last = np.concatenate([first[1:], [len(at)]]) - 1
-            start, end, row = at[first], at[last] + window, row_of[first]
-            self.anchor = grams[of[first]] >> U64(16)
-            # The place of the anchor in the context is part of its hash.
-            inside = ((end - start) * 64 + (of[first] - start)).astype(np.uint64)
-            self.key = mix(((sums[end] - sums[start]) * back[start]) ^ mix(inside)) >> U64(16)
+        self.earliest, rank = np.unique(exchange.doc_ids(table), return_inverse=True)
+        parts = [self._of_rows(a, b, window) for a, b in slices(table["text"].combine_chunks(), _PART_BYTES)]
+        row, start, end, anchor, key = map(np.concatenate, zip(*parts, strict=True))
+        self.anchor, self.key = anchor, key
         self.row, self.start, self.end = row, start, end
         self.rank = rank[row].astype(np.uint32)
         order = np.lexsort((self.rank, self.key, self.anchor))
@@ -104,6 +83,36 @@ class _Contexts:
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.cumsum(new) - 1
 
+    def _of_rows(self, a: int, b: int, window: int) -> tuple[np.ndarray, ...]:
+        """Row, first byte, end, anchor and hash of the contexts of the rows from a to b."""
+        base = int(self.bounds[a])
+        data, bounds = self.data[base : self.bounds[b]], self.bounds[a : b + 1] - base
+        n, gram = len(data), min(GRAM, window)
+        if n < window:
+            none, nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return none, none, none, nothing, nothing
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_CODES[data] * powers(BASE, n), out=sums[1:])
+        back = powers(INVERSE, n)
+        grams = mix((sums[gram:] - sums[: n - gram + 1]) * back[: n - gram + 1])
+        least = _sliding_least(grams, window - gram + 1)
+        fits = np.zeros(n - window + 1, bool)  # windows inside one text
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if y - x >= window:
+                fits[x : y - window + 1] = True
+        at = np.flatnonzero(fits)
+        row = np.searchsorted(bounds, at, "right") - 1
+        of = least[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (of[1:] != of[:-1]) | (row[1:] != row[:-1])
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(at)]])[: len(first)] - 1
+        start, end = at[first], at[last] + window
+        # The place of the anchor in the context is part of its hash.
+        inside = ((end - start) * 64 + (of[first] - start)).astype(np.uint64)
+        key = mix(((sums[end] - sums[start]) * back[start]) ^ mix(inside)) >> U64(16)
+        return row[first] + a, start + base, end + base, grams[of[first]] >> U64(16), key
+
     def buckets(self, bits: int):
         """(bucket, from, to, packed anchors) of the different contexts."""
         return exchange.pack_sorted(self.anchor[self.top] << U64(16), bits, _LOW_ANCHOR)
@@ -111,25 +120,25 @@ class _Contexts:
 
 def _emit(table: pa.Table, window: int, bits: int):
     c = _Contexts(table, window)
-    steps = np.diff(c.earliest, prepend=0).astype(np.int64).tobytes()
+    names = exchange.pack_ids(c.earliest)
     kind = np.uint16 if len(c.earliest) <= 65536 else np.uint32
     keys = c.key[c.top].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_CONTEXT]
     for bucket, a, b, body in c.buckets(bits):
         ranks = c.rank[c.top[a:b]].astype(kind).tobytes()
-        yield bucket, exchange.join_parts(body, keys[a:b].tobytes(), ranks, steps)
+        yield bucket, exchange.join_parts(body, keys[a:b].tobytes(), ranks, names)
 
 
 def _reply(bodies: list[bytes], bits: int) -> list[bytes]:
     anchors, keys, ids, sizes = [], [], [], []
     for body in bodies:
-        packed, key, ranks, steps = exchange.split_parts(body, 4)
+        packed, key, ranks, names = exchange.split_parts(body, 4)
         anchor = exchange.unpack_sorted(packed, bits, _LOW_ANCHOR)
         wide = np.zeros((len(anchor), 8), np.uint8)
         wide[:, :_CONTEXT] = np.frombuffer(key, np.uint8).reshape(-1, _CONTEXT)
         ranks = np.frombuffer(ranks, np.uint16 if len(ranks) == 2 * len(anchor) else np.uint32)
         anchors.append(anchor)
         keys.append(wide.reshape(-1).view("<u8"))
-        ids.append(np.cumsum(np.frombuffer(steps, np.int64))[ranks])
+        ids.append(exchange.unpack_ids(names)[ranks])
         sizes.append(len(anchor))
     anchor, key, doc = map(np.concatenate, (anchors, keys, ids))
     order = np.lexsort((key, anchor))
@@ -167,10 +176,11 @@ def _resolve(table: pa.Table, answers: list[tuple[int, bytes]], window: int, bit
     gone = (code[c.number] == _EARLIER) | (c.rank > c.rank[c.top[c.number]])
     row, start, end = [c.row[gone]], [c.start[gone]], [c.end[gone]]
     text = c.data.tobytes()
-    sent: dict[int, list[tuple[int, int, int, int]]] = {}
-    shared = c.top[code == _SHARED]
-    for i, a in zip(shared.tolist(), (c.anchor[shared] >> U64(48 - bits)).tolist(), strict=True):
-        sent.setdefault(a, []).append((int(c.row[i]), int(c.start[i]), int(c.end[i]), int(c.rank[i])))
+    sent: dict[int, list[tuple[int, int, int, int, int]]] = {}
+    for i in c.top[code == _SHARED].tolist():
+        anchor = int(c.anchor[i])
+        context = (int(c.row[i]), int(c.start[i]), int(c.end[i]), int(c.rank[i]), anchor)
+        sent.setdefault(anchor >> (48 - bits), []).append(context)
     # Single windows of anchors with many contexts: the earliest document's of each, later ones go at once.
     windows: dict[bytes, tuple[int, int]] = {}
     later = []
@@ -179,8 +189,9 @@ def _resolve(table: pa.Table, answers: list[tuple[int, bytes]], window: int, bit
         for s in range(int(c.start[i]), int(c.end[i]) - window + 1):
             known = windows.setdefault(text[s : s + window], (int(c.rank[i]), s))
             if known[1] == s:
-                bucket = int.from_bytes(hashlib.blake2b(text[s : s + window], digest_size=2).digest(), "big") >> (16 - bits)
-                sent.setdefault(bucket, []).append((int(c.row[i]), s, s + window, int(c.rank[i])))
+                anchor = int.from_bytes(hashlib.blake2b(text[s : s + window], digest_size=6).digest(), "big")
+                context = (int(c.row[i]), s, s + window, int(c.rank[i]), anchor)
+                sent.setdefault(anchor >> (48 - bits), []).append(context)
             elif known[0] < c.rank[i]:
                 later.append((c.row[i], s, s + window))
     if later:
@@ -189,9 +200,9 @@ def _resolve(table: pa.Table, answers: list[tuple[int, bytes]], window: int, bit
     chunk = table["chunk"][0].as_py()
     rows = [(-1 - chunk, chunk, _pack_spans(*map(np.concatenate, (row, start, end))))]
     for bucket, contexts in sent.items():
-        r, s, e, k = np.array(contexts, np.int64).T
+        r, s, e, k, anchor = np.array(contexts, np.int64).T
         body = b"".join(text[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True))
-        rows.append((bucket, chunk, exchange.join_parts(np.stack([r, s, e, c.earliest[k]]).tobytes(), body)))
+        rows.append((bucket, chunk, exchange.join_parts(np.stack([r, s, e, c.earliest[k], anchor]).tobytes(), body)))
     return pa.table([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), exchange.MESSAGE_TYPES, strict=True)], schema=exchange.MESSAGE_TYPES)
 
 
@@ -265,6 +276,21 @@ def repeats_to_remove(strings: list[bytes], docs: np.ndarray, window: int) -> np
     return np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
 
 
+def _by_anchor(strings: list[bytes], docs: np.ndarray, anchors: np.ndarray, window: int) -> np.ndarray:
+    """``repeats_to_remove`` of strings that can only repeat each other where their anchors are equal."""
+    order = np.argsort(anchors, kind="stable")
+    suffixes = np.cumsum([len(strings[i]) - window + 1 for i in order])
+    ends = np.concatenate([np.flatnonzero(np.diff(anchors[order])) + 1, [len(order)]])
+    out, begin, done = [], 0, 0
+    for k, end in enumerate(ends):
+        if k + 1 == len(ends) or suffixes[ends[k + 1] - 1] - done > _SUFFIXES:
+            part = order[begin:end]
+            string, a, b = repeats_to_remove([strings[i] for i in part], docs[part], window)
+            out.append(np.stack([part[string], a, b]))
+            begin, done = end, suffixes[end - 1]
+    return np.concatenate(out, axis=1)
+
+
 def _compare(key: tuple, table: pa.Table, window: int) -> pa.Table:
     """Contexts of one bucket compared; spans that a chunk sent itself pass through."""
     if key[0].as_py() < 0:
@@ -272,14 +298,14 @@ def _compare(key: tuple, table: pa.Table, window: int) -> pa.Table:
     chunks, heads, strings, sizes = [], [], [], []
     for chunk, body in zip(table["chunk"].to_pylist(), table["body"].to_pylist(), strict=True):
         head, data = exchange.split_parts(body, 2)
-        head = np.frombuffer(head, np.int64).reshape(4, -1)
+        head = np.frombuffer(head, np.int64).reshape(5, -1)
         at = np.concatenate([[0], np.cumsum(head[2] - head[1])]).tolist()
         strings += [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         heads.append(head)
         chunks.append(chunk)
         sizes.append(head.shape[1])
-    row, begin, _, doc = np.concatenate(heads, axis=1)
-    string, start, end = repeats_to_remove(strings, doc, window)
+    row, begin, _, doc, anchor = np.concatenate(heads, axis=1)
+    string, start, end = _by_anchor(strings, doc, anchor, window)
     of = np.repeat(np.arange(len(chunks)), sizes)[string]
     out = []
     for k, chunk in enumerate(chunks):
