@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds join training passages to test items, alignment scores them.
 
 Words are compared in lower case without punctuation. The document frequency of every three-word sequence of
-the benchmark is counted over all documents; the rarer half of an item's sequences are its seeds (so a passage
-that stands in very many documents still has seeds). Where a document has seeds of an item on nearby diagonals,
+the benchmark is counted over all documents; an item's seeds are its sequences that are rare for it, in at most
+``RARE_TIMES`` times as many documents as its median sequence (so a passage that stands in very many documents
+still has seeds), or in ``RARE`` documents at most. Where a document has seeds of an item on nearby diagonals,
 the passage around them is aligned with the item by Smith-Waterman (match 2, mismatch and gap -1), all passages
 of a batch at once. A document is contaminated by an item from a score of ``LEAST_SCORE`` times the score of
 the whole item on.
@@ -33,6 +34,7 @@ from facetry.llm.words import U64, Words, cut, shingles
 
 SEED_WORDS = 3
 LEAST_SCORE = 0.5
+RARE, RARE_TIMES = 8, 4
 PART_BYTES = 8_000_000
 MATCH, OTHER = 2, -1
 _CELLS = 50_000
@@ -98,12 +100,13 @@ def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
     return out[np.searchsorted(items.seeds, items.seeds)]
 
 
-def _rarer_half(items: Items, frequency: np.ndarray) -> Items:
-    order = np.lexsort((items.place, frequency, items.item))
+def _rare(items: Items, frequency: np.ndarray) -> Items:
+    """The items with their seeds only."""
+    order = np.lexsort((frequency, items.item))
     sizes = np.bincount(items.item, minlength=len(items.ids))
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    rank = np.arange(len(order)) - first[items.item[order]]
-    kept = np.sort(order[rank < (sizes[items.item[order]] + 1) // 2])
+    middle = np.concatenate([[0], np.cumsum(sizes)])[:-1] + np.maximum(sizes - 1, 0) // 2
+    median = frequency[order[np.minimum(middle, max(0, len(order) - 1))]] if len(order) else sizes
+    kept = np.flatnonzero(frequency <= np.maximum(RARE, RARE_TIMES * median[items.item]))
     seeds = items.seeds[kept]
     sieve = np.zeros_like(items.sieve)
     sieve[(seeds & U64(len(sieve) - 1)).astype(np.int64)] = True
@@ -199,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
 
 def _contaminated_by(docs: DataFrame, rows: list[Row], least: float) -> DataFrame:
     all_items = _items(rows)
-    items = _rarer_half(all_items, _frequencies(docs, all_items))
+    items = _rare(all_items, _frequencies(docs, all_items))
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
