@@ -38,8 +38,8 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that earlier ones have; those that had text and lost all of it go."""
-    left = remove_repeated_bytes(docs, carry=("lang", "source", "n_chars"))
-    left = left.where("n_removed = 0 or octet_length(text) > 0")
+    left = remove_repeated_bytes(docs.withColumn("given", F.col("text").isNotNull()), carry=("lang", "source", "n_chars", "given"))
+    left = left.where("n_removed = 0 or octet_length(text) > 0").withColumn("text", F.when(F.col("given"), F.col("text")))
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed.cast("long")).select(*COLUMNS)
 
