@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from decimal import Decimal
 from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
@@ -26,7 +27,9 @@ FORBIDDEN_WORDS = ("eval", "exec", "import", "__main__")
 NUMBER = re.compile(r"^-?[0-9]+(?:\.[0-9]+)?(?:e-?\d+)?$")
 SPELLINGS = {".and.": " & ", ".or.": " | ", ".eq.": "=="}
 
-QUOTED = re.compile(r"""('[^']*'|"[^"]*")""")
+BACK_QUOTED = re.compile(r"""'[^']*'|"[^"]*"|`([^`]+)`""")
+QUOTED = re.compile(r"""('[^']*'|"[^"]*"|`[^`]*`)""")
+MOST_DIGITS = 38
 COMPARATORS = {ast.Gt: ">", ast.GtE: ">=", ast.Lt: "<", ast.LtE: "<=", ast.Eq: "==", ast.NotEq: "!="}
 
 
@@ -37,14 +40,31 @@ def expand_spellings(text: str) -> str:
     return text
 
 
-def _parse(text: str) -> ast.expr:
+def _parse(text: str) -> tuple[ast.expr, str]:
+    """The tree of a text, and the text that its positions refer to.
+
+    A name in back quotes (a Python keyword, a name with blanks) is read as a placeholder of the same meaning.
+    """
     for word in FORBIDDEN_WORDS:
         if word in text:
             raise ExpressionError(f"the word {word!r} is not allowed")
+    names: dict[str, str] = {}
+
+    def placeholder(match: re.Match) -> str:
+        if match[1] is None:
+            return match[0]
+        return names.setdefault(match[1], f"quoted_name_{len(names)}_")
+
+    source = BACK_QUOTED.sub(placeholder, text.strip())
     try:
-        return ast.parse(text.strip(), mode="eval").body
+        tree = ast.parse(source, mode="eval").body
     except (SyntaxError, ValueError) as error:
         raise ExpressionError(f"cannot read {text!r}: {error}") from None
+    given = {alias: name for name, alias in names.items()}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Name):
+            node.id = given.get(node.id, node.id)
+    return tree, source
 
 
 # Conditions -------------------------------------------------------------------------------------
@@ -60,8 +80,8 @@ def condition(df: DataFrame, text: str | None, invert: bool = False) -> Column |
         return None
     pieces = QUOTED.split(text)
     pieces[::2] = [p.replace("&", " and ").replace("|", " or ") for p in pieces[::2]]
-    source = "".join(pieces).strip()
-    result = _Conditions(df, source).column(_parse(source))
+    tree, source = _parse("".join(pieces))
+    result = _Conditions(df, source).column(tree)
     return ~result if invert else result
 
 
@@ -127,6 +147,8 @@ class _Conditions:
             return column(node.id)
         if is_numeric(dtype):
             value = self.numeric_value(node)
+            if isinstance(dtype, T.DecimalType):
+                return self.decimal_value(node, dtype)
             if isinstance(dtype, T.IntegralType):
                 return F.lit(int(value)) if value == int(value) else F.lit(value)
             return F.lit(value).cast(dtype)
@@ -138,6 +160,18 @@ class _Conditions:
             raise self.error("a text column is compared with a quoted text")
         return F.lit(node.value)
 
+    def decimal_value(self, node: ast.expr, dtype: T.DecimalType) -> Column:
+        """A literal that keeps all its digits: in the column's type if that holds it, else in one of its own."""
+        value = Decimal((ast.get_source_segment(self.source, node) or "").replace(" ", ""))
+        digits = value.as_tuple()
+        scale = max(0, -digits.exponent)
+        whole = max(0, len(digits.digits) + digits.exponent)
+        if scale <= dtype.scale and whole <= dtype.precision - dtype.scale:
+            return F.lit(value).cast(dtype)
+        if whole + scale <= MOST_DIGITS and max(whole, dtype.precision - dtype.scale) + max(scale, dtype.scale) <= MOST_DIGITS:
+            return F.lit(value).cast(T.DecimalType(whole + scale, scale))
+        return F.lit(float(value))
+
     def numeric_value(self, node: ast.expr) -> int | float:
         text = (ast.get_source_segment(self.source, node) or "").replace(" ", "")
         if not NUMBER.match(text):
@@ -173,8 +207,16 @@ def _maximum(a: Column, b: Column) -> Column:
     return _smaller_or_larger(F.greatest)(a, b)
 
 
+def _minus(x: Column) -> Column:
+    return F.try_subtract(F.lit(0), x)
+
+
+def _absolute(x: Column) -> Column:
+    return F.when(x < 0, _minus(x)).otherwise(x)
+
+
 FUNCTIONS: dict[str, tuple[int, Callable[..., Column]]] = {
-    "abs": (1, F.abs),
+    "abs": (1, _absolute),
     "sqrt": (1, F.sqrt),
     "exp": (1, F.exp),
     "log": (1, F.ln),
@@ -203,7 +245,8 @@ FUNCTIONS: dict[str, tuple[int, Callable[..., Column]]] = {
     "clip": (3, lambda x, low, high: _minimum(_maximum(x, low), high)),
 }
 
-# ``try_`` forms give NULL where a division by zero or an integer overflow would end the job.
+# ``try_`` forms give NULL where a division by zero or an integer overflow would end the job.  Whole numbers are
+# counted in 64 bits, whatever the type of their column.
 ARITHMETIC = {
     ast.Add: F.try_add,
     ast.Sub: F.try_subtract,
@@ -215,7 +258,7 @@ ARITHMETIC = {
 
 def formula_names(text: str) -> set[str]:
     """The columns a formula reads."""
-    tree = _parse(text)
+    tree, _ = _parse(text)
     called = {n.func.id for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}
     return {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} - (called & set(FUNCTIONS))
 
@@ -224,12 +267,16 @@ def formula(df: DataFrame, text: str) -> Column:
     """The numeric column of a formula such as ``4.44 + 4*log10(teff/5770)``."""
     if not text or not text.strip():
         raise ExpressionError("no formula given")
-    result = _formula_node(_parse(text), df)
+    result = _formula_node(_parse(text)[0], df)
     if isinstance(df.select(result.alias("x")).schema["x"].dataType, T.BooleanType):
         raise ExpressionError("a formula must give a number, not a comparison")
     return result
 
 
+def _is_long(value: int | float) -> bool:
+    return isinstance(value, int) and -(2**63) <= value < 2**63
+
+
 def _bit_difference(df: DataFrame, left: Column, right: Column) -> Column:
     """``^``, which is the bit operator and no power, and so takes whole numbers only."""
     types = [f.dataType for f in df.select(left.alias("a"), right.alias("b")).schema.fields]
@@ -246,15 +293,16 @@ def _formula_node(node: ast.expr, df: DataFrame) -> Column:
         return _formula_node(part, df)
 
     if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
-        return F.lit(node.value)
+        return F.lit(node.value).cast("bigint") if _is_long(node.value) else F.lit(float(node.value))
     if isinstance(node, ast.Name):
         if node.id not in types:
             raise ExpressionError(f"there is no column {node.id!r}")
         if not isinstance(types[node.id], (T.NumericType, T.BooleanType)):
             raise ExpressionError(f"column {node.id!r} is not numeric")
-        return column(node.id)
+        whole = isinstance(types[node.id], T.IntegralType)
+        return column(node.id).cast("bigint") if whole else column(node.id)
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
-        return -sub(node.operand) if isinstance(node.op, ast.USub) else sub(node.operand)
+        return _minus(sub(node.operand)) if isinstance(node.op, ast.USub) else sub(node.operand)
     if isinstance(node, ast.BinOp):
         if isinstance(node.op, ast.BitXor):
             return _bit_difference(df, sub(node.left), sub(node.right))

@@ -6,6 +6,8 @@ the condition an IN subquery: a semi join that Spark broadcasts or shuffles by t
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from facetry.errors import FacetryError
 from facetry.functions.missing import column, type_of
 from facetry.profile import CatalogProfile
-from facetry.sources.identifiers import NOT_INTEGERS, parse_identifiers
+from facetry.sources.identifiers import INTEGER, NOT_INTEGERS, parse_identifiers
 
 MOST_LITERALS = 1000
 
@@ -49,7 +51,7 @@ def text_identifiers(text: str, dtype: T.DataType) -> list[int] | list[str]:
     lines = dict.fromkeys(line.strip() for line in text.split("\n") if line.strip())
     if isinstance(dtype, T.StringType):
         return list(lines)
-    try:
-        return list(dict.fromkeys(int(line) for line in lines))
-    except ValueError:
-        raise FacetryError(NOT_INTEGERS) from None
+    bad = next((line for line in lines if not re.fullmatch(INTEGER, line) or not -(2**63) <= int(line) < 2**63), None)
+    if bad is not None:
+        raise FacetryError(f"{NOT_INTEGERS}: {bad}")
+    return list(dict.fromkeys(int(line) for line in lines))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from facetry.errors import FacetryError
 from facetry.functions.missing import column
-from facetry.functions.text import has_words, search_patterns
+from facetry.functions.text import has_words, text_has_words
 
 # Fixed value: hits of the glossary shown at once.
 GLOSSARY_HITS = 20
@@ -23,8 +22,7 @@ def fuzzy_search(df: DataFrame, query: str, name: str) -> DataFrame:
 
 def matching_names(names: Iterable[str], query: str) -> list[str]:
     """The names of a short list that hold all words of the query."""
-    patterns = [re.compile(p, re.IGNORECASE | re.MULTILINE) for p in search_patterns(query)]
-    return [n for n in names if patterns and all(p.search(n) for p in patterns)]
+    return [n for n in names if text_has_words(n, query)]
 
 
 def glossary_search(df: DataFrame, query: str, names: Sequence[str] = ("name", "description")) -> DataFrame:
@@ -49,15 +47,14 @@ def hit_counts(df: DataFrame, query: str, names: Sequence[str] = ("name", "descr
 
 
 def unknown_names(df: DataFrame, name: str, requested: Iterable[str]) -> DataFrame:
-    """The requested names that do not occur in the column."""
+    """The requested names that do not occur in the column, found in one pass over it."""
     asked = df.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(requested)], "name string")
     known = df.select(column(name).alias("name")).where(F.col("name").isin(list(requested))).distinct()
     return asked.join(known, "name", "left_anti")
 
 
 def require_known(df: DataFrame, name: str, requested: Sequence[str], what: str) -> None:
-    """Refuse names that do not occur; reads at most as many rows as there are names."""
-    if requested:
-        unknown = sorted(r["name"] for r in unknown_names(df, name, requested).collect())
-        if unknown:
-            raise FacetryError(f"unknown {what}: {', '.join(unknown)}")
+    """Refuse names that do not occur; reading stops at the first row of each name."""
+    unknown = sorted(n for n in dict.fromkeys(requested) if df.where(column(name) == F.lit(n)).isEmpty())
+    if unknown:
+        raise FacetryError(f"unknown {what}: {', '.join(unknown)}")

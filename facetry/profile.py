@@ -18,7 +18,7 @@ SURVEY_ONLY = "sdss5 only"
 TEXT_IDENTIFIER = "sdss4_apogee"
 
 QUICK_FLAGS = {
-    SURVEY_ONLY: f"release == '{SURVEY}'",
+    "sdss5 only": "release == 'sdss5'",
     "snr > 50": "snr >= 50",
     "purely non-flagged": "result_flags == 0",
     "no bad flags": "flag_bad == 0",
@@ -28,8 +28,8 @@ QUICK_FLAGS = {
 IDENTIFIER_COLUMNS = {
     "gaia_dr3": "gaia_dr3_source_id",
     "gaia_dr2": "gaia_dr2_source_id",
-    SURVEY: TARGET_ID,
-    TEXT_IDENTIFIER: "sdss4_apogee_id",
+    "sdss5": "sdss_id",
+    "sdss4_apogee": "sdss4_apogee_id",
     "tic_v8": "tic_v8_id",
 }
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = " \t\r\n\v\f"
+INTEGER = "[+-]?[0-9]+"
 # Fixed value: the message users know.
 NOT_INTEGERS = "failed to convert to integer identifiers"
 
@@ -23,7 +24,8 @@ def trimmed(line: Column) -> Column:
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Each line with its text and its integer, NULL where it is none; blank lines are dropped."""
     text = lines.select(trimmed(F.col("value")).alias("text")).where(F.col("text") != "")
-    return text.select("text", F.col("text").try_cast("bigint").alias("number"))
+    whole = F.col("text").rlike(f"^{INTEGER}$")
+    return text.select("text", F.when(whole, F.col("text").try_cast("bigint")).alias("number"))
 
 
 def parse_identifiers(lines: DataFrame, dtype: T.DataType) -> DataFrame:

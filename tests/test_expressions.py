@@ -2,12 +2,14 @@ import math
 import operator
 import random
 
+from random import Random
+
 import pytest
 from conftest import close
 
 from facetry.errors import ExpressionError, FacetryError
 from facetry.functions.expressions import condition, expand_spellings, formula, formula_names
-from facetry.functions.text import any_order_pattern, has_words
+from facetry.functions.text import has_words, text_has_words
 from facetry.operators.search import matching_names
 from facetry.operators.computed import ComputedColumns
 from facetry.profile import TARGET_ID
@@ -272,8 +274,64 @@ def test_fuzzy(spark, query, hits):
     assert set(map(texts.index, matching_names(texts, query))) == hits
 
 
-def test_pattern_of_two_words():
-    assert any_order_pattern(["a", "b"]) == "a.*b|b.*a"
+def apart(line, words):
+    """Brute force: every way to place the words, one after the other."""
+    if not words:
+        return True
+    word, *rest = words
+    places = [i for i in range(len(line)) if line.startswith(word, i)]
+    return any(apart(line[:i] + "\0" * len(word) + line[i + len(word) :], rest) for i in places)
+
+
+@pytest.mark.parametrize("n", range(1, 9))
+def test_words_apart_as_brute_force(spark, n):
+    random = Random(n)
+    texts = ["".join(random.choice("ab c\n") for _ in range(random.randint(0, 16 + n))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for _ in range(4):
+        words = ["".join(random.choice("abc") for _ in range(random.choice((1, 1, 2, 3)))) for _ in range(n)]
+        query = " ".join(words)
+        hits = {i for i, t in enumerate(texts) if any(apart(line, words) for line in t.split("\n"))}
+        assert {r["i"] for r in df.where(has_words(F.col("t"), query)).collect()} == hits
+        assert {i for i, t in enumerate(texts) if text_has_words(t, query)} == hits
+
+
+def test_seven_words_of_which_two_overlap(spark):
+    df = spark.createDataFrame([("abcde f",), ("abc bcd cde a e f",)], "t string")
+    assert [r.t for r in df.where(has_words(F.col("t"), "abc bcd")).collect()] == ["abc bcd cde a e f"]
+    assert [r.t for r in df.where(has_words(F.col("t"), "abc bcd cde a e f")).collect()] == ["abc bcd cde a e f"]
+
+
+def test_whole_numbers_are_counted_in_64_bits(spark):
+    least, most = -(2**63), 2**63 - 1
+    df = spark.createDataFrame([(2_000_000, 3_000, -(2**31), least), (-(2**31), 2, 5, most)], "a int, b int, c int, d bigint")
+    def got(text):
+        return [r.x for r in df.select(formula(df, text).alias("x")).collect()]
+
+    assert got("a * b") == [6_000_000_000, -(2**32)]
+    assert got("a * 10000") == [20_000_000_000, -(2**31) * 10000]
+    assert got("-a") == [-2_000_000, 2**31]
+    assert got("abs(c)") == [2**31, 5]
+    assert got("-d") == [None, -most]
+    assert got("abs(d)") == [None, most]
+
+
+def test_decimals_keep_their_digits(spark):
+    df = spark.sql("select cast(x as decimal(10,2)) as d from values (0.05), (0.06), (null) as t(x)")
+    def got(text):
+        return [str(r.d) for r in df.where(condition(df, text)).collect()]
+
+    assert got("d > 0.055") == ["0.06"]
+    assert got("d == 0.05") == ["0.05"]
+    assert got("d < 1e12") == ["0.05", "0.06"]
+    assert got("d < 1e60") == ["0.05", "0.06"]
+
+
+def test_quoted_names(spark):
+    df = spark.createDataFrame([(1, 2), (3, 4)], ["class", "two words"])
+    assert [r[0] for r in df.where(condition(df, "`class` > 1 & `two words` == 4")).collect()] == [3]
+    assert [r.x for r in df.select(formula(df, "`class` + `two words`").alias("x")).collect()] == [3, 7]
+    assert formula_names("`class` + 1") == {"class"}
 
 
 def test_identifier_columns_exist(stars):

@@ -62,6 +62,20 @@ def vc_arith(spark, sf):
     return rounded(df.select(*LINEITEM_KEY, value.alias("v")), "v", digits=4)
 
 
+@query(
+    "vc_int_wide",
+    sql=f"""
+SELECT {KEY_SQL}, (l_partkey % 2000)::bigint * 1000000 * l_linenumber AS v, l_linenumber::bigint * 2000000000 AS w
+FROM lineitem
+""",
+)
+def vc_int_wide(spark, sf):
+    """Products of two columns of 32 bits that need 64."""
+    df = lineitem(spark, sf).withColumn("wide", (F.col("l_partkey") % 2000 * 1_000_000).cast("int"))
+    values = [formula(df, text).alias(n) for n, text in (("v", "wide * l_linenumber"), ("w", "l_linenumber * 2000000000"))]
+    return df.select(*LINEITEM_KEY, *values)
+
+
 @query("vc_log10", sql="SELECT o_orderkey, round(4.44 + 4 * log10(o_totalprice / 5770), 6) AS lg FROM orders")
 def vc_log10(spark, sf):
     df = table(spark, sf, "orders")

@@ -8,7 +8,7 @@ from facetry.functions.expressions import condition
 from facetry.operators.crossfilter import CrossFilter
 from facetry.operators.crossmatch import crossmatch_condition
 from facetry.operators.quickflags import flag_condition
-from facetry.operators.search import first_hits, fuzzy_search, glossary_search, unknown_names
+from facetry.operators.search import first_hits, fuzzy_search, glossary_search, hit_counts, unknown_names
 from facetry.operators.targeting import target_condition
 from facetry.plans.subset import SubsetSpec
 from facetry.sources.identifiers import classify_lines
@@ -282,6 +282,43 @@ def glossary_first(spark, sf):
     return first_hits(hits, "p_partkey").select("p_partkey", "p_name")
 
 
+@query(
+    "glossary_shown",
+    sql="""
+SELECT least(count(*), 20) AS shown, count(*) AS total FROM part
+WHERE regexp_matches(p_name, '(?i)(ring)') OR regexp_matches(p_type, '(?i)(ring)')
+""",
+)
+def glossary_shown(spark, sf):
+    return hit_counts(table(spark, sf, "part"), "ring", ["p_name", "p_type"])
+
+
+@query(
+    "fuzzy_search_many",
+    sql="""
+SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line FROM documents)
+WHERE contains(line, 'of') AND contains(line, 'ly') AND contains(line, 'ed') AND contains(line, 'wh')
+  AND contains(line, 'ou') AND regexp_matches(line, 'nds.*sh|sh.*nds')
+""",
+)
+def fuzzy_search_many(spark, sf):
+    """Seven words, of which two can overlap."""
+    return fuzzy_search(table(spark, sf, "documents"), "of LY ed wh ou nds sh", "text").select("doc_id")
+
+
+@query(
+    "expr_decimal",
+    sql=f"""
+SELECT {KEY_SQL} FROM lineitem
+WHERE l_discount::decimal(10, 2) > 0.055 AND l_tax::decimal(10, 2) < 1000000000000
+""",
+)
+def expr_decimal(spark, sf):
+    df = lineitem(spark, sf)
+    cast = df.withColumns({c: F.col(c).cast("decimal(10,2)") for c in ("l_discount", "l_tax")})
+    return cast.where(condition(cast, "l_discount > 0.055 & l_tax < 1e12")).select(*LINEITEM_KEY)
+
+
 @query(
     "unknown_names",
     sql="""
