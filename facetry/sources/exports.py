@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -13,7 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetry.errors import EmptySubsetError
+from facetry.errors import EmptySubsetError, FacetryError
 from facetry.functions.missing import column
 from facetry.plans.subset import SubsetSpec
 from facetry.sources.catalog import Catalog, keep
@@ -22,6 +22,8 @@ from facetry.sources.catalog import Catalog, keep
 CHUNK_ROWS = 60_000
 IN_PROGRESS, COMPLETE, FAILED = "in_progress", "complete", "failed"
 
+REBALANCED_BYTES = 8 << 30
+
 MANIFEST_SCHEMA = (
     "uid string, name string, status string, message string, filepath string, n_rows bigint, updated timestamp"
 )
@@ -36,16 +38,40 @@ def export_name(spec: SubsetSpec, release: str, datatype: str, when: datetime) -
 def write_subset(rows: DataFrame, path: str, chunk_rows: int = CHUNK_ROWS) -> int:
     """Write rows in chunks and return how many a reader will find; no rows is an error.
 
-    The count comes from the footers of the written files, so the subset is computed once only.
-    Rebalancing gives files of an even size: a selective subset would else leave one small file per task.
+    The count comes from the footers of the written files, so the subset is computed once only.  The files lie
+    under a hidden name until they are complete; an empty or failed export leaves nothing.
     """
-    rows.hint("rebalance").write.option("parquet.block.row.count.limit", chunk_rows).parquet(path)
-    written = rows.sparkSession.read.schema(rows.schema).parquet(path).count()
-    if written == 0:
-        raise EmptySubsetError("the subset has no rows to export")
+    folder, _, name = path.rpartition("/")
+    hidden = f"{folder}/_{name}"
+    fs, at = _file_system(rows.sparkSession, hidden)
+    try:
+        _even_files(rows).write.option("parquet.block.row.count.limit", chunk_rows).parquet(hidden)
+        written = rows.sparkSession.read.schema(rows.schema).parquet(hidden).count()
+        if written == 0:
+            raise EmptySubsetError("the subset has no rows to export")
+        if not fs.rename(at, _file_system(rows.sparkSession, path)[1]):
+            raise FacetryError(f"cannot rename the finished export to {path}")
+    except BaseException:
+        fs.delete(at, True)
+        raise
     return written
 
 
+def _even_files(rows: DataFrame) -> DataFrame:
+    """Rows dealt anew into files of an even size, where the table they come from is small.
+
+    A selective subset of a small table would else leave one small file per task.  A large one is written where
+    it is read, without a shuffle.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.hint("rebalance") if size <= REBALANCED_BYTES else rows
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def export_subset(
     catalog: Catalog, spec: SubsetSpec, folder: str, identifiers: DataFrame | None = None
 ) -> tuple[str, int]:
@@ -99,14 +125,15 @@ def export_batch(
         try:
             path, n_rows = export_subset(catalog, spec, f"{folder.rstrip('/')}/{uid}")
         except Exception as error:  # whatever ends one job must not end the others
-            return uid, spec.name, FAILED, str(error).splitlines()[0], None, None
+            lines = str(error).strip().splitlines() or [type(error).__name__]
+            return uid, spec.name, FAILED, lines[0], None, None
         return uid, spec.name, COMPLETE, "", path, n_rows
 
     uses = Counter(spec.dataset for spec in jobs.values())
     kept = [keep(catalog.slice(d)) for d, n in uses.items() if n > 1] if keep_slices else []
     target = inheritable_thread_target(catalog.table.sparkSession)(run)
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        for done in [pool.submit(target, uid, spec) for uid, spec in jobs.items()]:
+        for done in as_completed([pool.submit(target, uid, spec) for uid, spec in jobs.items()]):
             manifest.append([done.result()])
     for held in kept:
         held.unpersist()

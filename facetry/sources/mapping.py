@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetry.errors import CatalogError
-
 
 def read_mapping(
     spark: SparkSession, path: str, mapper: str = "mapper", alt_name: str = "alt_name"
 ) -> DataFrame:
-    """``(bit, mapper, alt_name)`` of a mapping file whose row position is the bit number.
+    """``(bit, mapper, alt_name)`` of a mapping whose row position is the bit number.
 
-    The position comes from the file, not from the order in which Spark reads it, and means something
-    in a single file only.
+    The position comes from the files, not from the order in which Spark reads them: rows of earlier files,
+    in the order of their names, plus the row's place in its own. A mapping with a column ``bit`` uses that.
     """
     df = spark.read.parquet(path)
-    if len(df.inputFiles()) != 1:
-        raise CatalogError(f"the mapping at {path} must be one file: its row positions are the bits")
-    return df.select(
-        F.col("_metadata.row_index").cast("int").alias("bit"),
-        F.col(mapper).alias("mapper"),
-        F.col(alt_name).alias("alt_name"),
-    )
+    named = [F.col(mapper).alias("mapper"), F.col(alt_name).alias("alt_name")]
+    if "bit" in df.columns:
+        return df.select(F.col("bit").cast("int").alias("bit"), *named)
+    rows = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), *named)
+    # One row per file.
+    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file")) - F.col("n")
+    placed = rows.join(sizes.select("file", before.alias("before")), "file")
+    return placed.select((F.col("before") + F.col("place")).cast("int").alias("bit"), "mapper", "alt_name")

@@ -1,6 +1,7 @@
 """Tables about columns: the columns allowed per dataset, and the glossary of column names.
 
-Both are published as one JSON object in one file, whose size is that of a schema.
+Both are published as one JSON object, or as lines of JSON objects with the same entries, in one file or many;
+they are written as lines, in parallel.
 """
 
 from __future__ import annotations
@@ -14,24 +15,19 @@ from facetry.profile import DEFAULT_RELEASE
 from facetry.sources.catalog import Catalog, CatalogPaths
 from facetry.sources.mapping import read_mapping
 
-MOST_ENTRIES = 100_000
 ALLOWED_TYPE = "map<string, array<string>>"
 GLOSSARY_TYPE = "map<string, struct<name: string, description: string, type: string, unit: string>>"
 
 
 def _read_object(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
+    # An object begins with the brace that opens a line; those inside of it follow their keys.
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
     return text.select(F.explode(F.from_json("value", kind)).alias("key", "item"))
 
 
 def _write_object(pairs: DataFrame, path: str) -> None:
-    """Write ``(key, item)`` rows as one JSON object; a table with more rows than any schema is refused."""
-    few = pairs.limit(MOST_ENTRIES + 1)
-    whole = few.agg(F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("key", "item"))).alias("object"))
-    text = F.when(F.col("n") <= MOST_ENTRIES, F.to_json("object")).otherwise(
-        F.raise_error(F.lit(f"more than {MOST_ENTRIES} entries in one JSON object")).cast("string")
-    )
-    whole.select(text.alias("value")).write.text(path)
+    """Write ``(key, item)`` rows as lines of JSON objects with one entry each."""
+    pairs.select(F.to_json(F.create_map("key", "item")).alias("value")).write.text(path)
 
 
 def read_allowed_columns(spark: SparkSession, path: str) -> DataFrame:

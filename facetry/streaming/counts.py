@@ -12,13 +12,14 @@ from facetry.functions.missing import column
 from facetry.workspace import new_folder
 
 
-def count_arrivals(stream: DataFrame, condition: Column, key: str) -> DataFrame:
+def count_arrivals(stream: DataFrame, condition: Column, key: str, folder: str | None = None) -> DataFrame:
     """Count the rows of a stream that meet a condition, per value of ``key``, and return the totals.
 
     Takes all rows that have arrived, and stops.  The file sink records which files belong to which
-    micro-batch, so a batch that is repeated after a failure is counted once.
+    micro-batch, so a batch that is repeated after a failure is counted once.  A second call with the same
+    ``folder`` takes only what has arrived since, and returns the totals of all calls.
     """
-    folder = new_folder(stream.sparkSession, "arrivals")
+    folder = folder or new_folder(stream.sparkSession, "arrivals")
     kept = stream.where(condition).select(column(key))
     query = (
         kept.writeStream.format("parquet")

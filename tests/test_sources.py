@@ -1,5 +1,6 @@
 import glob
 import json
+import time
 from datetime import datetime
 from types import SimpleNamespace
 
@@ -21,7 +22,7 @@ from facetry.sources.catalog import (
     write_catalog,
 )
 from facetry.sources.exports import Manifest, export_batch, export_name, export_subset, write_subset
-from facetry.sources import metadata
+from facetry.sources import exports
 from facetry.sources.mapping import read_mapping
 from facetry.sources.metadata import (
     build_glossary,
@@ -84,11 +85,56 @@ def test_metadata(spark, release):
     assert [tuple(r) for r in first] == [(0, "mwm", "carton_0"), (1, "bhm", "carton_1")]
 
 
-def test_mapping_must_be_one_file(spark, mapping, tmp_path):
-    path = str(tmp_path / "many")
-    mapping.repartition(3).write.parquet(path)
-    with pytest.raises(CatalogError, match="one file"):
-        read_mapping(spark, path)
+def test_mapping_of_several_files(spark, tmp_path):
+    path = tmp_path / "many"
+    for file in range(3):
+        rows = [(f"m{file}", f"c{file}_{i}") for i in range(4 + file)]
+        part = str(tmp_path / f"part{file}")
+        spark.createDataFrame(rows, "mapper string, alt_name string").coalesce(1).write.parquet(part)
+        path.mkdir(exist_ok=True)
+        (tmp_path / f"part{file}").rename(path / f"file={file}")
+    bits = [(r["bit"], r["alt_name"]) for r in read_mapping(spark, str(path)).orderBy("bit").collect()]
+    names = [f"c{file}_{i}" for file in range(3) for i in range(4 + file)]
+    assert bits == list(enumerate(names))
+    own = spark.createDataFrame([(7, "m", "c")], "bit int, mapper string, alt_name string")
+    own.write.parquet(str(tmp_path / "own"))
+    assert [r["bit"] for r in read_mapping(spark, str(tmp_path / "own")).collect()] == [7]
+
+
+def test_an_empty_or_failed_export_leaves_nothing(spark, tmp_path):
+    with pytest.raises(EmptySubsetError):
+        write_subset(spark.range(0), str(tmp_path / "empty"))
+    bad = spark.range(3).select(F.raise_error(F.lit("no")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        write_subset(bad, str(tmp_path / "bad"))
+    assert write_subset(spark.range(3), str(tmp_path / "good")) == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["good"]
+
+
+def test_states_are_written_as_jobs_end(spark, catalog, tmp_path, monkeypatch):
+    def job(_, spec, folder, identifiers=None):
+        if spec.name == "slow":
+            time.sleep(4)
+        if spec.name == "mute":
+            raise ValueError
+        return folder, 1
+
+    monkeypatch.setattr(exports, "export_subset", job)
+    manifest = Manifest(spark, str(tmp_path / "manifest"))
+    specs = [SubsetSpec(name=n, dataset="aspcap", flags=()) for n in ("slow", "quick", "mute")]
+    export_batch(catalog, specs, str(tmp_path), manifest)
+    last = {r["name"]: r for r in manifest.read().collect()}
+    assert last["quick"]["updated"] < last["slow"]["updated"]
+    assert (last["mute"]["status"], last["mute"]["message"]) == ("failed", "ValueError")
+
+
+def test_a_stream_goes_on_in_its_folder(spark, tmp_path):
+    table, folder = str(tmp_path / "table"), str(tmp_path / "state")
+    for n in (5, 3):
+        spark.range(n).select(F.lit("k").alias("key"), "id").write.mode("append").parquet(table)
+        stream = spark.readStream.schema("key string, id bigint").parquet(table)
+        total = count_arrivals(stream, F.col("id") >= 0, "key", folder).collect()
+    assert [(r["key"], r["n"]) for r in total] == [("k", 8)]
 
 
 def test_stack_and_allowed_columns(spark):
@@ -128,11 +174,19 @@ def test_glossary(spark, tmp_path):
     assert {tuple(r) for r in open_glossary(spark, paths).collect()} == expected
 
 
-def test_object_of_a_whole_table_is_refused(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(metadata, "MOST_ENTRIES", 3)
-    allowed = spark.range(9).select(F.col("id").cast("string").alias("dataset"), F.lit("x").alias("column"))
-    with pytest.raises(Exception, match="more than 3 entries"):
-        write_allowed_columns(allowed, str(tmp_path / "allowed"))
+def test_many_entries_are_written_in_parallel(spark, tmp_path):
+    glossary = spark.range(200_000).select(
+        F.concat(F.lit("n"), "id").alias("name"), *[F.lit(x).alias(x) for x in ("description", "type", "unit")]
+    )
+    write_glossary(glossary, str(tmp_path / "glossary"))
+    read = read_glossary(spark, str(tmp_path / "glossary"))
+    assert read.count() == 200_000 and read.select("name").distinct().count() == 200_000
+
+
+def test_one_object_over_many_lines(spark, tmp_path):
+    entry = {"name": "a", "description": "d", "type": "t", "unit": "u"}
+    (tmp_path / "one.json").write_text(json.dumps({"a": entry, "b": entry | {"name": "b"}}, indent=1))
+    assert sorted(r["name"] for r in read_glossary(spark, str(tmp_path / "one.json")).collect()) == ["a", "b"]
 
 
 def test_keep(stars):

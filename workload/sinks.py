@@ -56,5 +56,5 @@ def export_manifest(spark, sf):
 )
 def stream_subset_count(spark, sf):
     events = table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{sf}/events.parquet")
     return count_arrivals(stream, condition(events, "value > 20"), "event_type")
