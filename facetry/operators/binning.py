@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from facetry.errors import FacetryError
 from facetry.functions.missing import INFINITY, column, drawable, is_categorical, present
 from facetry.operators.categories import CATEGORY_LIMIT, code_of, sorted_labels
-from facetry.operators.quantiles import ACCURACY, grouped_median
+from facetry.operators.quantiles import approximate_median, grouped_median
 
 # Defaults and ranges of the two binned views.
 HISTOGRAM_BINS = 20
@@ -160,7 +160,7 @@ def axes(
     return Axes(result, _ends(df, sought) if sought else None)
 
 
-def _grid(df: DataFrame, found: Axes) -> DataFrame:
+def grid(df: DataFrame, found: Axes) -> DataFrame:
     """Every combination of bins, counted through without a join."""
     sizes = [F.lit(a.bins) if isinstance(a.bins, int) else a.bins for a in found.by_role.values()]
     cells = sizes[0]
@@ -194,7 +194,7 @@ def histogram(
     found = axes(df, {"x": x}, bins, {x: limits} if limits else None, closed, category_limit)
     counts = found.place(df).groupBy("x_bin").agg(F.count("*").alias("n"))
     if dense:
-        counts = _grid(df, found).join(counts, "x_bin", "left").fillna(0, subset=["n"])
+        counts = grid(df, found).join(counts, "x_bin", "left").fillna(0, subset=["n"])
     return found.mark(counts).select("x_bin", "x", "n")
 
 
@@ -238,7 +238,7 @@ def heatmap(
 ) -> DataFrame:
     """A statistic per cell: ``(x_bin, y_bin, x, y, value)``, empty cells only when ``dense``.
 
-    ``approximate`` takes the median from a sketch instead of exactly.  An infinite result is missing;
+    ``approximate`` takes the middle of a narrow range that holds the median, which saves one pass.  An infinite result is missing;
     ``log`` takes the logarithm of the result, missing where there is none.
     """
     if statistic not in STATISTICS:
@@ -251,21 +251,20 @@ def heatmap(
     keys = ["x_bin", "y_bin"]
     measured = F.lit(1) if value is None else present(df, value)
     placed = found.place(df, measured.alias("measured"))
-    if statistic == "median" and not approximate:
+    if statistic == "median":
         few = max(bins, category_limit) ** 2 <= MOST_CELLS
-        medians = grouped_median(placed, keys, F.col("measured"), few_groups=few)
+        median = approximate_median if approximate else grouped_median
+        medians = median(placed, keys, F.col("measured"), few_groups=few)
         cells = medians.withColumnRenamed("median", "value")
     else:
         cells = placed.groupBy(*keys).agg(_statistic(statistic, F.col("measured")).alias("value"))
     cells = cells.withColumn("value", clean_cell(F.col("value"), log))
     if dense:
-        cells = _grid(df, found).join(cells, keys, "left")
+        cells = grid(df, found).join(cells, keys, "left")
     return found.mark(cells).select(*keys, "x", "y", "value")
 
 
 def _statistic(name: str, value: Column) -> Column:
-    if name == "median":
-        return F.percentile_approx(value, 0.5, ACCURACY)
     if name == "count":
         return F.count("*")
     return {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[name](value)

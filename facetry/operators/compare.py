@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.errors import FacetryError
-from facetry.functions.missing import present
-from facetry.operators.binning import HEATMAP_BINS, Limits, axes, clean_cell
+from facetry.functions.missing import is_categorical, present
+from facetry.operators.binning import HEATMAP_BINS, MOST_CELLS, Limits, axes, clean_cell, grid
+from facetry.operators.categories import CATEGORY_LIMIT
+from facetry.operators.quantiles import grouped_median
 
 REDUCERS = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
 
@@ -24,23 +26,46 @@ def compare_subsets(
     bins: int = HEATMAP_BINS,
     limits: Mapping[str, Limits] | None = None,
     log: bool = False,
+    closed: str = "both",
+    dense: bool = False,
 ) -> DataFrame:
     """``(subset, x_bin, y_bin, x, y, value)`` on the common limits of ``df``.
 
     One scan serves all subsets: each is a conditional aggregate of the same cells, so a row is neither
-    copied nor read again for the subsets it belongs to.
+    copied nor read again for the subsets it belongs to.  For medians the subset is part of the cell, and a
+    row is counted once for each.  ``dense`` adds the cells of a subset that have no rows.
     """
-    if statistic != "count" and statistic not in REDUCERS:
-        raise FacetryError(f"statistic is one of count, {', '.join(REDUCERS)}, not {statistic!r}")
+    if statistic not in ("count", "median") and statistic not in REDUCERS:
+        raise FacetryError(f"statistic is one of count, median, {', '.join(REDUCERS)}, not {statistic!r}")
     if statistic != "count" and value is None:
         raise FacetryError(f"the {statistic} of which column?")
-    found = axes(df, {"x": x, "y": y}, bins, limits)
+    if value is not None and is_categorical(df, value):
+        raise FacetryError(f"column {value!r} is categorical and has no {statistic}")
+    found = axes(df, {"x": x, "y": y}, bins, limits, closed)
     members = {name: F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for name, c in subsets.items()}
     placed = found.place(
         df,
         *([] if value is None else [present(df, value).alias("measured")]),
         *[c.alias(f"in{i}") for i, c in enumerate(members.values())],
     )
+    long = _medians(placed, list(members), bins) if statistic == "median" else _reduced(placed, list(members), statistic)
+    if dense:
+        names = F.explode(F.array(*[F.lit(name) for name in members]))
+        cells = grid(df, found).withColumn("subset", names)
+        long = cells.join(long, ["subset", "x_bin", "y_bin"], "left")
+    cleaned = long.withColumn("value", clean_cell(F.col("value"), log))
+    return found.mark(cleaned).select("subset", "x_bin", "y_bin", "x", "y", "value")
+
+
+def _medians(placed: DataFrame, members: list[str], bins: int) -> DataFrame:
+    named = [F.when(F.col(f"in{i}"), F.lit(name)) for i, name in enumerate(members)]
+    rows = placed.withColumn("subset", F.explode(F.array_compact(F.array(*named))))
+    few = len(members) * max(bins, CATEGORY_LIMIT) ** 2 <= MOST_CELLS
+    medians = grouped_median(rows, ["subset", "x_bin", "y_bin"], F.col("measured"), few_groups=few)
+    return medians.withColumnRenamed("median", "value")
+
+
+def _reduced(placed: DataFrame, members: list[str], statistic: str) -> DataFrame:
     parts = []
     for i in range(len(members)):
         parts.append(F.count_if(F.col(f"in{i}")).alias(f"n{i}"))
@@ -52,6 +77,4 @@ def compare_subsets(
         F.struct(F.lit(name).alias("subset"), F.col(f"n{i}").alias("n"), F.col(f"{result}{i}").alias("value"))
         for i, name in enumerate(members)
     ]
-    long = cells.select("x_bin", "y_bin", F.inline(F.array(*rows))).where(F.col("n") > 0)
-    cleaned = long.withColumn("value", clean_cell(F.col("value"), log))
-    return found.mark(cleaned).select("subset", "x_bin", "y_bin", "x", "y", "value")
+    return cells.select("x_bin", "y_bin", F.inline(F.array(*rows))).where(F.col("n") > 0).drop("n")

@@ -1,9 +1,9 @@
 """Exact medians of groups of any size.
 
-Spark's ``median`` keeps every value of a group in the memory of one task.  Here a quantile sketch
-first brackets each group's median; values below and above the bracket are only counted, and these
-counts are combined before the shuffle.  What is sorted is the distinct values inside the bracket,
-less than a thousandth of a large group.
+Spark's ``median`` keeps every value of a group in the memory of one task.  Here the values of each group are
+counted in ``PARTS`` equal parts of their range; the part that holds the median is the range of the next step.
+Every step sends at most ``PARTS`` counts per group and task to the shuffle, never values.  What is ranked at the
+end is the distinct values inside the last range, for even values one in ``PARTS ** STEPS``.
 """
 
 from __future__ import annotations
@@ -13,37 +13,75 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
-# The sketch is at most 1/ACCURACY of the group off; the bracket allows for four times as much.
-MARGIN = 4 / ACCURACY
+PARTS = 64
+STEPS = 2
 SALTS = 32
 BELOW, INSIDE, ABOVE = 0, 1, 2
 
 
+def _with_ranges(values: DataFrame, ranges: DataFrame, keys: list[str], few_groups: bool) -> DataFrame:
+    """The values with the range of their group, and how they lie to it."""
+    if few_groups:
+        joined = values.join(F.broadcast(ranges), keys)
+    else:
+        salted = values.withColumn("salt", F.spark_partition_id() % SALTS)
+        copies = ranges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, [*keys, "salt"])
+    zone = F.when(F.col("v") < F.col("low"), BELOW).when(F.col("v") > F.col("high"), ABOVE).otherwise(INSIDE)
+    return joined.withColumn("zone", zone)
+
+
+def _narrowed(values: DataFrame, ranges: DataFrame, keys: list[str], few_groups: bool) -> DataFrame:
+    """For each group the smallest and largest value of the parts that hold the ranks of its median."""
+    # Halves, so that the width of a range of very large numbers stays finite.
+    width = F.col("high") / 2 - F.col("low") / 2
+    share = (F.col("v") / 2 - F.col("low") / 2) / width * PARTS
+    part = F.when(width > 0, F.least(F.floor(share), F.lit(PARTS - 1))).otherwise(0)
+    counts = (
+        _with_ranges(values, ranges, keys, few_groups)
+        .where(F.col("zone") == INSIDE)
+        .groupBy(*keys, "size", "below", part.alias("part"))
+        .agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    )
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("part")) + F.col("below")
+    ranked = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+    held = ranked.where(
+        (F.col("upto") >= F.floor((F.col("size") - 1) / 2) + 1) & (F.col("before") < F.floor(F.col("size") / 2) + 1)
+    )
+    return held.groupBy(*keys, "size").agg(
+        F.min("least").alias("low"), F.max("most").alias("high"), F.min("before").alias("below")
+    )
+
+
+def _median_ranges(values: DataFrame, keys: list[str], few_groups: bool) -> DataFrame:
+    ranges = values.groupBy(*keys).agg(
+        F.count("v").alias("size"), F.min("v").alias("low"), F.max("v").alias("high"), F.lit(0).alias("below")
+    )
+    for _ in range(STEPS):
+        ranges = _narrowed(values, ranges, keys, few_groups)
+    return ranges
+
+
+def approximate_median(rows: DataFrame, keys: Sequence[str], value: Column, few_groups: bool = False) -> DataFrame:
+    """``keys`` and ``median``: the middle of the last range, which holds the median, instead of the median itself."""
+    values = rows.select(*keys, value.cast("double").alias("v")).where(F.col("v").isNotNull())
+    ranges = _median_ranges(values, list(keys), few_groups)
+    return ranges.select(*keys, (F.col("low") / 2 + F.col("high") / 2).alias("median"))
+
+
 def grouped_median(rows: DataFrame, keys: Sequence[str], value: Column, few_groups: bool = False) -> DataFrame:
     """``keys`` and ``median`` of the values that are not NULL.
 
-    ``few_groups`` says that the caller has bounded the number of groups, so that the brackets fit into
-    a broadcast; otherwise each bracket is copied for a number of salts, and the rows of a hot group are
+    ``few_groups`` says that the caller has bounded the number of groups, so that the ranges fit into
+    a broadcast; otherwise each range is copied for a number of salts, and the rows of a hot group are
     spread over them.
     """
     keys = list(keys)
     values = rows.select(*keys, value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    brackets = values.groupBy(*keys).agg(
-        F.percentile_approx("v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("bracket"),
-        F.count("v").alias("size"),
-    )
-    if few_groups:
-        bracketed = values.join(F.broadcast(brackets), keys)
-    else:
-        salted = values.withColumn("salt", F.spark_partition_id() % SALTS)
-        copies = brackets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        bracketed = salted.join(copies, [*keys, "salt"])
-    low, high = F.col("bracket")[0], F.col("bracket")[1]
-    zone = F.when(F.col("v") < low, BELOW).when(F.col("v") > high, ABOVE).otherwise(INSIDE)
+    ranges = _median_ranges(values, keys, few_groups).drop("below")
+    ranged = _with_ranges(values, ranges, keys, few_groups)
     counted = (
-        bracketed.withColumn("zone", zone)
-        .groupBy(*keys, "size", "zone", F.when(F.col("zone") == INSIDE, F.col("v")).alias("v"))
+        ranged.groupBy(*keys, "size", "zone", F.when(F.col("zone") == INSIDE, F.col("v")).alias("v"))
         .agg(F.count("*").alias("copies"))
     )
     in_order = Window.partitionBy(*keys).orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
@@ -52,7 +90,7 @@ def grouped_median(rows: DataFrame, keys: Sequence[str], value: Column, few_grou
     def at_rank(rank: Column) -> Column:
         here = (F.col("upto") >= rank) & (F.col("upto") - F.col("copies") < rank)
         found = F.when(F.col("zone") == INSIDE, F.col("v")).otherwise(
-            F.raise_error(F.lit("a median lies outside its bracket")).cast("double")
+            F.raise_error(F.lit("a median lies outside its range")).cast("double")
         )
         return F.max(F.when(here, found))
 

@@ -89,16 +89,25 @@ def describe(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def pivot_counts(
-    df: DataFrame, rows: str, columns: str, values: Sequence[str] | None = None, limit: int = CATEGORY_LIMIT
+    df: DataFrame,
+    rows: str,
+    columns: str,
+    values: Sequence[str] | None = None,
+    limit: int = CATEGORY_LIMIT,
+    missing: bool = False,
 ) -> DataFrame:
     """Counts of two categorical columns as a table with one column per value of ``columns``.
 
-    The values, fewer than ``limit``, are read first unless they are given.
+    The values, fewer than ``limit``, are read first unless they are given.  ``missing`` adds a column
+    of that name, which counts the rows without a value in ``columns``; rows without one in ``rows`` have a line of
+    their own.
     """
     if values is None:
         found = df.select(column(columns)).where(column(columns).isNotNull()).distinct().limit(limit).collect()
         if len(found) >= limit:
             raise FacetryError(f"column {columns!r} has {limit} or more categories")
         values = sorted(r[0] for r in found)
-    counts = df.groupBy(column(rows)).pivot(columns, list(values)).agg(F.count(F.lit(1)))
-    return counts.fillna(0)
+    label = column(columns)
+    counts = [F.count_if(label == F.lit(v)).alias(str(v)) for v in values]
+    counts += [F.count_if(label.isNull()).alias("missing")] if missing else []
+    return df.groupBy(column(rows)).agg(*counts)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from facetry.errors import FacetryError
 from facetry.operators.binning import HEATMAP_BINS, HISTOGRAM_BINS, heatmap, histogram
 from facetry.operators.ranges import axis_range, count_axis_range, heatmap_color_range, scatter_color_range
-from facetry.operators.summaries import describe
-from facetry.operators.tables import PAGE_ROWS, page, scatter_points
+from facetry.operators.summaries import describe, require_rows, require_values
+from facetry.operators.tables import PAGE_ROWS, SCATTER_POINTS, page, scatter_points
 from facetry.profile import CatalogProfile
 
 # Names of the request parameters that are called differently here.
@@ -50,6 +50,7 @@ class ViewSpec:
     columns: tuple[str, ...] = ()
     page: int = 0
     page_rows: int = PAGE_ROWS
+    points: int = SCATTER_POINTS
     limits: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -65,7 +66,7 @@ class ViewSpec:
             name = REQUEST_NAMES.get(key, key)
             if name in TOGGLES:
                 values[name] = str(value).lower() == "true"
-            elif name in ("bins", "page", "page_rows"):
+            elif name in ("bins", "page", "page_rows", "points"):
                 values[name] = int(value)
             elif name == "columns":
                 values[name] = tuple(part.strip() for part in value.split(",") if part.strip())
@@ -123,8 +124,14 @@ class ViewSpec:
             columns=tuple(c for c in spec.columns if c in valid),
         )
 
-    def compile(self, df: DataFrame, profile: CatalogProfile) -> DataFrame:
-        """The data of the view over the rows of a subset."""
+    def compile(self, df: DataFrame, profile: CatalogProfile, require: bool = False) -> DataFrame:
+        """The data of the view over the rows of a subset.
+
+        With ``require`` a plot of a subset without rows, or of cells without any value, is an error at once.
+        """
+        if require and self.kind in ("histogram", "heatmap", "scatter"):
+            cells = self.compile(require_rows(df), profile)
+            return require_values(cells) if self.kind == "heatmap" else cells
         spec = self.with_defaults(profile)
         if spec.kind == "histogram":
             return histogram(df, spec.x, spec.bins, spec.limits.get(spec.x), dense=spec.dense)
@@ -141,7 +148,7 @@ class ViewSpec:
                 log=spec.log_color,
             )
         if spec.kind == "scatter":
-            return scatter_points(df, spec.x, spec.y, spec.color, profile.row_key, spec.log_color)
+            return scatter_points(df, spec.x, spec.y, spec.color, profile.row_key, spec.log_color, spec.points)
         if spec.kind == "stats":
             return describe(df, spec.columns)
         return page(df, profile.row_key, spec.page, spec.page_rows, spec.columns)

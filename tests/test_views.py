@@ -12,7 +12,7 @@ from facetry.operators.binning import cell_widths, heatmap, histogram, histogram
 from facetry.operators.categories import category_codes, category_guard, with_codes
 from facetry.operators.compare import compare_subsets
 from facetry.operators.crossfilter import CrossFilter
-from facetry.operators.quantiles import grouped_median
+from facetry.operators.quantiles import approximate_median, grouped_median
 from facetry.operators.selections import select_bars, select_categories, select_cells, select_points, viewport
 from facetry.operators.summaries import (
     describe,
@@ -346,7 +346,7 @@ def test_color_ranges(stars, points):
 
 def test_compare_equals_separate_scans(stars):
     subsets = {"all": None, "warm": condition(stars, "teff > 5000"), "none": condition(stars, "ra < -1")}
-    for statistic, value in (("count", None), ("mean", "snr"), ("max", "logg")):
+    for statistic, value in (("count", None), ("mean", "snr"), ("max", "logg"), ("median", "snr")):
         limits = {"ra": (0.0, 348.0), "dec": (-90.0, 90.0)}
         together = {}
         for r in compare_subsets(stars, subsets, "ra", "dec", value, statistic, 4, limits).collect():
@@ -357,8 +357,32 @@ def test_compare_equals_separate_scans(stars):
             for r in heatmap(rows, "ra", "dec", value, statistic, 4, limits).collect():
                 alone[name, r["x_bin"], r["y_bin"]] = r["value"]
         assert together == pytest.approx(alone)
-    with pytest.raises(FacetryError):
-        compare_subsets(stars, subsets, "ra", "dec", "snr", "median")
+    with pytest.raises(FacetryError, match="categorical"):
+        compare_subsets(stars, subsets, "ra", "dec", "release", "median")
+    dense = compare_subsets(stars, subsets, "ra", "dec", "snr", "median", 4, dense=True)
+    assert dense.count() == 3 * 16 and dense.where("subset = 'none' and value is null").count() == 16
+
+
+def test_views_without_data_are_errors_on_demand(stars):
+    profile = CatalogProfile()
+    for kind in ("histogram", "heatmap", "scatter"):
+        view = ViewSpec(kind, x="ra", y="dec", color="teff")
+        assert view.compile(stars.where("ra < -1"), profile).isEmpty()
+        with pytest.raises(EmptySubsetError):
+            view.compile(stars.where("ra < -1"), profile, require=True)
+    without = stars.withColumn("teff", F.lit(None).cast("float"))
+    with pytest.raises(EmptySubsetError):
+        ViewSpec("heatmap", x="ra", y="dec", color="teff").compile(without, profile, require=True)
+
+
+def test_median_sends_counts_not_values(spark):
+    """A hot cell of different values: what is shuffled stays far below the values."""
+    rows = spark.range(0, 400_000, 1, 8).select(F.when(F.col("id") % 100 == 0, 1).otherwise(0).alias("k"), F.rand(5).alias("v"))
+    exact = {r["k"]: r["m"] for r in rows.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert {r["k"]: r["median"] for r in grouped_median(rows, ["k"], F.col("v"), True).collect()} == pytest.approx(exact)
+    assert {r["k"]: r["median"] for r in grouped_median(rows, ["k"], F.col("v")).collect()} == pytest.approx(exact)
+    near = {r["k"]: r["median"] for r in approximate_median(rows, ["k"], F.col("v"), True).collect()}
+    assert near == pytest.approx(exact, abs=1e-3)
 
 
 # Tables -----------------------------------------------------------------------------------------

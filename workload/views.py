@@ -263,6 +263,23 @@ def pivoted(spark, sf):
     return pivot_counts(lineitem(spark, sf), "l_returnflag", "l_linestatus")
 
 
+@query(
+    "pivot_missing",
+    sql="""
+SELECT flag, count(*) FILTER (WHERE status = 'F') AS "F", count(*) FILTER (WHERE status = 'O') AS "O",
+       count(*) FILTER (WHERE status IS NULL) AS missing
+FROM (SELECT nullif(l_returnflag, 'R') AS flag, CASE WHEN l_linenumber <> 6 THEN l_linestatus END AS status FROM lineitem)
+GROUP BY 1
+""",
+)
+def pivot_with_missing(spark, sf):
+    df = lineitem(spark, sf).select(
+        F.expr("nullif(l_returnflag, 'R')").alias("flag"),
+        F.when(F.col("l_linenumber") != 6, F.col("l_linestatus")).alias("status"),
+    )
+    return pivot_counts(df, "flag", "status", missing=True)
+
+
 # One axis ---------------------------------------------------------------------------------------
 
 
@@ -445,11 +462,20 @@ FROM (SELECT {bin_sql(QTY, 'a', 10)} AS cx, {bin_sql(PX, 'b', 10)} AS cy, count(
 )
 
 
-@query("compare_subsets", sql=COMPARE_SQL)
-def compared(spark, sf):
-    df = lineitem(spark, sf)
-    subsets = {"all": None, "clean": condition(df, "l_discount == 0"), "bulk": condition(df, "l_quantity >= 25")}
-    return rounded(compare_subsets(df, subsets, QTY, PX, bins=10), "x", "y")
+def compared_by(statistic, digits):
+    def compared(spark, sf):
+        df = lineitem(spark, sf)
+        subsets = {"all": None, "clean": condition(df, "l_discount == 0"), "bulk": condition(df, "l_quantity >= 25")}
+        value = None if statistic == "count" else "l_tax"
+        cells = rounded(compare_subsets(df, subsets, QTY, PX, value, statistic, bins=10), "x", "y")
+        return cells if digits is None else rounded(cells, "value", digits=digits)
+
+    return compared
+
+
+query("compare_subsets", sql=COMPARE_SQL)(compared_by("count", None))
+query("compare_mean", sql=COMPARE_SQL.replace("count(*)", "round(avg(l_tax), 6)"))(compared_by("mean", 6))
+query("compare_median", sql=COMPARE_SQL.replace("count(*)", "round(median(l_tax), 6)"))(compared_by("median", 6))
 
 
 # Ranges -----------------------------------------------------------------------------------------
