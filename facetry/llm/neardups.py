@@ -4,11 +4,13 @@ A document's set is its distinct shingles of five words. Documents with equal se
 smallest id stands for. Each class has ``TREES`` x ``DEPTH`` minhashes; tree t sorts the classes by the
 minhashes from place t on, and a region is the classes that share the first ``DEPTH`` of them. Candidates are
 
-1. neighbours with the longest common prefix in each tree's order, and each class with the first of its
-   region: as many pairs as classes, whatever the size of a region;
-2. after these are confirmed and joined to components, all pairs in a region whose components still differ and
-   whose whole signatures agree in enough places. A region of many different classes goes as deep as their
-   signatures do: it is compared in square blocks, and only pairs that agree are passed on.
+1. each class with the smallest of its region, the one that most of its regions agree on: one pair per class;
+2. neighbours with the longest common prefix in each tree's order, where the components that these links leave
+   still differ;
+3. all pairs in a region whose components differ after that. Signatures tell in which region a pair meets first
+   and whether it can be a link at all; the classes of such pairs send their full sets, which are compared in
+   square cells of bounded size, where products of incidence matrices count the shared shingles. A cell passes on
+   which components its links join, never pairs of documents.
 
 So every pair that shares a region and could link two components is looked at, and no pair inside a component
 is. A pair at the threshold shares no region in any of the trees with probability (1 - 0.75 ** 4) ** 32, about
@@ -40,9 +42,10 @@ TREES = 32
 DEPTH = 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Places of a signature that must agree for a pair of the second kind: seven deviations below the mean of a link.
+BLOCK = 512
+#: Places of a signature that agree in a link: seven deviations below the mean at the threshold.
 LEAST_AGREEING = 60
-BLOCK = 1024
+_COLUMNS = 2048
 
 _RANDOM = np.random.default_rng(97)
 _FLIP = _RANDOM.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -129,7 +132,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, width:
 
 
 def _regions(classes: DataFrame) -> DataFrame:
-    """Classes that share a region with others: tree, key, rep, the one before and the first in the tree's order."""
+    """Classes that share a region with others: tree, key, rep, the one before in the tree's order, and the smallest."""
     trees = classes.where(F.col("signature").isNotNull()).select(
         "rep", "signature", F.posexplode("signature").alias("tree", "key")
     )
@@ -142,7 +145,7 @@ def _regions(classes: DataFrame) -> DataFrame:
             "rep",
             F.lag("rep").over(order).alias("before"),
             F.lead("rep").over(order).alias("after"),
-            F.first("rep").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("top"),
+            F.min("rep").over(Window.partitionBy("tree", "key")).alias("top"),
         )
         .where("before is not null or after is not null")
         .drop("after")
@@ -153,43 +156,97 @@ def _pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
     return frame.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-def _torn_pairs(regions: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs in a region that lie in different components and whose signatures agree in enough places."""
+def _labelled(regions: DataFrame, components: DataFrame) -> DataFrame:
+    """The members of regions with their components, a class without links being its own."""
     known = components.withColumnsRenamed({"node": "rep"})
-    labelled = regions.select("tree", "key", "rep").join(known, "rep", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
+    return regions.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _cross_pairs(table: pa.Table, key: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of the two blocks of a cell, and which pairs of them lie in different components."""
+    own, component = table["own"].to_numpy(), table["component"].to_numpy()
+    left, right = (np.flatnonzero(own == key[i].as_py()) for i in (2, 3))
+    return left, right, component[left][:, None] != component[right][None, :]
+
+
+def _torn_members(regions: DataFrame, components: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (tree, key, rep, component) with a partner in another component that they meet in no tree before."""
+    labelled = _labelled(regions.select("tree", "key", "rep"), components)
     torn = (
         labelled.groupBy("tree", "key")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"))
         .where("least < most")
         .select("tree", "key")
     )
-    signed = classes.where(F.col("signature").isNotNull()).select("rep", "signature")
-    rows = labelled.join(torn, ["tree", "key"]).join(signed, "rep")
-    cells = in_cells(rows, ["tree", "key"], "rep", BLOCK)
+    signed = classes.select("rep", "signature")
+    cells = in_cells(labelled.join(torn, ["tree", "key"]).join(signed, "rep"), ["tree", "key"], "rep", BLOCK)
+
+    def look(key: tuple, table: pa.Table) -> pa.Table:
+        left, right, cross = _cross_pairs(table, key)
+        trees = table["signature"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+        places = trees.astype("<i8").view(np.uint16).reshape(len(trees), TREES * DEPTH)
+        tree = key[0].as_py()
+        has = np.zeros(len(trees), bool)
+        for i, row in zip(left, cross, strict=True):
+            rest = right[row]
+            new = ~(trees[rest, :tree] == trees[i, :tree]).any(1)
+            rest = rest[new]
+            near = rest[(places[rest] == places[i]).sum(1) >= LEAST_AGREEING]
+            has[near] = True
+            has[i] |= len(near) > 0
+        names = ["tree", "key", "rep", "component"]
+        return pa.table([table[name].filter(pa.array(has)) for name in names], names=names)
+
+    kind = "tree int, key bigint, rep bigint, component bigint"
+    return cells.groupBy("tree", "key", "low", "high").applyInArrow(look, kind).distinct()
+
+
+def _torn_links(members: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) of components that a link between two members of a region joins."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch["text"]):
+                part = batch.slice(a, b - a)
+                bodies = [s.tobytes() for s in distinct_shingles(part["text"], width)]
+                yield pa.record_batch([part["doc_id"], pa.array(bodies, pa.binary())], ["rep", "body"])
+
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets_of, "rep bigint, body binary")
+    cells = in_cells(members.join(sets, "rep"), ["tree", "key"], "rep", BLOCK)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table["rep"].to_numpy()
+        left, right, cross = _cross_pairs(table, key)
         component = table["component"].to_numpy()
-        own = table["own"].to_numpy()
-        flat = table["signature"].combine_chunks().flatten().to_numpy()
-        places = flat.astype("<i8").view(np.uint16).reshape(len(ids), TREES * DEPTH)
-        low, high = key[2].as_py(), key[3].as_py()
-        found: list[np.ndarray] = []
-        left = np.flatnonzero(own == low)
-        right = np.flatnonzero(own == high)
-        for i in left:
-            rest = right[component[right] != component[i]]
-            agree = (places[rest] == places[i]).sum(1)
-            partner = ids[rest[agree >= LEAST_AGREEING]]
-            found.append(np.stack([np.full(len(partner), ids[i]), partner], 1))
-        both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        both = np.unique(np.sort(both, axis=1), axis=0)
+        sets = [np.frombuffer(body, np.uint64) for body in table["body"].to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        common = _intersections(sets, left, right)
+        union = sizes[left][:, None] + sizes[right][None, :] - common
+        x, y = np.nonzero(cross & (common > 0) & (100 * common >= percent * union))
+        both = np.unique(np.sort(np.stack([component[left[x]], component[right[y]]], 1), axis=1), axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
     return cells.groupBy("tree", "key", "low", "high").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``: products of blocks of incidence."""
+    flat = np.concatenate(sets)
+    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts[number] > 1
+    member, number = member[shared], (np.cumsum(counts > 1) - 1)[number[shared]]
+    order = np.argsort(number, kind="stable")
+    member, number = member[order], number[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for begin in range(0, int((counts > 1).sum()), _COLUMNS):
+        a, b = np.searchsorted(number, [begin, begin + _COLUMNS])
+        has = np.zeros((len(sets), _COLUMNS), np.float32)
+        has[member[a:b], number[a:b] - begin] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept (doc_id = component_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -198,19 +255,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     classes = signed.join(least, "set_key", "left").select(
         "doc_id",
         "n_shingles",
-        F.coalesce("rep", "doc_id").alias("rep"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"),
         F.when(F.col("doc_id") == F.col("rep"), F.col("signature")).alias("signature"),
     )
     classes = stored(classes, "classes")
     tops = classes.where("signature is not null")
     regions = stored(_regions(tops), "regions")
-    pairs = stored(_pairs(regions, "rep", "before").unionByName(_pairs(regions, "rep", "top")).distinct(), "pairs")
     texts = docs.where("doc_id is not null")
-    links = stored(confirmed(pairs, texts, percent, width), "links")
+    firsts = regions.groupBy("rep", "top").agg(F.count("*").alias("n")).groupBy("rep")
+    firsts = firsts.agg(F.max_by("top", F.struct("n", -F.col("top"))).alias("top"))
+    links = stored(confirmed(_pairs(firsts, "rep", "top").distinct(), texts, percent, width), "links")
     components = connected_components(links)
-    more = stored(_torn_pairs(regions, tops, components).join(pairs, ["a", "b"], "left_anti"), "more")
+
+    near = _labelled(regions.where("before is not null").select("rep", "before"), components)
+    other = components.withColumnsRenamed({"node": "before", "component": "component_before"})
+    near = near.join(other, "before", "left").where("component <> coalesce(component_before, before)")
+    more = stored(_pairs(near, "rep", "before").distinct(), "pairs")
     if not more.isEmpty():
-        components = connected_components(links.unionByName(confirmed(more, texts, percent, width)))
+        links = stored(links.unionByName(confirmed(more, texts, percent, width)), "links")
+        components = connected_components(links)
+
+    members = stored(_torn_members(regions, components, tops), "torn")
+    last = stored(_torn_links(members, texts, percent, width), "last")
+    if not last.isEmpty():
+        components = connected_components(links.unionByName(last))
     known = components.withColumnRenamed("node", "rep")
     # One document with several texts has several rows and classes; the smallest component counts.
     result = classes.join(known, "rep", "left").select(
