@@ -22,6 +22,9 @@ SAMPLE_PLACES = 1024
 FEW_ROWS = 100
 RANGE_ROWS = 1_000_000
 KEY_PARTS = 4096
+# Letters by which the prefixes of a text key grow in each step.
+PREFIX_LETTERS = 2
+TIE = "_tie"
 
 
 def shuffle_key(key: Sequence[str | Column], seed: int = SHUFFLE_SEED) -> Column:
@@ -45,20 +48,33 @@ def seeded_sample(
     """The first ``limit`` rows of the seeded shuffle, with their ``shuffle_key``.
 
     Sorting everything for a few rows would send ``limit`` rows of every task to one.  The keys are
-    spread evenly, so the rows are counted per leading digits of the key (at most 4,096 counts), and
-    only rows up to the digits at which the count reaches the limit take part in the sort.
+    spread evenly, so the rows are counted per leading digits of the key (at most 4,096 counts), and again
+    per following digits inside the group in which the count reaches the limit; only rows up to that place,
+    hardly more than the limit, take part in the sort.
     """
     keyed = df.withColumn("shuffle_key", shuffle_key(key, seed))
-    bucket = F.substring("shuffle_key", 1, BUCKET_DIGITS)
-    counts = df.select(shuffle_key(key, seed).alias("shuffle_key")).groupBy(bucket.alias("bucket")).count()
-    before = F.sum("count").over(Window.orderBy("bucket")) - F.col("count")
-    last = counts.select("bucket", before.alias("before")).where(F.col("before") < limit)
-    cut = last.agg(F.max("bucket")).scalar()
+    cut, before = _cut(keyed.select("shuffle_key"), BUCKET_DIGITS, F.lit(""), F.lit(0), limit)
+    deeper, _ = _cut(keyed.select("shuffle_key"), 2 * BUCKET_DIGITS, cut, before, limit)
+    few = keyed.where(F.substring("shuffle_key", 1, 2 * BUCKET_DIGITS) <= deeper)
     # A key with very many copies may pass the cut.  Its rows are first cut down in many places.
-    placed = keyed.where(bucket <= cut).withColumn("_place", F.spark_partition_id() % SAMPLE_PLACES)
+    placed = few.withColumn("_place", F.spark_partition_id() % SAMPLE_PLACES)
     nth = F.row_number().over(Window.partitionBy("_place").orderBy("shuffle_key"))
     few = placed.withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_place", "_nth")
-    return few.orderBy("shuffle_key").limit(limit)
+    tied = [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return few.orderBy("shuffle_key", *tied).limit(limit)
+
+
+def _cut(keys: DataFrame, digits: int, inside: Column, before: Column, limit: int) -> tuple[Column, Column]:
+    """The leading digits at which the count of keys reaches the limit, and the rows before them.
+
+    Only keys that start with ``inside`` are counted; ``before`` rows come before those.
+    """
+    lead = F.substring("shuffle_key", 1, digits)
+    counts = keys.where(F.startswith("shuffle_key", inside)).groupBy(lead.alias("lead")).agg(F.count("*").alias("n"))
+    start = F.sum("n").over(Window.orderBy("lead")) - F.col("n") + before
+    reached = counts.select("lead", start.alias("start")).where(F.col("start") < limit)
+    last = reached.agg(F.max(F.struct("lead", "start")).alias("last")).scalar()
+    return last["lead"], last["start"]
 
 
 def scatter_points(
@@ -81,37 +97,48 @@ def scatter_points(
 def page(
     df: DataFrame, key: Sequence[str], number: int, rows: int = PAGE_ROWS, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """One page of a table in the order of a unique key, from page 0, with the row number.
+    """One page of a table in the order of a key, from page 0, with the row number.
 
-    To show a page, each task hands all rows before its end to one other task.  That is cheap for the
-    first pages; for a later one the range of the key in which it lies is found first.
+    Rows with the same key follow in the order of a hash of their values, so pages never overlap.  To show a
+    page, each task hands all rows before its end to one other task.  That is cheap for the first pages; for a
+    later one the range of the key in which it lies is found first.
     """
     skipped = number * rows
-    source, before = df, 0
+    shown_columns = list(columns or df.columns)
+    source, before = df.withColumn(TIE, _tie(df)), 0
+    order = [*key, TIE]
     if skipped + rows > FEW_ROWS:
-        source, before = _page_range(df, key, skipped, rows)
-    shown = source.orderBy(*map(column, key)).offset(skipped - before).limit(rows)
-    counted = shown.withColumn("row", F.row_number().over(Window.orderBy(*map(column, key))) + skipped - 1)
-    return counted.select("row", *map(column, columns or df.columns))
+        source, before = _page_range(source, order, skipped, rows)
+    sortable = [c for c in df.columns if c not in key and not isinstance(type_of(df, c), T.MapType)]
+    by = [column(name) for name in [*order, *sortable]]
+    shown = source.orderBy(*by).offset(skipped - before).limit(rows)
+    counted = shown.withColumn("row", F.row_number().over(Window.orderBy(*by)) + skipped - 1)
+    return counted.select("row", *map(column, shown_columns))
+
+
+def _tie(df: DataFrame) -> Column:
+    """A number that tells rows with the same key apart."""
+    values = [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return F.xxhash64(*values)
 
 
 def _page_range(df: DataFrame, key: Sequence[str], skipped: int, rows: int) -> tuple[DataFrame, int]:
     """Rows that hold the page and follow each other in the order of the key, and the rows before them.
 
-    The range of the first key column is cut into equal parts, whose rows are counted; the parts the
-    page touches are cut again, until few rows are left.  When one value of a column is all that is
-    left, the next column goes on.  Columns that are not integers end the search.
+    The range of the first key column is cut into parts, whose rows are counted; the parts the page touches are
+    cut again, until few rows are left.  When one value of a column is all that is left, the next column goes on.
+    Each step sends the counts of the parts to the shuffle, never rows.
     """
     source, before, total = df, 0, None
     for name in key:
-        if not isinstance(type_of(df, name), T.IntegralType):
-            break
-        value = column(name)
+        letters = 0
         while total is None or total > RANGE_ROWS:
-            low, high, missing = source.agg(F.min(value), F.max(value), F.count_if(value.isNull())).first()
-            if low is None or (low == high and not missing):
+            letters += PREFIX_LETTERS
+            single, part = _key_part(source, name, letters)
+            if single:
                 break
-            part = F.when(value.isNull(), F.lit(-1)).otherwise(bin_number(value, (low, high), KEY_PARTS))
+            if part is None:
+                return source, before
             counts = source.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
             start = F.col("upto") - F.col("n") + before
             touched = (
@@ -120,7 +147,8 @@ def _page_range(df: DataFrame, key: Sequence[str], skipped: int, rows: int) -> t
                 .agg(F.min("part"), F.max("part"), F.min(start), F.sum("n"))
             )
             first, last, first_start, kept = touched.first()
-            if first is None or kept == total:
+            text = isinstance(type_of(df, name), T.StringType)
+            if not kept or (kept == total and not text):
                 return source, before
             source, before, total = source.where(part.between(first, last)), first_start, kept
         if total is not None and total <= RANGE_ROWS:
@@ -128,6 +156,42 @@ def _page_range(df: DataFrame, key: Sequence[str], skipped: int, rows: int) -> t
     return source, before
 
 
+def _key_part(source: DataFrame, name: str, letters: int) -> tuple[bool, Column | None]:
+    """Whether a key column has one value only, and else a value that grows with it and has few values.
+
+    Texts are cut by their first letters, numbers into equal parts of their range; nothing where that does not
+    divide them further. NULL is the first part.
+    """
+    value, kind = column(name), type_of(source, name)
+    if isinstance(kind, T.StringType):
+        low, high, longest, missing = source.agg(
+            F.min(value), F.max(value), F.max(F.length(value)), F.count_if(value.isNull())
+        ).first()
+        if low == high and not (missing and low is not None):
+            return True, None
+        # One letter in front of every text, so that NULL is less than the empty text.
+        shown = F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(" "), F.substring(value, 1, letters)))
+        return False, shown if letters < longest + PREFIX_LETTERS else None
+    if isinstance(kind, T.IntegralType):
+        low, high, missing = source.agg(F.min(value), F.max(value), F.count_if(value.isNull())).first()
+        if low == high and not (missing and low is not None):
+            return True, None
+        step = -(-(high - low + 1) // KEY_PARTS)
+        whole = value.cast("decimal(38,0)") - F.lit(low).cast("decimal(20,0)")
+        number = F.floor(whole / F.lit(step).cast("decimal(20,0)"))
+        return False, F.when(value.isNull(), -1).otherwise(number.cast("bigint"))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        finite = F.when(F.abs(value) < F.lit(float("inf")), value)
+        low, high = source.agg(F.min(finite), F.max(finite)).first()
+        if low is None:
+            return False, None
+        number = bin_number(value, (low, high), KEY_PARTS)
+        outside = F.when(F.isnan(value), KEY_PARTS + 1).when(value > 0, KEY_PARTS).when(value < 0, -1).otherwise(-2)
+        one = source.where(F.coalesce(value != low, F.lit(True))).isEmpty()
+        return one, F.when(finite.isNotNull(), number).otherwise(outside)
+    return False, None
+
+
 def page_after(
     df: DataFrame, key: str, last: int | str, rows: int = PAGE_ROWS, columns: Sequence[str] | None = None
 ) -> DataFrame:

@@ -363,6 +363,24 @@ def test_compare_equals_separate_scans(stars):
     assert dense.count() == 3 * 16 and dense.where("subset = 'none' and value is null").count() == 16
 
 
+@pytest.mark.parametrize("key", ["name", "value", "number", "same"])
+def test_pages_of_any_key(spark, key, monkeypatch):
+    monkeypatch.setattr(tables, "FEW_ROWS", 0)
+    monkeypatch.setattr(tables, "RANGE_ROWS", 20)
+    r = random.Random(8)
+    rows = [
+        (r.choice(["a", "ab", "abc", "abd", "b", "ba", None, ""]) , r.choice([1.5, -2.0, math.nan, math.inf, -math.inf, None, r.random()]),
+         r.choice([-(2**63), 2**63 - 1, 6 * 10**18 + r.randint(0, 900), None]), 7, i)
+        for i in range(150)
+    ]
+    df = spark.createDataFrame(rows, "name string, value double, number bigint, same int, id int").repartition(4)
+    ids = [x["id"] for n in range(5) for x in page(df, [key], n, 30, ["id"]).orderBy("row").collect()]
+    assert sorted(ids) == list(range(150))
+    order = [x["id"] for x in df.orderBy(key).select(key, "id").collect()]
+    value = {row[4]: row[["name", "value", "number", "same"].index(key)] for row in rows}
+    assert [str(value[i]) for i in ids] == [str(value[i]) for i in order]
+
+
 def test_views_without_data_are_errors_on_demand(stars):
     profile = CatalogProfile()
     for kind in ("histogram", "heatmap", "scatter"):

@@ -478,6 +478,32 @@ query("compare_mean", sql=COMPARE_SQL.replace("count(*)", "round(avg(l_tax), 6)"
 query("compare_median", sql=COMPARE_SQL.replace("count(*)", "round(median(l_tax), 6)"))(compared_by("median", 6))
 
 
+@query(
+    "targets_page_text",
+    sql="""
+SELECT row, c_name, c_acctbal FROM
+ (SELECT (row_number() OVER (ORDER BY c_name) - 1)::int AS row, c_name, c_acctbal FROM customer)
+WHERE row >= (SELECT count(*) // 20 * 10 FROM customer) AND row < (SELECT count(*) // 20 * 10 FROM customer) + 10
+""",
+)
+def page_by_text(spark, sf):
+    """A page in the middle of a table, by a text key."""
+    customers = table(spark, sf, "customer")
+    return page(customers, ["c_name"], customers.count() // 20, columns=["c_name", "c_acctbal"])
+
+
+@query(
+    "targets_page_ties",
+    sql="""
+SELECT row, l_partkey FROM (SELECT (row_number() OVER (ORDER BY l_partkey) - 1)::int AS row, l_partkey FROM lineitem)
+WHERE row >= 4000 AND row < 4010
+""",
+)
+def page_with_ties(spark, sf):
+    """Many rows share a key."""
+    return page(lineitem(spark, sf), ["l_partkey"], 400, columns=["l_partkey"])
+
+
 # Ranges -----------------------------------------------------------------------------------------
 
 
