@@ -6,7 +6,8 @@ their numbers, written to the shared folder, so no later pass reads texts or dep
 1. Words are counted over all training documents.
 2. The ``FREQUENT`` most frequent words are clustered by exchange: from the counts of their neighbours, every
    word finds the class in which the likelihood of all class bigrams grows most, given where all others are;
-   half of the words (by turns) move in each of ``ROUNDS`` rounds, in parallel.
+   half of the words (by turns) move in each of ``ROUNDS`` rounds, in parallel tasks that each go on from their
+   own moves.
 3. Every other word takes the class that most of its places vote for: a place votes for the class that fits best
    between the classes of its neighbours.
 4. Class transitions are counted over all training documents. The probability of a word is
@@ -37,10 +38,12 @@ FREQUENT = 4000
 CLASSES = 64
 ROUNDS = 6
 SHARE = 0.9
+TASKS = 4
 #: Two classes beyond those of the exchange: the end of a text, and words outside of the exchange.
 END, RARE = CLASSES, CLASSES + 1
 ALL = CLASSES + 2
 
+_PART_BYTES = 500_000
 ENCODED = "chunk bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, words binary"
 
 
@@ -56,14 +59,19 @@ def encode(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch["text"]):
                 part = batch.slice(a, b - a)
-                words = cut(part["text"], lower=True)
-                known, tokens = np.unique(words.hash, return_inverse=True)
+                # Hashed a little at a time: what stays is one number per word.
+                hashes, sizes = [], []
+                for x, y in slices(part["text"], _PART_BYTES):
+                    words = cut(part["text"].slice(x, y - x), lower=True)
+                    hashes.append(words.hash)
+                    sizes.append(np.diff(words.first))
+                known, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
                 yield pa.record_batch(
                     [
                         pa.array([uuid.uuid4().int >> 65], pa.int64()),
                         pa.array([part["doc_id"].to_pylist()], pa.list_(pa.int64())),
                         pa.array([part["held"].to_pylist()], pa.list_(pa.bool_())),
-                        pa.array([np.diff(words.first).tolist()], pa.list_(pa.int32())),
+                        pa.array([np.concatenate(sizes).tolist()], pa.list_(pa.int32())),
                         pa.array([tokens.astype(np.uint16 if len(known) < 65536 else np.uint32).tobytes()], pa.binary()),
                         pa.array([known.tobytes()], pa.binary()),
                     ],
@@ -177,8 +185,10 @@ def best_class(left: np.ndarray, right: np.ndarray, own: float, now: int, counts
     gain = (_xlogx(m[b] + right) - _xlogx(m[b])).sum(1) + (_xlogx(m[:, b] + left[:, None]) - _xlogx(m[:, b])).sum(0)
     corner = m[b, b]
     gain += _xlogx(corner + left[b] + right[b] + own) - _xlogx(corner + right[b]) - _xlogx(corner + left[b]) + _xlogx(corner)
+    # The neighbours' own totals are the same wherever the word goes.
     out, into = right.sum() + own, left.sum() + own
-    gain -= _xlogx(rows[b] + out) - _xlogx(rows[b]) + _xlogx(columns[b] + into) - _xlogx(columns[b])
+    rows, columns = rows[b] + left[b], columns[b] + right[b]
+    gain -= _xlogx(rows + out) - _xlogx(rows) + _xlogx(columns + into) - _xlogx(columns)
     best = int(gain.argmax())
     return best if gain[best] > gain[now] + 1e-9 else now
 
@@ -186,6 +196,7 @@ def best_class(left: np.ndarray, right: np.ndarray, own: float, now: int, counts
 def exchange_clusters(neighbours: DataFrame, n: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the ``n`` clustered words (then END and RARE), and the counts of class bigrams."""
     classes = np.concatenate([np.arange(n) % CLASSES, [END, RARE]]).astype(np.int64)
+    neighbours = neighbours.coalesce(TASKS)  # of a size that the parameters bound, not the corpus
     context = neighbours.sparkSession.sparkContext
 
     def vectors(batch: pa.RecordBatch, now: np.ndarray):
@@ -215,7 +226,8 @@ def exchange_clusters(neighbours: DataFrame, n: int, rounds: int = ROUNDS) -> tu
         shared = context.broadcast((classes, counts))
 
         def move(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            now, m = shared.value
+            # Each task goes on from its own moves, so that its words do not all run to the same class.
+            now, m = (x.copy() for x in shared.value)
             for batch in batches:
                 words, new = [], []
                 for w, right, other, count, of in vectors(batch, now):
@@ -224,8 +236,14 @@ def exchange_clusters(neighbours: DataFrame, n: int, rounds: int = ROUNDS) -> tu
                         own = count[right & self_].sum()
                         to = np.bincount(of[right & ~self_], count[right & ~self_], ALL)
                         from_ = np.bincount(of[~right & ~self_], count[~right & ~self_], ALL)
+                        old, best = int(now[w]), best_class(from_, to, own, int(now[w]), m)
+                        for c, sign in ((old, -1), (best, 1)):
+                            m[c, :] += sign * to
+                            m[:, c] += sign * from_
+                            m[c, c] += sign * own
+                        now[w] = best
                         words.append(w)
-                        new.append(best_class(from_, to, own, int(now[w]), m))
+                        new.append(best)
                 yield pa.record_batch([pa.array(words, pa.int64()), pa.array(new, pa.int64())], ["w", "class"])
 
         moved = neighbours.mapInArrow(move, "w bigint, class bigint").collect()  # one number per clustered word
@@ -338,12 +356,13 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, rounds: int = ROUNDS,
         for batch in batches:
             for chunk, body in zip(batch["chunk"].to_pylist(), batch["words"].to_pylist(), strict=True):
                 known = np.frombuffer(body, np.int64)
-                yield pa.record_batch([pa.array([chunk] * len(known)), pa.array(known)], ["chunk", "word"])
+                columns = [pa.array([chunk] * len(known), pa.int64()), pa.array(known), pa.array(np.arange(len(known)))]
+                yield pa.record_batch(columns, ["chunk", "word", "place"])
 
-    asked = encoded.select("chunk", "words").mapInArrow(ask, "chunk bigint, word bigint")
-    # The words of a chunk come back in any order, and are put in that of their hashes.
-    known = asked.join(vocabulary, "word").groupBy("chunk")
-    known = known.agg(F.collect_list(F.struct("word", F.col("n"), F.col("class").cast("tinyint").alias("class"))).alias("known"))
+    asked = encoded.select("chunk", "words").mapInArrow(ask, "chunk bigint, word bigint, place bigint")
+    # The words of a chunk come back in any order, each with its place; both lists take the rows in the same order.
+    known = asked.join(vocabulary, "word").select("chunk", "n", (F.col("place") * 128 + F.col("class")).alias("code"))
+    known = known.groupBy("chunk").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts"))
     model = spark.sparkContext.broadcast((step, sizes))
     base_total = total + 0.5 * (size + 1)
 
@@ -352,13 +371,12 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, rounds: int = ROUNDS,
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                row = {name: one[name][0].as_py() for name in one.schema.names if name != "known"}
+                row = {name: one[name][0].as_py() for name in one.schema.names if name not in ("codes", "counts")}
                 c = _Chunk(row)
-                flat = one["known"].flatten()
                 n, of = np.zeros(len(c.words)), np.full(len(c.words), RARE)
                 if len(c.words):
-                    at = np.searchsorted(c.words, flat.field("word").to_numpy().view(np.uint64))
-                    n[at], of[at] = flat.field("n").to_numpy(), flat.field("class").to_numpy()
+                    codes = one["codes"].flatten().to_numpy()
+                    n[codes >> 7], of[codes >> 7] = one["counts"].flatten().to_numpy(), codes & 127
                 n_of = c.with_ends(n, end_count)
                 before, here = _pairs(c.with_ends(of, END))
                 base = (n_of + 0.5) / base_total
