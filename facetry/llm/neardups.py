@@ -5,8 +5,8 @@ smallest id stands for. Each class has ``TREES`` x ``DEPTH`` minhashes; tree t s
 minhashes from place t on, and a region is the classes that share the first ``DEPTH`` of them. Candidates are
 
 1. each class with the smallest of its region, the one that most of its regions agree on: one pair per class;
-2. neighbours with the longest common prefix in each tree's order, where the components that these links leave
-   still differ;
+2. each class with the neighbour of the longest common prefix in any tree's order, where the components that
+   these links leave still differ;
 3. all pairs in a region whose components differ after that. Signatures tell in which region a pair meets first
    and whether it can be a link at all; the classes of such pairs send their full sets, which are compared in
    square cells of bounded size, where products of incidence matrices count the shared shingles. A cell passes on
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -144,6 +144,7 @@ def _regions(classes: DataFrame) -> DataFrame:
             "key",
             "rep",
             F.lag("rep").over(order).alias("before"),
+            _common_prefix(F.col("deeper"), F.lag("deeper").over(order)).alias("common"),
             F.lead("rep").over(order).alias("after"),
             F.min("rep").over(Window.partitionBy("tree", "key")).alias("top"),
         )
@@ -152,6 +153,12 @@ def _regions(classes: DataFrame) -> DataFrame:
     )
 
 
+def _common_prefix(a: Column, b: Column) -> Column:
+    """How many leading minhashes of 16 bits two numbers share."""
+    differ = a.bitwiseXOR(b)
+    return sum((F.shiftrightunsigned(differ, 16 * k) == 0).cast("int") for k in range(DEPTH))
+
+
 def _pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
     return frame.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
@@ -267,7 +274,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     links = stored(confirmed(_pairs(firsts, "rep", "top").distinct(), texts, percent, width), "links")
     components = connected_components(links)
 
-    near = _labelled(regions.where("before is not null").select("rep", "before"), components)
+    near = regions.where("before is not null").groupBy("rep")
+    near = near.agg(F.max_by("before", F.struct("common", -F.col("before"))).alias("before"))
+    near = _labelled(near, components)
     other = components.withColumnsRenamed({"node": "before", "component": "component_before"})
     near = near.join(other, "before", "left").where("component <> coalesce(component_before, before)")
     more = stored(_pairs(near, "rep", "before").distinct(), "pairs")
