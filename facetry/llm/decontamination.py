@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, alignment scores them.
+"""Benchmark decontamination: n-gram seeds join training passages to test items, alignment scores them.
 
-Words are compared in lower case without punctuation. The document frequency of every three-word sequence of
-the benchmark is counted over all documents; an item's seeds are its sequences that are rare for it, in at most
-``RARE_TIMES`` times as many documents as its median sequence (so a passage that stands in very many documents
-still has seeds), or in ``RARE`` documents at most. Where a document has seeds of an item on nearby diagonals,
-the passage around them is aligned with the item by Smith-Waterman (match 2, mismatch and gap -1), all passages
-of a batch at once. A document is contaminated by an item from a score of ``LEAST_SCORE`` times the score of
-the whole item on.
+Words are compared in lower case without punctuation. Every three-word sequence of an item is a seed, however
+many documents it stands in. Where a document has seeds of an item on nearby diagonals, the passage around them
+is aligned with the item by Smith-Waterman (match 2, mismatch and gap -1), all passages of a batch at once. A
+document is contaminated by an item from a score of ``LEAST_SCORE`` times the score of the whole item on.
+
+Common sequences make many passages that share little else with the item. These are told by a bound before they
+are aligned: a word of the item that the passage has not anywhere costs at least one, all others bring two at
+most, so no score is above that of the best run of the item's words. The bound looks words up in a table of hash
+bits, which can only raise it; no passage that scores enough is left out.
 
 The benchmark is broadcast in parts of ``PART_BYTES`` at most, one pass over the documents for each part, so a
-benchmark of any size works; what a part sends to the driver is bounded by its number of sequences.
+benchmark of any size works. Seeds are laid out for ``_PLACES`` places at a time.
 
 Rows of any kind: null and empty texts and items have no words and match nothing; items of fewer than three
 words are compared as one shorter sequence; items that share an item_id are aligned each by itself, and the best
@@ -34,10 +36,12 @@ from facetry.llm.words import U64, Words, cut, shingles
 
 SEED_WORDS = 3
 LEAST_SCORE = 0.5
-RARE, RARE_TIMES = 8, 4
 PART_BYTES = 8_000_000
 MATCH, OTHER = 2, -1
 _CELLS = 50_000
+#: Places of seeds laid out at once, and hash bits of passages in one table.
+_PLACES = 500_000
+_BITS = 8_000_000
 
 SCHEMA = "doc_id bigint, item_id bigint, score double, start bigint, end bigint"
 
@@ -48,6 +52,8 @@ class Items:
 
     ids: list[int | None]
     words: list[np.ndarray]
+    flat: np.ndarray
+    first: np.ndarray
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -73,44 +79,7 @@ def _items(rows: list[Row]) -> Items:
     sieve = np.zeros(size, bool)
     sieve[(hashes & U64(size - 1)).astype(np.int64)] = True
     cuts = [words.hash[first[i] : first[i + 1]] for i in range(len(rows))]
-    return Items([r["item_id"] for r in rows], cuts, hashes[order], item[order], place[order], sieve)
-
-
-def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each sequence of the benchmark stands."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total: dict[int, int] = {}
-            for a, b in slices(batch["text"]):
-                words = cut(batch["text"].slice(a, b - a), lower=True, punctuation=False)
-                hashes, text = shingles(words, SEED_WORDS)
-                at, seed = shared.value.hits(hashes)
-                pairs = np.unique(np.stack([text[at], seed], 1), axis=0)
-                for s, n in zip(*np.unique(pairs[:, 1], return_counts=True), strict=True):
-                    total[int(s)] = total.get(int(s), 0) + int(n)
-            yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["seed", "n"])
-
-    counted = docs.mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(items.seeds), np.int64)
-    for row in counted.collect():  # one row per sequence of this part
-        out[row["seed"]] = row["n"]
-    # Equal sequences lie side by side, and the first of them was counted.
-    return out[np.searchsorted(items.seeds, items.seeds)]
-
-
-def _rare(items: Items, frequency: np.ndarray) -> Items:
-    """The items with their seeds only."""
-    order = np.lexsort((frequency, items.item))
-    sizes = np.bincount(items.item, minlength=len(items.ids))
-    middle = np.concatenate([[0], np.cumsum(sizes)])[:-1] + np.maximum(sizes - 1, 0) // 2
-    median = frequency[order[np.minimum(middle, max(0, len(order) - 1))]] if len(order) else sizes
-    kept = np.flatnonzero(frequency <= np.maximum(RARE, RARE_TIMES * median[items.item]))
-    seeds = items.seeds[kept]
-    sieve = np.zeros_like(items.sieve)
-    sieve[(seeds & U64(len(sieve) - 1)).astype(np.int64)] = True
-    return Items(items.ids, items.words, seeds, items.item[kept], items.place[kept], sieve)
+    return Items([r["item_id"] for r in rows], cuts, words.hash, first, hashes[order], item[order], place[order], sieve)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,45 +106,109 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _passages(items: Items, words: Words) -> list[tuple[int, int, int, int]]:
-    """(text, item, from, to): passages around seeds of one item on nearby diagonals."""
+def _runs(rows: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Rows (text, item, least and greatest diagonal) of one text and item joined where gaps are within the slack."""
+    text, item, low, high = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+    # The greatest diagonal so far of the same text and item: groups are lifted above all before them.
+    span = int(high.max() - low.min()) + 1
+    lift = (np.cumsum(new) - 1) * span
+    reached = np.maximum.accumulate(high + lift) - lift
+    new[1:] |= low[1:] - reached[:-1] > slack[item[1:]]
+    a = np.flatnonzero(new)
+    return np.stack([text[a], item[a], low[a], np.maximum.reduceat(high, a)])
+
+
+def _passages(items: Items, words: Words) -> Iterator[np.ndarray]:
+    """Columns (text, item, from, to), for some texts at a time: passages around seeds of one item on nearby diagonals."""
     first = words.first
     hashes, text = shingles(words, SEED_WORDS)
     at, row = items.hits(hashes)
     if not len(at):
-        return []
+        return
     begin = np.searchsorted(text, np.arange(len(first) - 1))
+    text = text[at]
+    at = at - begin[text]
     copies = np.searchsorted(items.seeds, items.seeds[row], "right") - row
-    nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-    at, row = np.repeat(at, copies), np.repeat(row, copies) + nth
-    item = items.item[row]
-    diagonal = at - begin[text[at]] - items.place[row]
-    order = np.lexsort((diagonal, item, text[at]))
-    of, item, diagonal = text[at][order], item[order], diagonal[order]
-    length = np.array([len(w) for w in items.words])[item]
+    ends = np.cumsum(copies)
+    length = np.array([len(w) for w in items.words])
     slack = 4 + length // 4
-    new = np.ones(len(of), bool)
-    new[1:] = (of[1:] != of[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])
-    a = np.flatnonzero(new)
-    b = np.concatenate([a[1:], [len(of)]]) - 1
-    from_ = np.maximum(0, diagonal[a] - slack[a])
-    to = np.minimum(np.diff(first)[of[a]], diagonal[b] + length[b] + slack[b])
-    return list(zip(of[a].tolist(), item[a].tolist(), from_.tolist(), to.tolist(), strict=True))
+    done, h = 0, 0
+    while h < len(at):
+        # Whole texts up to the limit, and one at least; a text beyond it is laid out part by part.
+        to = int(np.searchsorted(ends, done + _PLACES, "right"))
+        to = int(np.searchsorted(text, text[to])) if to < len(at) else to
+        to = to if to > h else int(np.searchsorted(text, text[h], "right"))
+        parts = []
+        for low in range(done, int(ends[to - 1]), _PLACES):
+            nth = np.arange(low, min(low + _PLACES, int(ends[to - 1])))
+            hit = np.searchsorted(ends, nth, "right")
+            seed = row[hit] + nth - (ends[hit] - copies[hit])
+            diagonal = at[hit] - items.place[seed]
+            parts.append(_runs(np.stack([text[hit], items.item[seed], diagonal, diagonal]), slack))
+        of, item, low, high = parts[0] if len(parts) == 1 else _runs(np.concatenate(parts, axis=1), slack)
+        from_ = np.maximum(0, low - slack[item])
+        yield np.stack([of, item, from_, np.minimum(np.diff(first)[of], high + length[item] + slack[item])])
+        done, h = int(ends[to - 1]), to
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the group and the place in it, for groups of these sizes one after another."""
+    k = np.repeat(np.arange(len(sizes)), sizes)
+    return k, np.arange(len(k)) - (np.cumsum(sizes) - sizes)[k]
+
+
+def _hopeful(items: Items, words: Words, passages: np.ndarray, least: float) -> np.ndarray:
+    """The columns of ``passages``, in order of size, whose words allow a score of ``least``."""
+    first = words.first
+    length = np.array([len(w) for w in items.words])
+    passages = passages[:, np.lexsort((passages[3] - passages[2], length[passages[1]]))]
+    text, item, from_, to = passages
+    width = to - from_
+    bits = 2 ** np.ceil(np.log2(16 * np.maximum(width, 8))).astype(np.int64)
+    cost = np.concatenate([[0], np.cumsum(bits)])
+    kept, a = [], 0
+    while a < len(text):
+        # As many passages at once as bounded tables hold, and one at least; the items get longer from one to the next.
+        b = max(a + 1, int(np.searchsorted(cost, cost[a] + _BITS, "right")) - 1)
+        high = length[item[a:b]]
+        b = a + max(1, int(np.searchsorted(high * np.arange(1, b - a + 1), _BITS, "right")))
+        high, wide = length[item[a:b]], width[a:b]
+        base, mask = cost[a:b] - cost[a], (bits[a:b] - 1).astype(np.uint64)
+        here = np.zeros(int(cost[b] - cost[a]), bool)
+        k, nth = _places(wide)
+        here[base[k] + ((words.hash[(first[text[a:b]] + from_[a:b])[k] + nth] >> U64(8)) & mask[k]).astype(np.int64)] = True
+        k, nth = _places(high)
+        has = here[base[k] + ((items.flat[items.first[item[a:b]][k] + nth] >> U64(8)) & mask[k]).astype(np.int64)]
+        gain = np.full((b - a, int(high[-1]) + 1), OTHER, np.int32)
+        gain[:, 0] = 0
+        gain[k, nth + 1] = np.where(has, MATCH, OTHER)
+        sums = np.cumsum(gain, axis=1)
+        bound = (sums - np.minimum.accumulate(sums, axis=1)).max(1)
+        kept.append(a + np.flatnonzero(bound / (MATCH * high) >= least))
+        a = b
+    return passages[:, np.concatenate(kept)]
 
 
 def _matches(items: Items, column: pa.Array, least: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, start, end) of every passage that scores enough."""
     words = cut(column, lower=True, punctuation=False)
-    first = words.first
-    found = _passages(items, words)
-    found.sort(key=lambda x: (len(items.words[x[1]]), x[3] - x[2]))  # similar sizes together
     out = []
-    while found:
+    for passages in _passages(items, words):
+        out += _aligned(items, words, _hopeful(items, words, passages, least).T.tolist(), least)
+    return out
+
+
+def _aligned(items: Items, words: Words, found: list[list[int]], least: float) -> list[tuple[int, int, float, int, int]]:
+    first = words.first
+    out, done = [], 0
+    while done < len(found):
         # As many alignments at once as bounded tables hold, and one at least.
-        n = 1
-        while n < len(found) and (n + 1) * (found[n][3] - found[n][2]) <= _CELLS:
+        n = done + 1
+        while n < len(found) and (n + 1 - done) * (found[n][3] - found[n][2]) <= _CELLS:
             n += 1
-        part, found = found[:n], found[n:]
+        part, done = found[done:n], n
         whole = [items.words[i] for _, i, _, _ in part]
         passages = [words.hash[first[t] + a : first[t] + b] for t, _, a, b in part]
         score, end = align(whole, passages)
@@ -201,9 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
 
 
 def _contaminated_by(docs: DataFrame, rows: list[Row], least: float) -> DataFrame:
-    all_items = _items(rows)
-    items = _rare(all_items, _frequencies(docs, all_items))
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(_items(rows))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

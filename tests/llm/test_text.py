@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from facetry.llm import language, toxicity
+from facetry.llm import decontamination, language, toxicity
 from facetry.llm.bpe import Coder, encode_decode, read_ranks
 from facetry.llm.chat import escape, format_windows, read_back, unescape
 from facetry.llm.decontamination import align, contaminated
@@ -235,6 +235,30 @@ def test_planted_passages(spark):
     assert contaminated(documents(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_copies_with_edits_in_any_number_of_documents(spark):
+    items = [prose(300 + n, 40) for n in range(2)]
+    edited = [[f"edit{k}" if k % 5 == 4 else w for k, w in enumerate(t.split())] for t in items]
+    texts = [prose(400 + n, 10) + " " + " ".join(edited[n >= 9]) for n in range(1009)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in contaminated(documents(spark, texts), benchmark).collect()}
+    assert set(found) == {(n, int(n >= 9)) for n in range(1009)} and min(found.values()) >= 0.7
+
+
+def test_all_that_aligns_is_found_in_parts_of_any_size(monkeypatch):
+    r = np.random.default_rng(1)
+    texts = [[" ".join(r.choice(list("abcdefgh"), r.integers(1, n))) for _ in range(40)] for n in (30, 60)]
+    items = decontamination._items([{"item_id": k, "text": t} for k, t in enumerate(texts[0])])
+    column = pa.array(texts[1])
+    words = decontamination.cut(column, lower=True, punctuation=False)
+    passages = np.concatenate(list(decontamination._passages(items, words)), axis=1)
+    expected = set(decontamination._aligned(items, words, passages.T.tolist(), 0.5))
+    assert len(expected) > 20
+    for places, bits in ((500_000, 8_000_000), (50, 1000), (1, 1)):
+        monkeypatch.setattr(decontamination, "_PLACES", places)
+        monkeypatch.setattr(decontamination, "_BITS", bits)
+        assert set(decontamination._matches(items, column, 0.5)) == expected
+
+
 def test_a_benchmark_in_parts(spark, monkeypatch):
     items = [prose(200 + n, 20) for n in range(8)]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
