@@ -14,7 +14,8 @@ equal windows of all documents lie in contexts of one anchor, and a suffix array
    after the earliest document's goes.
 
 An anchor with very many contexts (the edge of a line that a third of all documents have) is dealt out by single
-windows, once from each chunk.
+windows, once from each chunk. Equal contexts and windows of one document are sent once; the chunk remembers where
+the others are, and what goes of the one goes of all.
 
 Rows of any kind: null and empty texts and texts shorter than the window stay whole; rows that share a doc_id are
 one document and never remove from each other; a null doc_id counts as the latest of all; other columns are
@@ -157,8 +158,9 @@ def _reply(bodies: list[bytes], bits: int) -> list[bytes]:
     ]
 
 
-def _pack_spans(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
-    return np.stack([row, start, end]).astype(np.int64).tobytes()
+def _pack_spans(context: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    """Spans, each with the first byte of its context (which no other context of the chunk has)."""
+    return np.stack([context, start, end]).astype(np.int64).tobytes()
 
 
 def _unpack_spans(body: bytes) -> np.ndarray:
@@ -166,7 +168,7 @@ def _unpack_spans(body: bytes) -> np.ndarray:
 
 
 def _resolve(table: pa.Table, answers: list[tuple[int, bytes]], window: int, bits: int) -> pa.Table:
-    """What a chunk knows now: spans that go (to itself), and contexts to compare (to their buckets)."""
+    """What a chunk knows now: spans that go and places of equal contexts (to itself), and contexts to compare (to their buckets)."""
     c = _Contexts(table, window)
     got = dict(answers)
     code = np.zeros(len(c.top), np.uint8)
@@ -174,35 +176,42 @@ def _resolve(table: pa.Table, answers: list[tuple[int, bytes]], window: int, bit
         low, high = (exchange.flags_from_bytes(x, b - a) for x in exchange.split_parts(got[bucket], 2))
         code[a:b] = low + 2 * high.astype(np.uint8)
     gone = (code[c.number] == _EARLIER) | (c.rank > c.rank[c.top[c.number]])
-    row, start, end = [c.row[gone]], [c.start[gone]], [c.end[gone]]
+    start, end = [c.start[gone]], [c.end[gone]]
     text = c.data.tobytes()
-    sent: dict[int, list[tuple[int, int, int, int, int]]] = {}
+    # Of equal contexts one is sent; what goes of it goes of the others in its document, too.
+    first = c.rank == c.rank[c.top[c.number]]
+    copied: list[tuple[int, int]] = []
+    sent: dict[int, list[tuple[int, int, int, int]]] = {}
     for i in c.top[code == _SHARED].tolist():
         anchor = int(c.anchor[i])
-        context = (int(c.row[i]), int(c.start[i]), int(c.end[i]), int(c.rank[i]), anchor)
+        context = (int(c.start[i]), int(c.end[i]), int(c.rank[i]), anchor)
         sent.setdefault(anchor >> (48 - bits), []).append(context)
     # Single windows of anchors with many contexts: the earliest document's of each, later ones go at once.
     windows: dict[bytes, tuple[int, int]] = {}
     later = []
-    many = c.top[code == _MANY]
+    many = np.flatnonzero(first & (code[c.number] == _MANY))
     for i in many[np.argsort(c.rank[many], kind="stable")].tolist():
         for s in range(int(c.start[i]), int(c.end[i]) - window + 1):
             known = windows.setdefault(text[s : s + window], (int(c.rank[i]), s))
             if known[1] == s:
                 anchor = int.from_bytes(hashlib.blake2b(text[s : s + window], digest_size=6).digest(), "big")
-                context = (int(c.row[i]), s, s + window, int(c.rank[i]), anchor)
+                context = (s, s + window, int(c.rank[i]), anchor)
                 sent.setdefault(anchor >> (48 - bits), []).append(context)
             elif known[0] < c.rank[i]:
-                later.append((c.row[i], s, s + window))
+                later.append((s, s + window))
+            else:
+                copied.append((known[1], s))
     if later:
-        for part, x in zip((row, start, end), np.array(later, np.int64).T, strict=True):
+        for part, x in zip((start, end), np.array(later, np.int64).T, strict=True):
             part.append(x)
+    copies = np.array(copied, np.int64).reshape(-1, 2).T
     chunk = table["chunk"][0].as_py()
-    rows = [(-1 - chunk, chunk, _pack_spans(*map(np.concatenate, (row, start, end))))]
+    start, end = np.concatenate(start), np.concatenate(end)
+    rows = [(-1 - chunk, chunk, exchange.join_parts(_pack_spans(start, start, end), copies.astype(np.int64).tobytes()))]
     for bucket, contexts in sent.items():
-        r, s, e, k, anchor = np.array(contexts, np.int64).T
+        s, e, k, anchor = np.array(contexts, np.int64).T
         body = b"".join(text[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True))
-        rows.append((bucket, chunk, exchange.join_parts(np.stack([r, s, e, c.earliest[k], anchor]).tobytes(), body)))
+        rows.append((bucket, chunk, exchange.join_parts(np.stack([s, e, c.earliest[k], anchor]).tobytes(), body)))
     return pa.table([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), exchange.MESSAGE_TYPES, strict=True)], schema=exchange.MESSAGE_TYPES)
 
 
@@ -298,31 +307,55 @@ def _compare(key: tuple, table: pa.Table, window: int) -> pa.Table:
     chunks, heads, strings, sizes = [], [], [], []
     for chunk, body in zip(table["chunk"].to_pylist(), table["body"].to_pylist(), strict=True):
         head, data = exchange.split_parts(body, 2)
-        head = np.frombuffer(head, np.int64).reshape(5, -1)
-        at = np.concatenate([[0], np.cumsum(head[2] - head[1])]).tolist()
+        head = np.frombuffer(head, np.int64).reshape(4, -1)
+        at = np.concatenate([[0], np.cumsum(head[1] - head[0])]).tolist()
         strings += [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         heads.append(head)
         chunks.append(chunk)
         sizes.append(head.shape[1])
-    row, begin, _, doc, anchor = np.concatenate(heads, axis=1)
+    begin, _, doc, anchor = np.concatenate(heads, axis=1)
     string, start, end = _by_anchor(strings, doc, anchor, window)
     of = np.repeat(np.arange(len(chunks)), sizes)[string]
     out = []
     for k, chunk in enumerate(chunks):
         mine = of == k
         s = string[mine]
-        out.append((key[0].as_py(), chunk, _pack_spans(row[s], begin[s] + start[mine], begin[s] + end[mine])))
+        out.append((key[0].as_py(), chunk, _pack_spans(begin[s], begin[s] + start[mine], begin[s] + end[mine])))
     columns = [pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), exchange.MESSAGE_TYPES, strict=True)]
     return pa.table(columns, schema=exchange.MESSAGE_TYPES)
 
 
+def _with_copies(spans: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Spans of contexts, and those of all ``copies`` (context, place), which are in the order of contexts.
+
+    A context is shorter than two windows, so its spans overlap and are one from the first byte to the last.
+    """
+    if not spans.shape[1] or not copies.shape[1]:
+        return spans
+    context, start, end = spans[:, np.argsort(spans[0], kind="stable")]
+    at = np.flatnonzero(np.diff(context, prepend=-1))
+    context, start, end = context[at], np.minimum.reduceat(start, at), np.maximum.reduceat(end, at)
+    low, high = (np.searchsorted(copies[0], context, side) for side in ("left", "right"))
+    of = np.repeat(np.arange(len(context)), high - low)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    place = copies[1, low[of] + nth]
+    shift = place - context[of]
+    return np.concatenate([spans, np.stack([place, start[of] + shift, end[of] + shift])], axis=1)
+
+
 def _finish(table: pa.Table, answers: list[tuple[int, bytes]], digest: bool) -> pa.Table:
     data, bounds = text_bytes(table["text"])
     cover = np.zeros(len(data) + 1, np.int32)
-    for _, body in answers:
-        _, start, end = _unpack_spans(body)
-        np.add.at(cover, start, 1)
-        np.add.at(cover, end, -1)
+    copies = np.zeros((2, 0), np.int64)
+    for bucket, body in answers:  # the chunk's own value, of the least bucket, comes first
+        if bucket < 0:
+            body, places = exchange.split_parts(body, 2)
+            spans, copies = _unpack_spans(body), np.frombuffer(places, np.int64).reshape(2, -1)
+            copies = copies[:, np.argsort(copies[0], kind="stable")]
+        else:
+            spans = _with_copies(_unpack_spans(body), copies)
+        np.add.at(cover, spans[1], 1)
+        np.add.at(cover, spans[2], -1)
     removed = np.cumsum(cover)[:-1] > 0
     gone = np.concatenate([[0], np.cumsum(removed)])
     begins = removed.copy()

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from facetry.llm import exchange, suffixes
@@ -7,7 +9,7 @@ from facetry.llm.neardups import near_duplicates
 from facetry.llm.spherical import Code, near_vectors
 from facetry.llm.substrings import remove_repeated_windows
 from facetry.llm.suffixes import remove_repeated_bytes, repeats_to_remove
-from llm_data import components, documents, near_components, odd_texts, sha, windows_removed, words
+from llm_data import components, documents, near_components, odd_texts, prose, sha, windows_removed, words
 
 
 def spans_of(gone):
@@ -42,6 +44,49 @@ def test_byte_strings_as_brute_force(spark, chunk_bytes, many, monkeypatch):
         assert len(real[i]["text"].encode()) >= len(kept)
 
 
+def removed_in_chunks(texts, chunks, window=50, bits=4):
+    """The digest rows of the passes over these chunks, without Spark."""
+
+    def exchanged(bucket_of, sent):
+        return {b: sorted((c, body) for c, to, body in sent if bucket_of(c, to) == b) for b in {bucket_of(c, to) for c, to, _ in sent}}
+
+    tables = {
+        k: exchange.sorted_chunk(pa.table({"doc_id": ids, "text": [texts[i] for i in ids], "chunk": [k] * len(ids)}))
+        for k in range(chunks)
+        if (ids := list(range(k, len(texts), chunks)))
+    }
+    asked = exchanged(lambda c, to: to, [(k, b, body) for k, t in tables.items() for b, body in suffixes._emit(t, window, bits)])
+    got = {k: [] for k in tables}
+    for bucket, sent in asked.items():
+        for (k, _), body in zip(sent, suffixes._reply([body for _, body in sent], bits), strict=True):
+            got[k].append((bucket, body))
+    resolved = pa.concat_tables([suffixes._resolve(t, sorted(got[k]), window, bits) for k, t in tables.items()])
+    spans = {k: [] for k in tables}
+    for bucket in resolved["bucket"].unique():
+        part = resolved.filter(pa.compute.equal(resolved["bucket"], bucket))
+        for r in suffixes._compare((bucket,), part, window).to_pylist():
+            spans[r["chunk"]].append((r["bucket"], r["body"]))
+    return {r["doc_id"]: r for k, t in tables.items() for r in suffixes._finish(t, sorted(spans[k]), True).to_pylist()}
+
+
+def assert_removed_as_brute_force(texts, chunks):
+    got = removed_in_chunks(texts, chunks)
+    docs = [(i, t.encode()) for i, t in enumerate(texts)]
+    for (i, data), gone in zip(docs, windows_removed(docs, 50), strict=True):
+        assert (got[i]["n_removed"], got[i]["n_spans"]) == (sum(gone), spans_of(gone))
+        assert got[i]["kept_sha256"] == sha(bytes(x for x, g in zip(data, gone, strict=True) if not g))
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 3])
+def test_windows_of_frequent_anchors_that_a_document_repeats(chunks, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY", 1)
+    line = prose(70, 12)[:70]
+    new = [prose(80 + n, 30) for n in range(12)]
+    texts = [new[0] + line + new[1], new[2] + line + new[3] + line + new[4] + line + new[5], new[6] + line + new[7]]
+    texts.append(new[8] + line + new[9] + line + new[8] + line + new[9])
+    assert_removed_as_brute_force(texts, chunks)
+
+
 def test_maximal_repeats_as_brute_force():
     random = np.random.default_rng(3)
     for _ in range(300):
