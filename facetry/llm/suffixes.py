@@ -180,6 +180,8 @@ def _resolve(table: pa.Table, answers: list[tuple[int, bytes]], window: int, bit
     text = c.data.tobytes()
     # Of equal contexts one is sent; what goes of it goes of the others in its document, too.
     first = c.rank == c.rank[c.top[c.number]]
+    equal = np.flatnonzero(first & (code[c.number] == _SHARED) & (c.top[c.number] != np.arange(len(c.number))))
+    copies = np.stack([c.start[c.top[c.number[equal]]], c.start[equal]])
     copied: list[tuple[int, int]] = []
     sent: dict[int, list[tuple[int, int, int, int]]] = {}
     for i in c.top[code == _SHARED].tolist():
@@ -204,7 +206,7 @@ def _resolve(table: pa.Table, answers: list[tuple[int, bytes]], window: int, bit
     if later:
         for part, x in zip((start, end), np.array(later, np.int64).T, strict=True):
             part.append(x)
-    copies = np.array(copied, np.int64).reshape(-1, 2).T
+    copies = np.concatenate([copies, np.array(copied, np.int64).reshape(-1, 2).T], axis=1)
     chunk = table["chunk"][0].as_py()
     start, end = np.concatenate(start), np.concatenate(end)
     rows = [(-1 - chunk, chunk, exchange.join_parts(_pack_spans(start, start, end), copies.astype(np.int64).tobytes()))]

@@ -87,6 +87,17 @@ def test_windows_of_frequent_anchors_that_a_document_repeats(chunks, monkeypatch
     assert_removed_as_brute_force(texts, chunks)
 
 
+@pytest.mark.parametrize("chunks", [1, 2, 3])
+def test_passages_repeated_in_one_document_with_equal_surroundings(chunks):
+    x, p, y, a, b, c = (prose(90 + n, 30)[:n_bytes] for n, n_bytes in enumerate((80, 60, 80, 90, 90, 40)))
+    assert_removed_as_brute_force([x + p + y, a + p + b + c + a + p + b, c + a + p + b + a + p + b], chunks)
+    random = np.random.default_rng(7)
+    blocks = [prose(200 + n, 30)[: int(random.integers(20, 120))] for n in range(9)]
+    for _ in range(20):
+        texts = ["".join(blocks[i] for i in random.integers(0, 9, random.integers(1, 12))) for _ in range(5)]
+        assert_removed_as_brute_force(texts, chunks)
+
+
 def test_maximal_repeats_as_brute_force():
     random = np.random.default_rng(3)
     for _ in range(300):
