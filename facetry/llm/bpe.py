@@ -197,10 +197,11 @@ class Coder:
         cut = [self.pattern.findall(t) if len(t) <= _LONG_TEXT else None for t in texts]
         self.learn(chain.from_iterable(c for c in cut if c))
         for text, part in zip(texts, cut, strict=True):
-            yield (self._joined(p, learn=part is None) for p in ([part] if part is not None else self.parts(text)))
+            yield (self._joined(p) for p in ([part] if part is not None else self.parts(text)))
 
-    def _joined(self, part: list[str], learn: bool) -> tuple[bytes, bytes]:
-        if learn:
+    def _joined(self, part: list[str]) -> tuple[bytes, bytes]:
+        # A long text may have pushed out what was learnt for the texts after it.
+        if not all(map(self.known.__contains__, part)):
             self.learn(part)
         ids, decoded = zip(*map(self.known.__getitem__, part), strict=True) if part else ((), ())
         return b"".join(ids), b"".join(decoded)

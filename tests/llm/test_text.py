@@ -58,6 +58,20 @@ def test_long_pieces_and_long_texts_as_the_library(monkeypatch):
         assert b"".join(decoded) == text.encode()
 
 
+def test_pieces_pushed_out_by_a_long_text_are_encoded_again(monkeypatch):
+    own, coder = tokenizer(), Coder(read_ranks(RANKS), public_tokenizers.PATTERN)
+    monkeypatch.setattr("facetry.llm.bpe._LONG_TEXT", 3000)
+    monkeypatch.setattr("facetry.llm.bpe._PIECES", 100)
+    monkeypatch.setattr("facetry.llm.bpe._REMEMBERED", 50)
+    long = " ".join(f"long{k}xq" for k in range(600))
+    texts = [prose(8, 40), long, prose(9, 60), "zzqx yyqx", long, prose(8, 40)]
+    for _ in range(2):
+        for text, parts in zip(texts, coder.encode(texts), strict=True):
+            ids, decoded = zip(*parts, strict=True)
+            assert b"".join(ids) == np.array(own.encode_ordinary(text), "<u4").tobytes()
+            assert b"".join(decoded) == text.encode()
+
+
 # Quality and toxicity ---------------------------------------------------------------------------
 
 
