@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from facetry.errors import FacetryError
 from facetry.llm.cells import in_cells
 from facetry.llm.components import connected_components, stored
 from facetry.llm.quality import slices
@@ -255,7 +256,12 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept (doc_id = component_id)."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept (doc_id = component_id).
+
+    The signatures are made for ``PERCENT``; a lower ``percent`` is refused, as they would lose links.
+    """
+    if not percent >= PERCENT:
+        raise FacetryError(f"percent must be {PERCENT} or more, not {percent}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(signatures(docs, width), "signed")
     least = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))

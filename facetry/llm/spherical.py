@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.errors import FacetryError
 from facetry.llm.cells import in_cells
 from facetry.llm.components import connected_components, stored
 
@@ -237,7 +238,12 @@ def _links(cells: DataFrame, double: bool, least: float) -> DataFrame:
 
 
 def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """vec_id, n_links (other vectors at cosine ``least`` or more), component_id and kept of every vector."""
+    """vec_id, n_links (other vectors at cosine ``least`` or more), component_id and kept of every vector.
+
+    The filters are made for ``LEAST_COSINE``; a lower ``least`` is refused, as they would lose links.
+    """
+    if not least >= LEAST_COSINE:
+        raise FacetryError(f"least must be {LEAST_COSINE} or more, not {least}")
     double = "double" in vectors.schema["embedding"].dataType.simpleString()
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     checked = stored(_checked(vectors, double), "vectors")

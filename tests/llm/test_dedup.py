@@ -3,6 +3,7 @@ import pyarrow as pa
 import pyarrow.compute
 import pytest
 
+from facetry.errors import FacetryError
 from facetry.llm import exchange, suffixes
 from facetry.llm.components import connected_components
 from facetry.llm.neardups import near_duplicates
@@ -187,6 +188,16 @@ def test_near_vectors_as_brute_force(spark):
     assert near_vectors(vectors.limit(0)).count() == 0
 
 
+def test_thresholds_below_those_of_the_filters_are_refused(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    for least in (0.94, float("nan")):
+        with pytest.raises(FacetryError):
+            near_vectors(vectors, least)
+    with pytest.raises(FacetryError):
+        near_duplicates(documents(spark), 74)
+    assert near_vectors(vectors, 0.97).count() == 1
+
+
 def test_filters_find_pairs_at_the_threshold():
     random = np.random.default_rng(11)
     decoder = Code.for_vectors(50_000).decoder(64)
