@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from facetry.llm.bpe import encode_decode
 from facetry.llm.chat import format_windows, read_back
+from facetry.llm.components import stored
 from facetry.llm.decontamination import contaminated
 from facetry.llm.language import score_texts
 from facetry.llm.neardups import near_duplicates
+from facetry.llm.periods import find_runs
 from facetry.llm.quality import score_quality
 from facetry.llm.registry import ORACLE, QUERIES, query
 from facetry.llm.spherical import near_vectors
-from facetry.llm.sql import CHAT_SQL, NEAR_SQL, VECTORS_SQL
+from facetry.llm.sql import CHAT_SQL, NEAR_SQL, TRIE_SQL, URLS_SQL, VECTORS_SQL
 from facetry.llm.substrings import remove_repeated_windows
 from facetry.llm.suffixes import remove_repeated_bytes
 from facetry.llm.toxicity import score_toxicity
+from facetry.llm.tries import numbered_turns, prefix_trie
+from facetry.llm.urls import judge_urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -92,6 +96,55 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op11_url_rules", URLS_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    known = spark.createDataFrame(rules, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf, "pages"), known)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return find_runs(with_planted_periods(table(spark, sf, "documents")), digest=True)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The documents; those whose crc32(doc_id) ends in 0 go on from some word with a repeated passage of their own."""
+    number = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    chosen = docs.withColumn("g", F.floor(number / 10)).withColumn("words", F.when(number % 10 == 0, words))
+    n, g = F.size("words"), F.col("g")
+    begin = F.when(n > 0, F.pmod(g, n)).cast("int")
+    period = (1 + F.floor((n - begin) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    unit = F.slice("words", begin + 1, period)
+    tail = F.flatten(F.array_repeat(unit, F.ceil((n - begin) / period).cast("int")))
+    planted = F.concat(F.slice("words", F.lit(1), begin), F.slice(tail, F.lit(1), n - begin))
+    text = F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text"))
+    return chosen.select("doc_id", text.alias("text"))
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie(*with_shared_beginnings(numbered_turns(table(spark, sf, "conversations"))))
+
+
+def with_shared_beginnings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and conversations; the first crc32(conv_id) % 4 turns come from the first conversation of each twenty."""
+    taken = F.crc32(F.col("conv_id").cast("string")) % 4
+    family = F.col("conv_id") - F.pmod("conv_id", F.lit(20))
+    turns = stored(turns.withColumn("taken", taken).withColumn("family", family), "turns")
+    sizes = turns.groupBy("conv_id", "taken", "family").agg(F.max("place").alias("last"))
+    heads = turns.where((F.col("family") == F.col("conv_id")) & (F.col("place") < 3))
+    heads = heads.select("family", "place", "digest", "words")
+    offered = heads.groupBy("family").agg(F.max("place").alias("offered"))
+    begun = F.least("taken", F.coalesce(F.col("offered") + 1, F.lit(0)))
+    convs = stored(sizes.join(offered, "family", "left").withColumn("begun", begun), "conversations")
+    first = convs.join(heads, "family").where("place < taken").select("conv_id", "place", "digest", "words")
+    rest = turns.where("place >= taken").join(convs.select("conv_id", "begun"), "conv_id")
+    rest = rest.select("conv_id", (F.col("place") - F.col("taken") + F.col("begun")).alias("place"), "digest", "words")
+    return first.unionByName(rest), convs.select("conv_id")
+
+
 def all_queries() -> dict:
     return dict(QUERIES)
 

@@ -97,3 +97,65 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component, e.vec_id) AS
   coalesce(c.component, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN components c ON c.node = e.vec_id LEFT JOIN counts n ON n.a = e.vec_id
 """
+
+URLS_SQL = r"""
+WITH rules(host, path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+addresses AS (
+  SELECT page_id, row_number() OVER () AS nr,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+fits AS (
+  SELECT a.nr, r.host || r.path AS rule, r.verdict
+  FROM addresses a JOIN rules r
+    ON (a.host = r.host OR ends_with(a.host, '.' || r.host)) AND starts_with(a.path, r.path)
+  QUALIFY row_number() OVER (PARTITION BY a.nr ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) = 1)
+SELECT a.page_id, a.host, a.path, f.rule, coalesce(f.verdict, 'allow') AS verdict,
+  CASE WHEN f.rule IS NOT NULL THEN split_part(f.rule, '/', 1) END AS rule_host,
+  CASE WHEN f.rule IS NOT NULL THEN substr(f.rule, instr(f.rule, '/')) END AS rule_path
+FROM addresses a LEFT JOIN fits f ON f.nr = a.nr
+"""
+
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (
+  SELECT conv_id, digest, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS place
+  FROM turns),
+convs AS (  -- crc32 of the decimal number, bit by bit
+  SELECT conv_id, conv_id - ((conv_id % 20) + 20) % 20 AS family,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+        lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) % 4 AS taken
+  FROM (SELECT DISTINCT conv_id FROM numbered)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, n.place, n.digest, n.words
+  FROM convs c JOIN numbered n ON n.conv_id = c.family AND n.place < c.taken
+  UNION ALL
+  SELECT c.conv_id, 1, n.place, n.digest, n.words
+  FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND n.place >= c.taken),
+paths AS (
+  SELECT c.conv_id, coalesce(list(r.digest ORDER BY part, place) FILTER (WHERE r.digest IS NOT NULL), []) AS path,
+    coalesce(list(r.words ORDER BY part, place) FILTER (WHERE r.digest IS NOT NULL), []) AS words
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+steps AS (
+  SELECT conv_id, d, path[1:d] AS node, coalesce(words[d], 0) AS words, d = len(path) AS ending
+  FROM paths, unnest(range(len(path) + 1)) AS t(d)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ending), '')) AS ends_sha256
+  FROM steps GROUP BY node, d),
+children AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+full_ AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.node = n.node),
+sums AS (
+  SELECT f.node[1:t.j] AS node, sum((f.n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+    sum((f.n_convs - 1) * f.words)::BIGINT AS saved_tokens
+  FROM full_ f, unnest(range(f.d + 1)) AS t(j) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums s ON s.node = f.node LEFT JOIN full_ p ON f.d > 0 AND p.node = f.node[1:f.d - 1]
+"""

@@ -1,0 +1,105 @@
+import random
+import re
+import zlib
+
+import pytest
+
+from facetry.llm.queries import with_shared_beginnings
+from facetry.llm.tries import numbered_turns, prefix_trie
+from llm_data import sha
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string, key string, depth int, words int, n bigint"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+COLUMNS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def table_of(spark, rows):
+    return spark.createDataFrame([(*r, "k", 1, 2, 3) for r in rows], SCHEMA).repartition(3)
+
+
+def in_order(rows):
+    """conv_id -> its turns (role, text)."""
+    md5 = __import__("hashlib").md5
+    out = {}
+    for c, turn, role, text in rows:
+        role, text = role or "", text or ""
+        if c is not None:
+            digest = md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            out.setdefault(c, []).append((turn is not None, turn or 0, digest, role, text))
+    return {c: [t[3:] for t in sorted(turns)] for c, turns in out.items()}
+
+
+def rebuilt(convs):
+    out = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        out[c] = convs.get(c - c % 20, [])[:h] + own[h:]
+    return out
+
+
+def brute(convs):
+    members = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    children = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    totals = {}
+    for node in sorted(members, key=len, reverse=True):
+        saved = (len(members[node]) - 1) * len(WORD.findall(node[-1][1])) if node else 0
+        below = [totals[k] for k in children.get(node, [])]
+        totals[node] = (sum(b[0] for b in below) or 1, saved + sum(b[1] for b in below))
+    rows = []
+    for node, cs in members.items():
+        ends = ",".join(map(str, sorted(c for c in cs if len(convs[c]) == len(node))))
+        parent = min(members[node[:-1]]) if node else None
+        rows.append((min(cs), len(node), parent, len(cs), len(children.get(node, [])), *totals[node], sha(ends.encode())))
+    return sorted(rows, key=repr)
+
+
+def rows_of(frame):
+    return sorted((tuple(r[c] for c in COLUMNS) for r in frame.collect()), key=repr)
+
+
+def random_rows(seed, n, longest):
+    r = random.Random(seed)
+    rows = []
+    for c in r.sample(range(-40, 400), n):
+        turns = r.randint(1, longest)
+        for t in range(turns):
+            text = r.choice(["a", "b c", "a", "a", None, "", "é ü\tx"]) if r.random() < 0.8 else f"t{r.randint(0, 9)} x"
+            rows.append((c, t if r.random() < 0.97 else None, r.choice(["user", None]) if r.random() < 0.1 else "user", text))
+    return rows + rows[:5] + [(None, 0, "user", "nobody's")]
+
+
+@pytest.mark.parametrize(("height", "longest"), [(2, 20), (3, 9), (8, 7)])
+def test_trie_as_brute_force(spark, height, longest):
+    rows = random_rows(height, 60, longest)
+    turns = numbered_turns(table_of(spark, rows))
+    convs = in_order(rows)
+    assert rows_of(prefix_trie(turns, turns.select("conv_id").distinct(), height)) == brute(convs)
+    got = prefix_trie(*with_shared_beginnings(turns), height)
+    assert got.columns[: len(COLUMNS)] == list(COLUMNS)
+    assert rows_of(got) == brute(rebuilt(convs))
+
+
+def test_one_long_conversation_and_many_copies(spark):
+    rows = [(1000, t, "user", f"word {t % 3}") for t in range(700)]
+    rows += [(c, t, "user", f"word {t % 3}") for c in range(300) for t in range(5)]
+    turns = numbered_turns(table_of(spark, rows))
+    expected = brute(in_order(rows))
+    assert len(expected) == 701
+    assert rows_of(prefix_trie(turns, turns.select("conv_id").distinct(), 3)) == expected
+
+
+def test_conversations_without_turns_and_empty_tables(spark):
+    turns = numbered_turns(table_of(spark, [(21, 0, "user", "a"), (5, 0, "user", "b c")]))
+    convs = spark.createDataFrame([(c,) for c in (21, 5, 3, 40)], "conv_id bigint")
+    empty = {3: [], 40: [], 21: [("user", "a")], 5: [("user", "b c")]}
+    assert rows_of(prefix_trie(turns, convs)) == brute(empty)
+    assert rows_of(prefix_trie(turns.limit(0), convs)) == brute({c: [] for c in empty})
+    none = turns.limit(0)
+    assert prefix_trie(none, none.select("conv_id")).count() == 0
+    assert prefix_trie(*with_shared_beginnings(numbered_turns(table_of(spark, [])))).count() == 0
