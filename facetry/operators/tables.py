@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetry.functions.missing import column, type_of
+from facetry.operators.addresses import ADDRESS, FILE, MOST_ADDRESSES, NUMBER, at_addresses, with_address
 from facetry.operators.binning import bin_number
 
 # Seed of the shuffle, rows of a page, points of a scatter view.
@@ -16,8 +18,11 @@ SHUFFLE_SEED = 42
 PAGE_ROWS = 10
 SCATTER_POINTS = 10_000
 
-BUCKET_DIGITS = 3
 SAMPLE_PLACES = 1024
+# The column of a table stored in the order of its shuffle; the share of it that is read first, and how fast that grows.
+SHUFFLE = "_shuffle"
+FIRST_SHARE = 2.0**-24
+MOST_WIDENING = 4096.0
 # Pages that end within the first rows are read directly; others from a range of the key.
 FEW_ROWS = 100
 RANGE_ROWS = 1_000_000
@@ -33,6 +38,11 @@ def shuffle_key(key: Sequence[str | Column], seed: int = SHUFFLE_SEED) -> Column
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
+def shuffle_metadata(key: Sequence[str | Column], seed: int) -> dict[str, str]:
+    """What a stored shuffle is of."""
+    return {"seed": str(seed), "key": ",".join(map(str, key))}
+
+
 def seeded_shuffle(df: DataFrame, key: Sequence[str | Column], seed: int = SHUFFLE_SEED) -> DataFrame:
     """All rows in the random order of the seed.
 
@@ -47,34 +57,67 @@ def seeded_sample(
 ) -> DataFrame:
     """The first ``limit`` rows of the seeded shuffle, with their ``shuffle_key``.
 
-    Sorting everything for a few rows would send ``limit`` rows of every task to one.  The keys are
-    spread evenly, so the rows are counted per leading digits of the key (at most 4,096 counts), and again
-    per following digits inside the group in which the count reaches the limit; only rows up to that place,
-    hardly more than the limit, take part in the sort.
+    Sorting everything for a few rows would send ``limit`` rows of every task to one.  The keys are spread evenly, so the
+    count of the rows says which share of them holds the first ones; only rows of that share, hardly more than the
+    limit, take part in the sort.  If it holds too few, because the key has copies, a larger share is taken.
+
+    Rows of files are found by their key and address, at once; what the caller selects is then read from the files that
+    hold them.  Other rows, and limits past ``MOST_ADDRESSES``, are sorted whole, ties by all columns.  Of a table that is
+    stored in the order of this shuffle only its beginning is read, and its rows are not counted.
     """
-    keyed = df.withColumn("shuffle_key", shuffle_key(key, seed))
-    cut, before = _cut(keyed.select("shuffle_key"), BUCKET_DIGITS, F.lit(""), F.lit(0), limit)
-    deeper, _ = _cut(keyed.select("shuffle_key"), 2 * BUCKET_DIGITS, cut, before, limit)
-    few = keyed.where(F.substring("shuffle_key", 1, 2 * BUCKET_DIGITS) <= deeper)
-    # A key with very many copies may pass the cut.  Its rows are first cut down in many places.
-    placed = few.withColumn("_place", F.spark_partition_id() % SAMPLE_PLACES)
-    nth = F.row_number().over(Window.partitionBy("_place").orderBy("shuffle_key"))
-    few = placed.withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_place", "_nth")
-    tied = [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return few.orderBy("shuffle_key", *tied).limit(limit)
+    stored = SHUFFLE in df.columns and df.schema[SHUFFLE].metadata == shuffle_metadata(key, seed)
+    addressed = with_address(df) if limit <= MOST_ADDRESSES else None
+    if addressed is None:
+        tied = [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        rows = df.withColumn("shuffle_key", shuffle_key(key, seed))
+        narrow = rows
+    else:
+        tied = [F.col(c) for c in ADDRESS]
+        rows = addressed.withColumn("shuffle_key", shuffle_key(key, seed))
+        narrow = rows.select("shuffle_key", *ADDRESS, *([SHUFFLE] if stored else []))
+    for share in _shares(narrow, limit, stored):
+        few = _first_by_key(_beginning(narrow, share, stored), limit, tied)
+        if addressed is None:
+            if share == 1 or few.count() == limit:
+                return few
+            continue
+        found = few.select(FILE, NUMBER).toArrow()
+        if share == 1 or found.num_rows == limit:
+            break
+    held = _beginning(rows, share, stored) if stored else rows
+    return at_addresses(held, found).orderBy("shuffle_key", *tied).drop(*ADDRESS)
 
 
-def _cut(keys: DataFrame, digits: int, inside: Column, before: Column, limit: int) -> tuple[Column, Column]:
-    """The leading digits at which the count of keys reaches the limit, and the rows before them.
+def _shares(rows: DataFrame, limit: int, stored: bool) -> Iterator[float]:
+    """Shares of the shuffle to look for its first ``limit`` rows in, one after the other; at last all of it."""
+    share = FIRST_SHARE if stored else min(1.0, (limit + 6 * math.sqrt(limit) + 10) / max(rows.count(), 1))
+    while share < 1:
+        yield share
+        if stored:
+            # Widened by what the share asks for, so that few rows cost two or three short jobs more.
+            held = rows.where(_within(share, stored)).limit(limit).count()
+            share *= min(MOST_WIDENING, max(4.0, 2.0 * limit / max(held, 1)))
+        else:
+            share *= 8
+    yield 1
 
-    Only keys that start with ``inside`` are counted; ``before`` rows come before those.
-    """
-    lead = F.substring("shuffle_key", 1, digits)
-    counts = keys.where(F.startswith("shuffle_key", inside)).groupBy(lead.alias("lead")).agg(F.count("*").alias("n"))
-    start = F.sum("n").over(Window.orderBy("lead")) - F.col("n") + before
-    reached = counts.select("lead", start.alias("start")).where(F.col("start") < limit)
-    last = reached.agg(F.max(F.struct("lead", "start")).alias("last")).scalar()
-    return last["lead"], last["start"]
+
+def _within(share: float, stored: bool) -> Column:
+    """The beginning of the shuffle: by the stored digits, which the reader compares with its statistics, or by the key."""
+    end = int(share * 16**15)
+    return F.col(SHUFFLE) < F.lit(end) if stored else F.col("shuffle_key") < F.lit(f"{end:015x}")
+
+
+def _beginning(rows: DataFrame, share: float, stored: bool) -> DataFrame:
+    return rows if share == 1 else rows.where(_within(share, stored))
+
+
+def _first_by_key(rows: DataFrame, limit: int, tied: list[Column]) -> DataFrame:
+    """The first rows by ``shuffle_key``, then by ``tied``; copies of a key are first cut down in many places."""
+    placed = rows.withColumn("_part", F.spark_partition_id() % SAMPLE_PLACES)
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("shuffle_key", *tied))
+    few = placed.withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_part", "_nth")
+    return few.orderBy("shuffle_key", *tied).limit(limit)
 
 
 def scatter_points(
@@ -99,23 +142,38 @@ def page(
 ) -> DataFrame:
     """One page of a table in the order of a key, from page 0, with the row number.
 
-    Rows with the same key follow in the order of a hash of their values, so pages never overlap.  To show a
-    page, each task hands all rows before its end to one other task.  That is cheap for the first pages; for a
-    later one the range of the key in which it lies is found first.
+    Rows with the same key follow in the order of their addresses, or of a hash of their values where they are not rows
+    of files, so pages never overlap.  The page is found on the key and the address alone, at once; the columns that are
+    shown are then read from the files that hold its rows.  To show a page, each task hands all rows before its end to
+    one other task.  That is cheap for the first pages; for a later one the range of the key in which it lies is found
+    first.
     """
     skipped = number * rows
     shown_columns = list(columns or df.columns)
-    source, before = df.withColumn(TIE, _tie(df)), 0
-    order = [*key, TIE]
-    if skipped + rows > FEW_ROWS:
-        source, before = _page_range(source, order, skipped, rows)
-    sortable = [c for c in df.columns if c not in key and not isinstance(type_of(df, c), T.MapType)]
-    by = [column(name) for name in [*order, *sortable]]
-    shown = source.orderBy(*by).offset(skipped - before).limit(rows)
+    addressed = with_address(df) if rows <= MOST_ADDRESSES else None
+    if addressed is None:
+        ties = [c for c in df.columns if c not in key and not isinstance(type_of(df, c), T.MapType)]
+        found, before, by = _placed_page(df.withColumn(TIE, _tie(df)), [*key, TIE], ties, skipped, rows)
+    else:
+        narrow = addressed.select(*map(column, key), *ADDRESS)
+        found, before, by = _placed_page(narrow, [*key, *ADDRESS[:-1]], [ADDRESS[-1]], skipped, rows)
+    shown = found.orderBy(*by).offset(skipped - before).limit(rows)
+    if addressed is not None and not set(shown_columns) <= set(key):
+        shown = at_addresses(addressed, shown.select(FILE, NUMBER).toArrow())
     counted = shown.withColumn("row", F.row_number().over(Window.orderBy(*by)) + skipped - 1)
     return counted.select("row", *map(column, shown_columns))
 
 
+def _placed_page(
+    source: DataFrame, order: list[str], ties: list[str], skipped: int, rows: int
+) -> tuple[DataFrame, int, list[Column]]:
+    """Rows that hold a page, the number of rows before them, and what they are ordered by."""
+    before = 0
+    if skipped + rows > FEW_ROWS:
+        source, before = _page_range(source, order, skipped, rows)
+    return source, before, [column(name) for name in [*order, *ties]]
+
+
 def _tie(df: DataFrame) -> Column:
     """A number that tells rows with the same key apart."""
     values = [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
