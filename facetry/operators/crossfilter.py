@@ -29,6 +29,10 @@ class CrossFilter:
     def keys(self) -> list[str]:
         return list(self._conditions)
 
+    def condition_of(self, key: str) -> Column:
+        """What a view or control has set."""
+        return self._conditions[key]
+
     def condition_for(
         self, view: str | None = None, reducer: Callable[[Column, Column], Column] = and_
     ) -> Column | None:
