@@ -8,6 +8,7 @@ and no SQL text is put together.
 from __future__ import annotations
 
 import ast
+import math
 import re
 import warnings
 from decimal import Decimal
@@ -150,8 +151,11 @@ class _Conditions:
             if isinstance(dtype, T.DecimalType):
                 return self.decimal_value(node, dtype)
             if isinstance(dtype, T.IntegralType):
+                # Every value of a column lies on one side of what is past 64 bits.
+                if not -(2**63) <= value < 2**63:
+                    return F.lit(math.copysign(math.inf, 1 if value > 0 else -1))
                 return F.lit(int(value)) if value == int(value) else F.lit(value)
-            return F.lit(value).cast(dtype)
+            return F.lit(self.as_double(value)).cast(dtype)
         if not isinstance(node, ast.Constant):
             raise self.error("one side is neither a column nor a value")
         if isinstance(dtype, T.BooleanType) and not isinstance(node.value, bool):
@@ -163,6 +167,8 @@ class _Conditions:
     def decimal_value(self, node: ast.expr, dtype: T.DecimalType) -> Column:
         """A literal that keeps all its digits: in the column's type if that holds it, else in one of its own."""
         value = Decimal((ast.get_source_segment(self.source, node) or "").replace(" ", ""))
+        if abs(value.adjusted()) > MOST_DIGITS:
+            return F.lit(self.as_double(value))
         digits = value.as_tuple()
         scale = max(0, -digits.exponent)
         whole = max(0, len(digits.digits) + digits.exponent)
@@ -172,6 +178,13 @@ class _Conditions:
             return F.lit(value).cast(T.DecimalType(whole + scale, scale))
         return F.lit(float(value))
 
+    @staticmethod
+    def as_double(value: float | Decimal) -> float:
+        try:
+            return float(value)
+        except OverflowError:
+            return math.inf if value > 0 else -math.inf
+
     def numeric_value(self, node: ast.expr) -> int | float:
         text = (ast.get_source_segment(self.source, node) or "").replace(" ", "")
         if not NUMBER.match(text):

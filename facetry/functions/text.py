@@ -14,6 +14,11 @@ from operator import and_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetry.errors import FacetryError
+
+#: Words of one group; the cost of placing them doubles with each.
+MOST_OVERLAPPING = 12
+
 
 def words_of(query: str) -> list[str]:
     return query.lower().split()
@@ -35,11 +40,18 @@ def overlapping_groups(words: list[str]) -> list[list[str]]:
     return groups
 
 
+def check_group(words: list[str]) -> None:
+    """Refuse more words that can overlap each other than can be placed in a bounded time."""
+    if len(words) > MOST_OVERLAPPING:
+        raise FacetryError(f"more than {MOST_OVERLAPPING} search words that can overlap each other: {' '.join(words)}")
+
+
 def _apart(line: Column, words: list[str]) -> Column:
     """Whether a line holds all words of a group at places that do not overlap."""
     if len(set(words)) == 1:
         freed = F.length(line) - F.length(F.replace(line, F.lit(words[0]), F.lit("")))
         return freed >= len(words) * len(words[0])
+    check_group(words)
 
     def last_word(word: str, free_from: Column) -> Column:
         at = F.call_function("locate", F.lit(word), line, free_from)
@@ -82,6 +94,14 @@ def text_has_words(text: str, query: str) -> bool:
 
 
 def _line_has_words(line: str, words: list[str]) -> bool:
+    """Each group of words that can overlap is placed by itself, as in ``has_words``."""
+    return all(w in line for w in words) and all(_line_holds(line, group) for group in overlapping_groups(words))
+
+
+def _line_holds(line: str, words: list[str]) -> bool:
+    if len(set(words)) == 1:
+        return line.count(words[0]) >= len(words)
+    check_group(words)
     ends: list[int | None] = [0]
     for members in range(1, 2 ** len(words)):
         options = []

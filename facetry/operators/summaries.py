@@ -110,4 +110,8 @@ def pivot_counts(
     label = column(columns)
     counts = [F.count_if(label == F.lit(v)).alias(str(v)) for v in values]
     counts += [F.count_if(label.isNull()).alias("missing")] if missing else []
+    names = [n.lower() for n in [rows, *map(str, values), *(["missing"] if missing else [])]]
+    doubled = sorted({n for n in names if names.count(n) > 1})
+    if doubled:
+        raise FacetryError(f"two columns of the table would be called {', '.join(map(repr, doubled))}")
     return df.groupBy(column(rows)).agg(*counts)

@@ -17,12 +17,17 @@ from facetry.sources.mapping import read_mapping
 
 ALLOWED_TYPE = "map<string, array<string>>"
 GLOSSARY_TYPE = "map<string, struct<name: string, description: string, type: string, unit: string>>"
+BETWEEN_OBJECTS = r"(?<=\})[ \t\r]*\n\s*(?=\{)"
 
 
 def _read_object(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    # An object begins with the brace that opens a line; those inside of it follow their keys.
-    text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
-    return text.select(F.explode(F.from_json("value", kind)).alias("key", "item"))
+    # Objects that follow each other have nothing but a line break between their braces; inside an object a comma or a
+    # colon stands there, and a text holds no line break.
+    texts = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", BETWEEN_OBJECTS)).alias("value"))
+    item = F.from_json("value", kind)
+    wrong = F.raise_error(F.concat(F.lit("no JSON object of the expected kind: "), F.substring("value", 1, 80)))
+    found = texts.where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").select(F.coalesce(item, wrong.cast(kind)).alias("m"))
+    return found.select(F.explode("m").alias("key", "item"))
 
 
 def _write_object(pairs: DataFrame, path: str) -> None:

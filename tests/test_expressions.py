@@ -1,6 +1,7 @@
 import math
 import operator
 import random
+from decimal import Decimal
 
 from random import Random
 
@@ -337,3 +338,43 @@ def test_quoted_names(spark):
 def test_identifier_columns_exist(stars):
     assert TARGET_ID in stars.columns
     assert issubclass(ExpressionError, FacetryError)
+
+
+@pytest.mark.parametrize(
+    ("text", "ids"),
+    [
+        ("a < 1e30", {1, 2}),
+        ("a > 1e30", set()),
+        ("a > -100000000000000000000", {1, 2}),
+        ("a < 9223372036854775808", {1, 2}),
+        ("a == 9223372036854775807", {2}),
+        ("a < 1e400", {1, 2}),
+        ("-1e400 < a <= 1e19", {1, 2}),
+        ("x < 1e400", {1, 2}),
+        ("c < 1e19", {1, 2}),
+        ("c > -1e400", {1, 2}),
+        ("c < 1e-400", {1}),
+    ],
+)
+def test_numbers_past_the_range_of_a_column(spark, text, ids):
+    rows = [(1, 5, 1.5, Decimal("-1.25")), (2, 2**63 - 1, 2.5, Decimal("7.00")), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, a bigint, x double, c decimal(10,2)")
+    assert {r["id"] for r in df.where(condition(df, text)).collect()} == ids
+    assert {r["id"] for r in df.where(condition(df, text, invert=True)).collect()} == {1, 2} - ids
+
+
+def test_many_words_in_a_list_of_names():
+    words = [f"w{chr(97 + i)}x" for i in range(30)]
+    name = " ".join(reversed(words))
+    assert matching_names([name, name[3:]], " ".join(words)) == [name]
+    assert matching_names(["aa a", "aaa"], "a aa") == ["aa a", "aaa"]
+    assert matching_names(["ab ab", "ab"], "ab ab") == ["ab ab"]
+
+
+def test_too_many_overlapping_words_are_refused(spark):
+    words = " ".join("a" * n for n in range(1, 15))
+    df = spark.createDataFrame([("a",)], "t string")
+    with pytest.raises(FacetryError):
+        df.where(has_words(F.col("t"), words))
+    with pytest.raises(FacetryError):
+        matching_names(["a" * 200], words)

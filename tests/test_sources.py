@@ -9,6 +9,7 @@ import pytest
 
 from facetry.errors import CatalogError, EmptySubsetError, FacetryError
 from facetry.functions.expressions import condition
+from facetry.operators.binning import histogram
 from facetry.plans.subset import SubsetSpec
 from facetry.profile import TARGET_FLAGS_COLUMN
 from facetry.sources.catalog import (
@@ -33,7 +34,9 @@ from facetry.sources.metadata import (
     write_allowed_columns,
     write_glossary,
 )
+from facetry.sources.sketches import build_sketches, distinct_from_sketches
 from facetry.streaming.counts import count_arrivals
+from facetry.streaming.histograms import stream_histogram
 from facetry.workspace import CHECKPOINT_DIR, new_folder, shared_root
 from pyspark.sql import functions as F
 
@@ -321,3 +324,77 @@ def test_catalog_without_allowed_list(stars):
     assert Catalog(stars).allowed_columns("aspcap") == stars.columns
     with pytest.raises(FacetryError):
         SubsetSpec(dataset="aspcap", flags=("unknown",)).compile(Catalog(stars))
+
+
+GLOSSARY = """{
+  "teff":
+  {
+    "name": "teff", "description": "a } {b} of
+ braces", "type": "float", "unit": "K"
+  },
+  "logg": {"name": "logg", "description": "d", "type": "float", "unit": null}
+}
+"""
+
+
+@pytest.mark.parametrize("layout", ["braces on lines", "one line", "lines", "objects that follow each other"])
+def test_json_objects_of_any_layout(spark, tmp_path, layout):
+    entries = [("teff", "a } {b} of braces"), ("logg", "d")]
+    objects = [json.dumps({n: {"name": n, "description": d, "type": "float", "unit": "K"}}) for n, d in entries]
+    text = {
+        "braces on lines": GLOSSARY.replace("of\n braces", "of braces"),
+        "one line": objects[0][:-1] + ", " + objects[1][1:],
+        "lines": "\n".join(objects) + "\n\n",
+        "objects that follow each other": "\n  \n".join(json.dumps(json.loads(o), indent=2) for o in objects),
+    }[layout]
+    path = tmp_path / "glossary.json"
+    path.write_text(text)
+    assert {(r["name"], r["description"]) for r in read_glossary(spark, str(path)).collect()} == set(entries)
+
+
+@pytest.mark.parametrize("text", ["{", "[1]", '{"a": {"name": "x"}', '{"a": 1} x', "nothing"])
+def test_what_is_no_object_is_an_error(spark, tmp_path, text):
+    path = tmp_path / "glossary.json"
+    path.write_text(text)
+    with pytest.raises(Exception, match="JSON|json|cast|schema|Malformed"):
+        read_glossary(spark, str(path)).collect()
+
+
+def test_sketches_of_slices_merge(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") < 15_000, "hot").otherwise("cold").alias("p"),
+        (F.col("id") % 4_000).alias("a"),
+        F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise((F.col("id") % 70).cast("double")).alias("b"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    sketches = build_sketches(rows, "p")
+    assert {(r["dataset"], r["column"], r["n_rows"]) for r in sketches.collect()} == {
+        (p, c, n) for p, n in (("hot", 15_000), ("cold", 5_000)) for c in ("a", "b", "none")
+    }
+    for name, datasets, exact, values in (
+        ("a", None, 4000, 20_000), ("b", None, 35, 10_000), ("b", ["cold"], 35, 2500), ("none", ["hot", "cold"], 0, 0)
+    ):
+        found = distinct_from_sketches(sketches, name, datasets).first()
+        assert abs(found["n_distinct"] - exact) <= 0.03 * exact and found["n_values"] == values
+    with pytest.raises(Exception, match="no sketch"):
+        distinct_from_sketches(sketches, "unknown").collect()
+
+
+def test_a_stream_histogram_keeps_its_counts(spark, tmp_path):
+    """New files change the counts, rows that come again do not, and a second call goes on with the state."""
+    table, folder = str(tmp_path / "table"), str(tmp_path / "state")
+    schema = "key bigint, ts timestamp, v double"
+    expected = {}
+    for part in range(3):
+        rows = [(part * 100 + i, datetime(2024, 1, 1 + part, i % 24), float(i)) for i in range(50)]
+        again = [(k, t, v) for k, t, v in rows[:20]]
+        odd = [(900 + part, datetime(2024, 1, 1 + part), x) for x in (float("nan"), None, -5.0, 1e9)][part : part + 1]
+        spark.createDataFrame(rows + again + odd, schema).write.mode("append").parquet(table)
+        stream = spark.readStream.schema(schema).parquet(table)
+        got = stream_histogram(stream, "v", (0, 49), "ts", ["key"], bins=7, delay="30 days", folder=folder)
+        for _, _, v in rows:
+            b = min(int(v / 49 * 7), 6)
+            expected[b] = expected.get(b, 0) + 1
+        assert {r["x_bin"]: r["n"] for r in got.collect()} == expected
+    batch = histogram(spark.createDataFrame([(float(i),) for i in range(50)], "v double"), "v", 7, (0, 49))
+    assert {(r["x_bin"], r["x"]) for r in got.collect()} == {(r["x_bin"], r["x"]) for r in batch.collect()}

@@ -552,3 +552,10 @@ def test_describe_over_subset_with_view(catalog):
     found = run_request(catalog, SubsetSpec(dataset="spall"), ViewSpec("stats", columns=("snr",)))
     assert found.first()["count"] == 5
     assert run_request(catalog, SubsetSpec(dataset="spall"), ViewSpec("heatmap", statistic="count", bins=2)).count() > 0
+
+
+@pytest.mark.parametrize("rows", [[("x", "missing"), ("y", None)], [("x", "r"), ("x", "s")], [("x", "A"), ("x", "a")]])
+def test_a_pivot_never_has_two_columns_of_one_name(spark, rows):
+    df = spark.createDataFrame(rows, "r string, c string")
+    with pytest.raises(FacetryError):
+        pivot_counts(df, "r", "c", missing=True)

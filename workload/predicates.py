@@ -53,6 +53,12 @@ for name, text, where, invert in (
         "(l_quantity < 5 OR l_quantity > 45) AND l_discount <= 0.05",
         False,
     ),
+    (
+        "expr_out_of_range",
+        "l_orderkey < 1e30 & l_partkey > -100000000000000000000 & (l_suppkey < 1e400 | l_linenumber > 1e19)",
+        "true",
+        False,
+    ),
     ("expr_string", "l_linestatus == 'F'", "l_linestatus = 'F'", False),
     ("expr_invert", "l_quantity >= 25", "NOT (l_quantity >= 25)", True),
 ):

@@ -1,9 +1,11 @@
 """Sources and the ingest jobs around them."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from facetry.operators.tables import seeded_shuffle
-from facetry.sources.catalog import build_allowed_columns, keep, stack, write_catalog
+from facetry.sources.catalog import build_allowed_columns, keep, materialise, stack, write_catalog
 from facetry.sources.metadata import (
     build_glossary,
     read_allowed_columns,
@@ -11,6 +13,7 @@ from facetry.sources.metadata import (
     write_allowed_columns,
     write_glossary,
 )
+from facetry.sources.sketches import build_sketches, distinct_from_sketches
 from facetry.workspace import new_folder
 from workload.inputs import KEY_SQL, LINEITEM_KEY, MAPPING_SQL, lineitem, lineitem_catalog, mapping, table
 from workload.registry import query
@@ -146,6 +149,43 @@ def slice_persist(spark, sf):
     return kept.groupBy("l_linestatus").agg(F.count("*").alias("n")).join(bulk, "l_linestatus")
 
 
+@query(
+    "slice_materialise",
+    sql="""
+SELECT l_linestatus, count(*) FILTER (WHERE l_quantity >= 25) AS bulk, count(*) AS n
+FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1
+""",
+)
+def slice_materialise(spark, sf):
+    """A slice that is written once and read for two counts."""
+    kept = materialise(lineitem_catalog(spark, sf).slice("N").select("l_linestatus", "l_quantity"))
+    bulk = kept.where("l_quantity >= 25").groupBy("l_linestatus").agg(F.count("*").alias("bulk"))
+    return kept.groupBy("l_linestatus").agg(F.count("*").alias("n")).join(bulk, "l_linestatus")
+
+
+@query(
+    "nunique_sketch",
+    sql="""
+SELECT name AS column, true AS within_5_percent
+FROM (VALUES ('l_partkey'), ('l_quantity'), ('l_shipdate'), ('l_linestatus')) AS t(name)
+""",
+)
+def nunique_sketch(spark, sf):
+    """Distinct values of two pipelines from the sketches of their slices, against exact counts."""
+    lines, names = lineitem(spark, sf), ["l_partkey", "l_quantity", "l_shipdate", "l_linestatus"]
+    sketches = materialise(build_sketches(lines, "l_returnflag", names))
+    exact = lines.where("l_returnflag IN ('A', 'N')").agg(*[F.count_distinct(n).alias(n) for n in names])
+    exact = exact.agg(F.first(F.struct(*names))).scalar()
+    about = [
+        distinct_from_sketches(sketches, n, ["A", "N"]).select(
+            F.lit(n).alias("column"),
+            (F.abs(F.col("n_distinct") - exact[n]) <= 0.05 * exact[n]).alias("within_5_percent"),
+        )
+        for n in names
+    ]
+    return reduce(lambda a, b: a.unionAll(b), about)
+
+
 @query("seeded_shuffle", sql="SELECT o_orderkey, o_totalprice, md5('42:' || o_orderkey) AS shuffle_key FROM orders")
 def shuffled_orders(spark, sf):
     return seeded_shuffle(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])

@@ -1,13 +1,17 @@
 """Selections, statistics, binned views, tables and whole requests."""
 
-from functools import reduce
+from dataclasses import replace
+from functools import lru_cache, reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from facetry.functions.expressions import condition
 from facetry.operators import ranges
-from facetry.operators.binning import heatmap, histogram, histogram_centers, histogram_edges, limits_of
+from facetry.operators.binning import axes, heatmap, histogram, histogram_centers, histogram_edges, limits_of
 from facetry.operators.compare import compare_subsets
+from facetry.operators.crossfilter import CrossFilter
+from facetry.operators.dashboard import BinnedView, all_views
 from facetry.operators.selections import (
     select_bars,
     select_categories,
@@ -29,6 +33,8 @@ from facetry.operators.tables import page, scatter_points
 from facetry.plans.request import run_request
 from facetry.plans.subset import SubsetSpec
 from facetry.plans.view import ViewSpec
+from facetry.sources.layouts import write_clustered, write_sampled
+from facetry.workspace import new_folder
 from workload.inputs import KEY_SQL, LINEITEM_KEY, MISSING_SQL, lineitem, lineitem_catalog, table, with_missing
 from workload.registry import query
 
@@ -159,6 +165,16 @@ def visible_lines(spark, sf):
     return df.where(viewport(df, QTY, (10, 20), PX, (0, 50000))).select(*LINEITEM_KEY)
 
 
+@query(
+    "viewport_clustered",
+    sql=f"SELECT {KEY_SQL} FROM lineitem WHERE {QTY} > 10 AND {QTY} < 15 AND {PX} > 20000 AND {PX} < 30000",
+)
+def visible_clustered_lines(spark, sf):
+    """A small box of a catalogue in which rows near in quantity and price lie together."""
+    df = clustered_lines(spark, sf)
+    return df.where(viewport(df, QTY, (10, 15), PX, (20000, 30000))).select(*LINEITEM_KEY)
+
+
 @query(
     "log_positive",
     sql="SELECT min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer WHERE c_acctbal > 0",
@@ -199,9 +215,12 @@ def brands(spark, sf):
     return distinct_count(table(spark, sf, "part"), "p_brand")
 
 
-@query("nunique_approx")
+@query("nunique_approx", sql="SELECT true AS within_5_percent")
 def brands_about(spark, sf):
-    return distinct_count(table(spark, sf, "part"), "p_brand", approximate=True)
+    parts = table(spark, sf, "part")
+    exact = distinct_count(parts, "p_brand").scalar()
+    about = distinct_count(parts, "p_brand", approximate=True)
+    return about.select((F.abs(F.col("n_distinct") - exact) <= 0.05 * exact).alias("within_5_percent"))
 
 
 @query("unique_values", sql="SELECT DISTINCT o_orderpriority FROM orders")
@@ -214,9 +233,17 @@ def first_brands(spark, sf):
     return unique_values(table(spark, sf, "part"), "p_brand", 10)
 
 
-@query("value_counts", sql="SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1")
+@query(
+    "value_counts",
+    sql="""
+SELECT value, n, (row_number() OVER (ORDER BY n DESC, value))::int AS place
+FROM (SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1)
+""",
+)
 def segments(spark, sf):
-    return value_counts(table(spark, sf, "customer"), "c_mktsegment")
+    """The counts with their place in the order in which they come."""
+    counts = value_counts(table(spark, sf, "customer"), "c_mktsegment")
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
 
 
 def describe_sql(name, source, value=None, dtype="double"):
@@ -392,7 +419,27 @@ for name, statistic, aggregate, digits in (
 ):
     query(name, heatmap_sql(aggregate))(price_map(statistic, digits))
 
-query("heatmap_median_approx")(price_map("median", 6, approximate=True))
+
+
+@query(
+    "heatmap_median_approx",
+    sql=f"""
+SELECT {bin_sql(QTY, 'a', 10)} AS x_bin, {bin_sql(PX, 'b', 10)} AS y_bin, true AS within_1_percent
+FROM lineitem, {ends_sql(QTY)} AS a, {ends_sql(PX)} AS b GROUP BY 1, 2
+""",
+)
+def heatmap_median_approx(spark, sf):
+    """Whether the rank of each approximate median is within one percent of the middle."""
+    df = lineitem(spark, sf)
+    cells = heatmap(df, QTY, PX, DISC, "median", bins=10, approximate=True).select("x_bin", "y_bin", "value")
+    rows = axes(df, {"x": QTY, "y": PX}, 10).place(df, F.col(DISC).alias("v")).join(cells, ["x_bin", "y_bin"])
+    ranks = rows.groupBy("x_bin", "y_bin").agg(
+        (F.count_if(F.col("v") < F.col("value")) / F.count("*")).alias("below"),
+        (F.count_if(F.col("v") <= F.col("value")) / F.count("*")).alias("upto"),
+    )
+    return ranks.select("x_bin", "y_bin", ((F.col("below") <= 0.51) & (F.col("upto") >= 0.49)).alias("within_1_percent"))
+
+
 query("heatmap_log", heatmap_sql("round(log10(count(*)), 6)"))(price_map("count", 6, log=True))
 
 
@@ -574,18 +621,42 @@ def targets_page(spark, sf):
     return shown.withColumn("row", F.col("row").cast("bigint"))
 
 
-@query(
-    "scatter_sample",
-    sql=f"""
+SAMPLE_SQL = f"""
 SELECT {QTY} AS x, {PX} AS y, {DISC} AS color, l_orderkey, l_partkey, l_suppkey, l_linenumber
 FROM lineitem WHERE l_returnflag = 'N'
 ORDER BY md5('42:' || l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber || ':'
              || round({PX} * 100)::bigint) LIMIT 10000
-""",
-)
+"""
+
+
+@query("scatter_sample", sql=SAMPLE_SQL)
 def scatter_sample(spark, sf):
-    cents = F.round(F.col(PX) * 100).cast("bigint")
-    return scatter_points(lineitem_catalog(spark, sf).slice("N"), QTY, PX, DISC, [*LINEITEM_KEY[:4], cents])
+    return scatter_points(lineitem_catalog(spark, sf).slice("N"), QTY, PX, DISC, sample_key())
+
+
+@query("scatter_sample_layout", sql=SAMPLE_SQL)
+def scatter_sample_layout(spark, sf):
+    """The same points from the catalogue stored in the order of its shuffle."""
+    rows = sampled_lines(spark, sf).where("l_returnflag = 'N'")
+    return scatter_points(rows, QTY, PX, DISC, sample_key())
+
+
+def sample_key():
+    return [*LINEITEM_KEY[:4], F.round(F.col(PX) * 100).cast("bigint")]
+
+
+@lru_cache(maxsize=None)
+def sampled_lines(spark, sf):
+    path = new_folder(spark, "sampled")
+    write_sampled(lineitem(spark, sf), path, "l_returnflag", sample_key())
+    return spark.read.parquet(path)
+
+
+@lru_cache(maxsize=None)
+def clustered_lines(spark, sf):
+    path = new_folder(spark, "clustered")
+    write_clustered(lineitem(spark, sf), path, "l_returnflag", [QTY, PX])
+    return spark.read.parquet(path)
 
 
 # Whole requests ---------------------------------------------------------------------------------
@@ -614,20 +685,83 @@ VIEWS = (
 )
 
 
+LONG_ROWS = {
+    "histogram": ("x_bin", "NULL", "n"),
+    "heatmap": ("x_bin", "y_bin", "round(value, 6)"),
+    "scatter": ("x", "y", "color"),
+    "stats": ("round(min, 6)", "round(max, 6)", "round(mean, 6)"),
+    "targets": ("row", "l_orderkey", "l_linenumber"),
+}
+
+
 @query(
     "view_dispatch",
     sql=f"""
-SELECT 'histogram' AS view, 20::bigint AS n_rows
-UNION ALL SELECT 'heatmap', count(*) FROM ({heatmap_sql('count(*)', FLAGSHIP_ROWS)})
-UNION ALL SELECT 'scatter', least(count(*), 10000) FROM {FLAGSHIP_ROWS}
-UNION ALL SELECT 'stats', 3
-UNION ALL SELECT 'targets', least(greatest(count(*) - 10, 0), 10) FROM {FLAGSHIP_ROWS}
+WITH rows_ AS {FLAGSHIP_ROWS}, e AS {ends_sql(PX, FLAGSHIP_ROWS)},
+counts AS (SELECT {bin_sql(PX, 'e', 20)} AS bin, count(*) AS n FROM rows_, e GROUP BY 1),
+cells AS ({heatmap_sql('round(avg(l_discount), 6)', FLAGSHIP_ROWS)}),
+points AS (
+  SELECT * FROM rows_
+  ORDER BY md5('42:' || l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber) LIMIT 10000),
+listed AS (SELECT (row_number() OVER (ORDER BY {', '.join(LINEITEM_KEY[:4])}) - 1) AS row, * FROM rows_)
+SELECT 'histogram' AS view, i::double AS a, NULL::double AS b, coalesce(n, 0)::double AS value
+FROM range(20) AS g(i) LEFT JOIN counts ON bin = i
+UNION ALL SELECT 'heatmap', x_bin, y_bin, value FROM cells
+UNION ALL SELECT 'scatter', {QTY}, {PX}, {DISC} FROM points
+UNION ALL SELECT 'stats', min({QTY}), max({QTY}), round(avg({QTY}), 6) FROM rows_
+UNION ALL SELECT 'stats', min({PX}), max({PX}), round(avg({PX}), 6) FROM rows_
+UNION ALL SELECT 'stats', min({DISC}), max({DISC}), round(avg({DISC}), 6) FROM rows_
+UNION ALL SELECT 'targets', row, l_orderkey, l_linenumber FROM listed WHERE row BETWEEN 10 AND 19
 """,
 )
 def view_dispatch(spark, sf):
+    """The rows of every kind of view, as (view, a, b, value)."""
     catalog = lineitem_catalog(spark, sf)
-    sizes = [
-        run_request(catalog, FLAGSHIP_SUBSET, view).agg(F.lit(view.kind).alias("view"), F.count("*").alias("n_rows"))
-        for view in VIEWS
-    ]
-    return reduce(lambda a, b: a.unionAll(b), sizes)
+    catalog = replace(catalog, profile=replace(catalog.profile, row_key=LINEITEM_KEY[:4]))
+    shown = []
+    for view in VIEWS:
+        a, b, value = (F.expr(text).cast("double") for text in LONG_ROWS[view.kind])
+        rows = run_request(catalog, FLAGSHIP_SUBSET, view)
+        shown.append(rows.select(F.lit(view.kind).alias("view"), a.alias("a"), b.alias("b"), value.alias("value")))
+    return reduce(lambda a, b: a.unionAll(b), shown)
+
+
+# Dashboards -------------------------------------------------------------------------------------
+
+DASHBOARD = {
+    "price": BinnedView(PX, limits={PX: (0, 105000)}),
+    "quantity": BinnedView(QTY, value=DISC, statistic="mean", bins=10, limits={QTY: (0, 50)}),
+    "map": BinnedView(QTY, PX, "l_tax", "max", 10, limits={QTY: (0, 50), PX: (0, 105000)}),
+    "status": BinnedView("l_linestatus"),
+}
+SELECTED = {"price": "l_extendedprice < 40000", "quantity": "l_quantity >= 10", "status": "l_linestatus == 'O'"}
+
+
+def fixed_bin_sql(value, high, bins):
+    return f"least(floor({value} / {high} * {bins}), {bins - 1})::int"
+
+
+def others_sql(view):
+    return " AND ".join(f"({text.replace('==', '=')})" for key, text in SELECTED.items() if key != view)
+
+
+@query(
+    "crossfilter_all_views",
+    sql=f"""
+SELECT 'price' AS view, {fixed_bin_sql(PX, '105000.0', 20)} AS x_bin, NULL::int AS y_bin, NULL::varchar AS x_label,
+  count(*)::double AS value FROM lineitem WHERE {others_sql('price')} GROUP BY 2
+UNION ALL SELECT 'quantity', {fixed_bin_sql(QTY, '50.0', 10)}, NULL, NULL, round(avg({DISC}), 6)
+FROM lineitem WHERE {others_sql('quantity')} GROUP BY 2
+UNION ALL SELECT 'map', {fixed_bin_sql(QTY, '50.0', 10)} AS x_bin, {fixed_bin_sql(PX, '105000.0', 10)} AS y_bin, NULL, max(l_tax)
+FROM lineitem WHERE {others_sql('map')} GROUP BY 2, 3
+UNION ALL SELECT 'status', CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END, NULL, l_linestatus, count(*)
+FROM lineitem WHERE {others_sql('status')} GROUP BY l_linestatus
+""",
+)
+def crossfilter_all_views(spark, sf):
+    df = lineitem(spark, sf)
+    selections = CrossFilter()
+    for key, text in SELECTED.items():
+        selections.set(key, condition(df, text))
+    bins = all_views(df, selections, DASHBOARD)
+    return bins.select("view", "x_bin", "y_bin", "x_label", F.round("value", 6).alias("value"))
