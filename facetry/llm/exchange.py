@@ -138,16 +138,29 @@ def split_parts(body: bytes, n: int) -> list[bytes]:
 
 def pack_ids(ids: np.ndarray) -> bytes:
     """Sorted ids as their distances, in as few bytes as the largest needs."""
-    steps = np.diff(ids, prepend=ids[:1])
+    steps = np.diff(ids, prepend=ids[:1]).astype(np.uint64)
     first = ids[:1].astype(np.int64).tobytes()
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if int(steps.max(initial=0)) <= np.iinfo(k).max)
-    return first + bytes([np.dtype(kind).itemsize]) + steps.astype(kind).tobytes()
+    size = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return first + bytes([size]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
 def unpack_ids(body: bytes) -> np.ndarray:
-    first = np.frombuffer(body, np.int64, 1)
-    steps = np.frombuffer(body, f"u{body[8]}", offset=9)
-    return first + np.cumsum(steps.astype(np.int64))
+    first, size = np.frombuffer(body, np.int64, 1), body[8]
+    steps = np.zeros(((len(body) - 9) // size, 8), np.uint8)
+    steps[:, :size] = np.frombuffer(body, np.uint8, offset=9).reshape(-1, size)
+    return first + np.cumsum(steps.reshape(-1).view("<u8").astype(np.int64))
+
+
+def pack_owners(ids: np.ndarray, ranks: np.ndarray) -> bytes:
+    """The id of each of several numbers, ``ids[ranks]``; ``ids`` are sorted. Only ids that occur are sent."""
+    used, place = np.unique(ranks, return_inverse=True)
+    kind = np.uint8 if len(used) <= 256 else np.uint16 if len(used) <= 65536 else np.uint32
+    return join_parts(pack_ids(ids[used]), place.astype(kind).tobytes())
+
+
+def unpack_owners(body: bytes, n: int) -> np.ndarray:
+    names, place = split_parts(body, 2)
+    return unpack_ids(names)[np.frombuffer(place, f"u{len(place) // n}")] if n else np.zeros(0, np.int64)
 
 
 def flags_to_bytes(flags: np.ndarray) -> bytes:

@@ -49,21 +49,17 @@ class _Windows:
 
 def _emit(table: pa.Table, width: int, bits: int):
     w = _Windows(table, width)
-    kind = np.uint16 if len(w.earliest) <= 65536 else np.uint32
-    names = exchange.pack_ids(w.earliest)
     for bucket, a, b, body in exchange.pack_sorted(w.known, bits, _LOW):
-        ranks = w.first[a:b].astype(kind).tobytes()
-        yield bucket, exchange.join_parts(body, ranks, names)
+        yield bucket, exchange.join_parts(body, exchange.pack_owners(w.earliest, w.first[a:b]))
 
 
 def _reply(bodies: list[bytes], bits: int) -> list[bytes]:
     hashes, ids, sizes = [], [], []
     for body in bodies:
-        packed, ranks, names = exchange.split_parts(body, 3)
+        packed, owners = exchange.split_parts(body, 2)
         known = exchange.unpack_sorted(packed, bits, _LOW)
-        ranks = np.frombuffer(ranks, np.uint16 if len(ranks) == 2 * len(known) else np.uint32)
         hashes.append(known)
-        ids.append(exchange.unpack_ids(names)[ranks])
+        ids.append(exchange.unpack_owners(owners, len(known)))
         sizes.append(len(known))
     hashes, ids = np.concatenate(hashes), np.concatenate(ids)
     order = np.argsort(hashes)

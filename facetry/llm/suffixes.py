@@ -121,25 +121,22 @@ class _Contexts:
 
 def _emit(table: pa.Table, window: int, bits: int):
     c = _Contexts(table, window)
-    names = exchange.pack_ids(c.earliest)
-    kind = np.uint16 if len(c.earliest) <= 65536 else np.uint32
     keys = c.key[c.top].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_CONTEXT]
     for bucket, a, b, body in c.buckets(bits):
-        ranks = c.rank[c.top[a:b]].astype(kind).tobytes()
-        yield bucket, exchange.join_parts(body, keys[a:b].tobytes(), ranks, names)
+        owners = exchange.pack_owners(c.earliest, c.rank[c.top[a:b]])
+        yield bucket, exchange.join_parts(body, keys[a:b].tobytes(), owners)
 
 
 def _reply(bodies: list[bytes], bits: int) -> list[bytes]:
     anchors, keys, ids, sizes = [], [], [], []
     for body in bodies:
-        packed, key, ranks, names = exchange.split_parts(body, 4)
+        packed, key, owners = exchange.split_parts(body, 3)
         anchor = exchange.unpack_sorted(packed, bits, _LOW_ANCHOR)
         wide = np.zeros((len(anchor), 8), np.uint8)
         wide[:, :_CONTEXT] = np.frombuffer(key, np.uint8).reshape(-1, _CONTEXT)
-        ranks = np.frombuffer(ranks, np.uint16 if len(ranks) == 2 * len(anchor) else np.uint32)
         anchors.append(anchor)
         keys.append(wide.reshape(-1).view("<u8"))
-        ids.append(exchange.unpack_ids(names)[ranks])
+        ids.append(exchange.unpack_owners(owners, len(anchor)))
         sizes.append(len(anchor))
     anchor, key, doc = map(np.concatenate, (anchors, keys, ids))
     order = np.lexsort((key, anchor))

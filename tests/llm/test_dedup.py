@@ -4,7 +4,7 @@ import pyarrow.compute
 import pytest
 
 from facetry.errors import FacetryError
-from facetry.llm import exchange, suffixes
+from facetry.llm import exchange, substrings, suffixes
 from facetry.llm.components import connected_components
 from facetry.llm.neardups import near_duplicates
 from facetry.llm.spherical import Code, near_vectors
@@ -130,6 +130,27 @@ def test_packed_numbers_and_ids():
         assert (exchange.unpack_ids(exchange.pack_ids(ids)) == ids).all() if len(ids) else True
 
 
+def test_owners_of_numbers():
+    r = np.random.default_rng(5)
+    for n, most in ((0, 5), (1, 5), (300, 2**50), (70_000, 2**63 - 1)):
+        ids = np.unique(r.integers(-most, most, max(n, 1)))
+        ranks = r.integers(0, len(ids), n)
+        body = exchange.pack_owners(ids, ranks)
+        assert (exchange.unpack_owners(body, n) == ids[ranks]).all()
+
+
+@pytest.mark.parametrize("module", [substrings, suffixes])
+def test_what_a_chunk_sends_hardly_grows_with_the_corpus(module):
+    """Messages name only the documents their hashes are from, however many buckets a chunk is dealt over."""
+    texts = [prose(seed, 560) for seed in range(1200)]
+    sent = []
+    for n_ids, bits in ((256_410, 8), (15_000_000, 14)):
+        ids = np.sort(np.random.default_rng(2).choice(n_ids, len(texts), replace=False))
+        table = pa.table({"doc_id": pa.chunked_array([pa.array(ids)]), "text": pa.chunked_array([pa.array(texts)])})
+        sent.append(sum(len(body) for _, body in module._emit(table, 50, bits)))
+    assert sent[1] <= 1.3 * sent[0]
+
+
 @pytest.mark.parametrize("operator", [remove_repeated_windows, remove_repeated_bytes, near_duplicates])
 def test_odd_ids_and_empty_tables(spark, operator):
     text = odd_texts()[0]
