@@ -22,10 +22,15 @@ from facetry.llm.suffixes import remove_repeated_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Bytes of text that a worker gets at once, and of a chunk of the repeats: stages follow each other in the same workers,
+#: whose memory is that of the largest.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * 2**20))
+CHUNK_BYTES = 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold. Empty texts score as the labelled sample does on average."""
+    spark.conf.set(*BATCH)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_rows(docs.select(*COLUMNS), labels).where(F.col("score") >= THRESHOLD).drop("score")
 
@@ -38,7 +43,8 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that earlier ones have; those that had text and lost all of it go."""
-    left = remove_repeated_bytes(docs.withColumn("given", F.col("text").isNotNull()), carry=("lang", "source", "n_chars", "given"))
+    marked = docs.withColumn("given", F.col("text").isNotNull())
+    left = remove_repeated_bytes(marked, chunk_bytes=CHUNK_BYTES, carry=("lang", "source", "n_chars", "given"))
     left = left.where("n_removed = 0 or octet_length(text) > 0").withColumn("text", F.when(F.col("given"), F.col("text")))
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed.cast("long")).select(*COLUMNS)
