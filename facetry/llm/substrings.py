@@ -26,7 +26,7 @@ WINDOW = 50
 _LOW = 6
 
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept string"
-DIGEST = "doc_id bigint, n_words bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+DIGEST = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_spans bigint"
 
 
 class _Windows:
@@ -112,7 +112,7 @@ def _finish(table: pa.Table, answers, width: int, bits: int, digest: bool) -> pa
     n_spans = started[first[1:]] - started[first[:-1]]
     if digest:
         shas = [hashlib.sha256(k).hexdigest() for k in kept]
-        return pa.table([*counts, pa.array(n_spans), pa.array(shas, pa.string())], names=_names(DIGEST))
+        return pa.table([*counts, pa.array(shas, pa.string()), pa.array(n_spans)], names=_names(DIGEST))
     from_ = np.flatnonzero(begins)
     ends = removed & ~np.concatenate([removed[1:], [False]])
     last = first[1:][np.diff(first) > 0] - 1
