@@ -47,7 +47,8 @@ class CatalogProfile:
     """Column roles and named conditions of one catalogue.
 
     ``flag_overrides`` maps a dataset to the flags that differ there: another condition, or ``None``
-    when the flag does not apply to the dataset and is skipped.
+    when the flag does not apply to the dataset and is skipped. ``ordered_identifiers`` are those in whose order the
+    catalogue is stored.
     """
 
     pipeline: str = PIPELINE_COLUMN
@@ -66,6 +67,7 @@ class CatalogProfile:
     identifiers: Mapping[str, str] = field(default_factory=lambda: dict(IDENTIFIER_COLUMNS))
     default_identifier: str = "gaia_dr3"
     refused_identifiers: frozenset[tuple[str, str]] = frozenset({("tic_v8", "spall")})
+    ordered_identifiers: frozenset[str] = frozenset()
     default_datasets: Mapping[str, str] = field(default_factory=lambda: dict(DEFAULT_DATASETS))
     dataset_aliases: Mapping[str, str] = field(default_factory=lambda: dict(DATASET_ALIASES))
     default_x: str = "ra"

@@ -1,6 +1,7 @@
 """Orders of a catalogue's rows that let the reader leave out most of the files.
 
 *Sampled*: rows lie in the order of the seeded shuffle, so its first rows are the first row groups of each pipeline.
+*Ordered*: each row group covers a short range of a column, such as an identifier that lists are looked up by.
 *Clustered*: rows that are near in several columns at once lie together, so a box in two of them is a few row groups.
 Both write one range of the order per task; a pipeline, a place or a value that holds most of the rows is spread over
 several by a hash of the row.
@@ -8,7 +9,7 @@ several by a hash of the row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,26 @@ def write_sampled(
     _write_in_order(marked, path, pipeline, [F.col(SHUFFLE)], files, row_group_bytes)
 
 
+def write_ordered(
+    df: DataFrame,
+    path: str,
+    pipeline: str,
+    columns: Sequence[str],
+    identifiers: Sequence[str] = (),
+    files: int | None = None,
+    row_group_bytes: int = ROW_GROUP_BYTES,
+) -> None:
+    """Write a catalogue in the order of some columns, with Bloom filters of its identifier columns.
+
+    Each row group covers a short range of the first column, and tells which values of an identifier it may hold: lists of
+    identifiers are looked up in few of them.
+    """
+    blooms = {f"parquet.bloom.filter.enabled#{name}": "true" for name in identifiers}
+    if blooms:
+        blooms["parquet.bloom.filter.adaptive.enabled"] = "true"
+    _write_in_order(df, path, pipeline, [column(c) for c in columns], files, row_group_bytes, blooms)
+
+
 def write_clustered(
     df: DataFrame,
     path: str,
@@ -99,7 +120,13 @@ def _interleaved(parts: list[Column]) -> Column:
 
 
 def _write_in_order(
-    df: DataFrame, path: str, pipeline: str, order: list[Column], files: int | None, row_group_bytes: int
+    df: DataFrame,
+    path: str,
+    pipeline: str,
+    order: list[Column],
+    files: int | None,
+    row_group_bytes: int,
+    options: Mapping[str, str] | None = None,
 ) -> None:
     hashed = [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     names = [f"_order{i}" for i in range(len(order))]
@@ -107,6 +134,6 @@ def _write_in_order(
     by = [column(pipeline), *map(F.col, names), F.col(SPREAD)]
     count = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = keyed.repartitionByRange(count, *by).sortWithinPartitions(*by).drop(*names, SPREAD)
-    writer = sorted_rows.write.partitionBy(pipeline).option("parquet.block.size", row_group_bytes)
+    writer = sorted_rows.write.partitionBy(pipeline).options(**(options or {})).option("parquet.block.size", row_group_bytes)
     # The reader skips pages inside a row group too.
     writer.option("parquet.page.size", max(row_group_bytes // 16, 4096)).parquet(path)

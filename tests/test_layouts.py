@@ -1,15 +1,22 @@
 """Rows found by address, and layouts that let the reader leave out most of a table."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from facetry.errors import FacetryError
 from facetry.functions.missing import column
+from facetry.functions.text import has_words
+from facetry.operators import textindex
 from facetry.operators.addresses import at_addresses, with_address
+from facetry.operators.crossmatch import crossmatch_condition, identifier_ranges
 from facetry.operators.selections import viewport
 from facetry.operators.tables import SHUFFLE, page, scatter_points, seeded_sample, seeded_shuffle
-from facetry.sources.layouts import cluster_parts, write_clustered, write_sampled
+from facetry.operators.textindex import build_text_index, open_text_index, triples_of
+from facetry.profile import CatalogProfile
+from facetry.sources.layouts import cluster_parts, write_clustered, write_ordered, write_sampled
 
 ROWS = 40_000
 
@@ -149,3 +156,84 @@ def test_parts_of_a_clustered_order(spark):
         write_clustered(df, "nowhere", "c", ["c"])
     with pytest.raises(FacetryError):
         cluster_parts(df.withColumn("t", F.lit("x")), ["t", "c"])
+
+
+def catalogue_lists(spark, ids):
+    return spark.createDataFrame([(str(i),) for i in ids], "value string")
+
+
+def test_a_long_list_reads_few_row_groups_of_an_ordered_table(spark, wide, tmp_path):
+    path = str(tmp_path / "ordered")
+    rows = wide.withColumn("t", F.format_string("n%07d", "id"))
+    write_ordered(rows, path, "pipeline", ["id"], ["id", "x"], files=4, row_group_bytes=8_000)
+    stored = spark.read.parquet(path)
+    profile = CatalogProfile(identifiers={"id": "id", "t": "t"}, ordered_identifiers=frozenset({"id", "t"}))
+    ids = [*range(100, 1_300), *range(30_000, 30_400), -5, 10**15]
+    for kind, values in (("id", ids), ("t", [f"n{i:07d}" for i in ids])):
+        test = crossmatch_condition(stored, catalogue_lists(spark, values), kind, "even", profile)
+        found = stored.where(test).select("id")
+        read = sum(n for names, _, n, _ in scans_of(found) if kind in names)
+        assert sorted(r["id"] for r in found.collect()) == sorted(i for i in ids if 0 <= i < ROWS)
+        assert read <= 0.2 * ROWS
+    nothing = crossmatch_condition(stored, catalogue_lists(spark, [" ", ""]), "id", "even", profile)
+    assert stored.where(nothing).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ranges_hold_the_list(spark, seed):
+    r = random.Random(seed)
+    ends = [-(2**63), 2**63 - 1] if seed % 2 else []
+    ids = sorted({r.randint(-(10 ** r.randint(1, 18)), 10 ** r.randint(1, 18)) for _ in range(300)} | set(ends))
+    listed = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    ranges = identifier_ranges(listed, listed.schema["id"].dataType)
+    assert len(ranges) <= 32 and all(a <= b for a, b in ranges)
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert all(any(low <= i <= high for low, high in ranges) for i in ids)
+
+
+def test_bloom_filters_tell_what_a_row_group_lacks(spark, wide, tmp_path):
+    """Values between those of a row group, which its range cannot rule out."""
+    path = str(tmp_path / "blooms")
+    rows = wide.withColumn("even", F.col("id") * 2)
+    write_ordered(rows, path, "pipeline", ["k"], ["even"], files=2, row_group_bytes=64_000)
+    stored = spark.read.parquet(path)
+    (_, _, read, _), = scans_of(stored.where(F.col("even").isin(10_001, 30_003, 50_005)).select("even", "k"))
+    assert read <= 0.2 * ROWS
+    (_, _, read, _), = scans_of(stored.where(F.col("even").isin(10_000)).select("even", "k"))
+    assert 0 < read < ROWS and stored.where("even = 10000").count() == 1
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeé ñ") for _ in range(r.randint(1, 9))) for _ in range(120)]
+    lines = ["\n".join(" ".join(r.choices(words, k=r.randint(0, 8))) for _ in range(r.randint(1, 4))) for _ in range(2_000)]
+    rows = [(i, t.upper() if i % 5 == 0 else t) for i, t in enumerate(lines)] + [(5_000, None), (5_001, ""), (5_002, "x" * 9_000)]
+    path = tmp_path_factory.mktemp("texts")
+    spark.createDataFrame(rows, "id int, t string").repartition(3).write.parquet(str(path / "table"))
+    table = spark.read.parquet(str(path / "table"))
+    build_text_index(table, "t", str(path / "index"))
+    return table, open_text_index(spark, str(path / "index"), "t"), words
+
+
+def test_an_indexed_search_finds_the_same_rows(texts):
+    table, index, words = texts
+    r = random.Random(9)
+    queries = ["", "a", "xxx", "zzzzz", "ABC", "xxxx xxxx"] + [" ".join(r.choices(words, k=r.randint(1, 3))) for _ in range(14)]
+    for query in queries:
+        expected = sorted(x["id"] for x in table.where(has_words(F.col("t"), query)).collect())
+        found = index.search(table.where("id >= 10"), query)
+        assert found.columns == ["id", "t"]
+        assert sorted(x["id"] for x in found.collect()) == [i for i in expected if i >= 10]
+
+
+def test_an_indexed_search_tests_few_rows(texts, monkeypatch):
+    table, index, words = texts
+    word = max(words, key=lambda w: (" " not in w, len(w)))
+    addresses, most = index.candidates(triples_of(word))
+    hits = table.where(has_words(F.col("t"), word)).count()
+    assert hits <= addresses.count() <= most < table.count() / 4
+    monkeypatch.setattr(textindex, "MOST_ADDRESSES", 0)  # longer lists are joined, not collected
+    assert index.search(table, word).count() == hits
+    with pytest.raises(FacetryError):
+        build_text_index(table.groupBy("t").count(), "t", "nowhere")

@@ -2,6 +2,9 @@
 
 from operator import or_
 
+from dataclasses import replace
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from facetry.functions.expressions import condition
@@ -10,8 +13,11 @@ from facetry.operators.crossmatch import crossmatch_condition
 from facetry.operators.quickflags import flag_condition
 from facetry.operators.search import first_hits, fuzzy_search, glossary_search, hit_counts, unknown_names
 from facetry.operators.targeting import target_condition
+from facetry.operators.textindex import build_text_index, open_text_index
 from facetry.plans.subset import SubsetSpec
 from facetry.sources.identifiers import classify_lines
+from facetry.sources.layouts import write_ordered
+from facetry.workspace import new_folder
 from workload.inputs import (
     CUSTOMER_LIST_SQL,
     CUSTOMER_PROFILE,
@@ -140,6 +146,21 @@ def crossmatch_int(spark, sf):
     return df.where(test).select(*LINEITEM_KEY)
 
 
+@query("crossmatch_ordered", sql=f"SELECT {KEY_SQL} FROM lineitem WHERE l_orderkey IN ({ORDER_LIST_SQL})")
+def crossmatch_ordered(spark, sf):
+    """The same list looked up in the catalogue stored in the order of its identifier."""
+    df = ordered_lines(spark, sf)
+    profile = replace(LINEITEM_PROFILE, ordered_identifiers=frozenset({"order"}))
+    return df.where(crossmatch_condition(df, order_list(spark, sf), "order", "A", profile)).select(*LINEITEM_KEY)
+
+
+@lru_cache(maxsize=None)
+def ordered_lines(spark, sf):
+    path = new_folder(spark, "ordered")
+    write_ordered(lineitem(spark, sf), path, "l_returnflag", ["l_orderkey"], ["l_orderkey", "l_partkey"])
+    return spark.read.parquet(path)
+
+
 @query("crossmatch_string", sql=f"SELECT c_custkey, c_name FROM customer WHERE c_name IN ({CUSTOMER_LIST_SQL})")
 def crossmatch_string(spark, sf):
     df = table(spark, sf, "customer")
@@ -263,6 +284,26 @@ def fuzzy_documents(spark, sf):
     return fuzzy_search(table(spark, sf, "documents"), "the ED ing", "text").select("doc_id")
 
 
+@query(
+    "fuzzy_search_indexed",
+    sql="""
+SELECT doc_id FROM documents
+WHERE regexp_matches(text, '(?i)((the).*(ing).*(ed))|((the).*(ed).*(ing))|((ing).*(the).*(ed))|((ing).*(ed).*(the))|((ed).*(the).*(ing))|((ed).*(ing).*(the))')
+""",
+)
+def indexed_documents(spark, sf):
+    """The same search by an index of letter triples."""
+    documents = table(spark, sf, "documents")
+    return text_index(spark, sf).search(documents, "the ing ed").select("doc_id")
+
+
+@lru_cache(maxsize=None)
+def text_index(spark, sf):
+    path = new_folder(spark, "index")
+    build_text_index(table(spark, sf, "documents"), "text", path)
+    return open_text_index(spark, path, "text")
+
+
 @query(
     "glossary_search",
     sql="""
