@@ -36,6 +36,8 @@ NEIGHBOURS = 25
 THRESHOLD = 0.3
 
 _BATCH_BYTES = 4_000_000
+#: Bytes whose terms are counted at a time; hashing takes some fifty times as many.
+_PART_BYTES = 1_000_000
 _BLOCK = 512
 
 _LOOK = np.arange(256, dtype=np.uint8)
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], _PART_BYTES):
                 part = batch.slice(a, b - a)
                 rows = [row.astype(np.float16).tobytes() for row in term_counts(part["text"])]
                 yield pa.record_batch([part["doc_id"], part["label"], pa.array(rows, pa.binary())], ["doc_id", "label", "x"])
@@ -175,7 +177,8 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.value.scores(term_counts(batch["text"].slice(a, b - a))) for a, b in slices(batch["text"])]
+            parts = slices(batch["text"], _PART_BYTES)
+            got = [model.value.scores(term_counts(batch["text"].slice(a, b - a))) for a, b in parts]
             column = pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
             yield batch.append_column("score", column)
 
