@@ -163,6 +163,19 @@ def unpack_owners(body: bytes, n: int) -> np.ndarray:
     return unpack_ids(names)[np.frombuffer(place, f"u{len(place) // n}")] if n else np.zeros(0, np.int64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes as most need: one for those up to 254, the others apart."""
+    small = np.where(counts < 255, counts, 255).astype(np.uint8)
+    return join_parts(small.tobytes(), counts[counts >= 255].astype(np.uint64).tobytes())
+
+
+def unpack_counts(body: bytes) -> np.ndarray:
+    small, large = split_parts(body, 2)
+    counts = np.frombuffer(small, np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(large, np.uint64).astype(np.int64)
+    return counts
+
+
 def flags_to_bytes(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 

@@ -21,15 +21,17 @@ text every token has the base score and the score less what the missing classes
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.llm import exchange
 from facetry.llm.components import stored
 from facetry.llm.quality import slices
 from facetry.llm.words import U64, cut
@@ -44,6 +46,9 @@ END, RARE = CLASSES, CLASSES + 1
 ALL = CLASSES + 2
 
 _PART_BYTES = 500_000
+#: Bytes of a hash that are sent besides its leading 16 bits.
+_LOW = 6
+MESSAGES = "bucket int, chunk bigint, body binary"
 ENCODED = "chunk bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, tokens binary, words binary"
 
 
@@ -56,7 +61,7 @@ def encode(docs: DataFrame) -> DataFrame:
     """One row per batch of texts: ids, fold, number of words, numbers of the words, and their sorted hashes."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for number, batch in enumerate(batches):
             for a, b in slices(batch["text"]):
                 part = batch.slice(a, b - a)
                 # Hashed a little at a time: what stays is one number per word.
@@ -66,9 +71,12 @@ def encode(docs: DataFrame) -> DataFrame:
                     hashes.append(words.hash)
                     sizes.append(np.diff(words.first))
                 known, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+                # The same batch of texts has the same name when a task runs again.
+                name = hashlib.blake2b(tokens.tobytes() + known.tobytes(), digest_size=8)
+                name.update(repr((TaskContext.get().partitionId(), number, a)).encode())
                 yield pa.record_batch(
                     [
-                        pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                        pa.array([int.from_bytes(name.digest(), "big") >> 1], pa.int64()),
                         pa.array([part["doc_id"].to_pylist()], pa.list_(pa.int64())),
                         pa.array([part["held"].to_pylist()], pa.list_(pa.bool_())),
                         pa.array([np.concatenate(sizes).tolist()], pa.list_(pa.int32())),
@@ -86,7 +94,7 @@ class _Chunk:
     """A row of the encoded table: per document a sequence of word numbers, with ``ends`` put in after each."""
 
     def __init__(self, row: dict):
-        self.words = np.frombuffer(row["words"], np.uint64)
+        self.words = np.frombuffer(row["words"], np.uint64) if "words" in row else range(row["n_words"])
         self.sizes = np.array(row["sizes"], np.int64)
         self.held = np.array(row["held"], bool)
         wide = len(self.words) >= 65536
@@ -115,14 +123,31 @@ def _pairs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_counts(encoded: DataFrame) -> DataFrame:
-    """word (its hash) and n, its count in training documents, of all words; 0 for words of other documents only."""
+    """word (its hash) and n, its count in training documents, of all words; 0 for words of other documents only.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c in _chunks(batches):
+    A chunk hands its words and counts to the buckets in packed values, one word in some eight bytes.
+    """
+    bits = exchange.bucket_bits(encoded.count())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, c in _chunks(batches):
             n = np.bincount(c.tokens[c.train], minlength=len(c.words) + 1)
-            yield pa.record_batch([pa.array(c.words.view(np.int64)), pa.array(n[:-1])], ["word", "n"])
+            sent = exchange.pack_sorted(c.words, bits, _LOW)
+            bodies = [exchange.join_parts(body, exchange.pack_counts(n[a:b])) for _, a, b, body in sent]
+            columns = [pa.array([b for b, *_ in sent], pa.int32()), pa.array([row["chunk"]] * len(sent), pa.int64())]
+            yield pa.record_batch([*columns, pa.array(bodies, pa.binary())], ["bucket", "chunk", "body"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [exchange.split_parts(body, 2) for body in table["body"].to_pylist()]
+        hashes = np.concatenate([exchange.unpack_sorted(p, bits, _LOW, key[0].as_py()) for p, _ in parts])
+        n = np.concatenate([exchange.unpack_counts(c) for _, c in parts])
+        known, place = np.unique(hashes, return_inverse=True)
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, place, n)
+        return pa.table([pa.array(known.view(np.int64)), pa.array(total)], ["word", "n"])
 
-    return encoded.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    sent = encoded.mapInArrow(send, MESSAGES)
+    return sent.groupBy("bucket").applyInArrow(add, "word bigint, n bigint")
 
 
 @dataclass
@@ -320,6 +345,53 @@ def _log_transitions(counts: np.ndarray) -> np.ndarray:
     return (counts + 20 * total / total.sum()) / (counts.sum(1, keepdims=True) + 20)
 
 
+def _known_words(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """For every chunk what is known of its words: bucket, chunk and body, in the order of the words.
+
+    A chunk hands the words whose hashes begin with a bucket's bits to the bucket in one value, and the bucket, which holds
+    that part of the vocabulary, sends back a count and a class for each. So a word costs some ten bytes, not a row.
+    """
+    bits = exchange.bucket_bits(encoded.count())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body in zip(batch["chunk"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                sent = exchange.pack_sorted(np.frombuffer(body, np.uint64), bits, _LOW)
+                yield pa.record_batch(
+                    [
+                        pa.array([b for b, *_ in sent], pa.int32()),
+                        pa.array([chunk] * len(sent), pa.int64()),
+                        pa.array([packed for *_, packed in sent], pa.binary()),
+                    ],
+                    [name.split()[0] for name in MESSAGES.split(", ")],
+                )
+
+    def serve(key: tuple, asked: pa.Table, words: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        hashes = words["word"].to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        hashes, n, of = hashes[order], words["n"].to_numpy()[order], words["class"].to_numpy()[order].astype(np.uint8)
+        bodies = []
+        for body in asked["body"].to_pylist():
+            at = np.searchsorted(hashes, exchange.unpack_sorted(body, bits, _LOW, bucket))
+            bodies.append(exchange.join_parts(exchange.pack_counts(n[at]), of[at].tobytes()))
+        return pa.table([asked["bucket"], asked["chunk"], pa.array(bodies, pa.binary())], [n.split()[0] for n in MESSAGES.split(", ")])
+
+    asked = encoded.select("chunk", "words").mapInArrow(ask, MESSAGES)
+    bucket = F.shiftrightunsigned("word", 64 - bits).cast("int")
+    parts = vocabulary.select(bucket.alias("bucket"), "word", "n", "class")
+    return asked.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(serve, MESSAGES)
+
+
+def _unpack_known(bodies: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and classes of the ``n`` words of a chunk, from the answers in the order of buckets."""
+    parts = [exchange.split_parts(body, 2) for body in bodies]
+    if not parts:
+        return np.zeros(n), np.full(n, RARE)
+    counts = np.concatenate([exchange.unpack_counts(c) for c, _ in parts])
+    return counts.astype(float), np.frombuffer(b"".join(c for _, c in parts), np.uint8).astype(np.int64)
+
+
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -352,50 +424,36 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, rounds: int = ROUNDS,
         sizes[row[0]] = row[1]
     sizes[END] = end_count
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, body in zip(batch["chunk"].to_pylist(), batch["words"].to_pylist(), strict=True):
-                known = np.frombuffer(body, np.int64)
-                columns = [pa.array([chunk] * len(known), pa.int64()), pa.array(known), pa.array(np.arange(len(known)))]
-                yield pa.record_batch(columns, ["chunk", "word", "place"])
-
-    asked = encoded.select("chunk", "words").mapInArrow(ask, "chunk bigint, word bigint, place bigint")
-    # The words of a chunk come back in any order, each with its place; both lists take the rows in the same order.
-    known = asked.join(vocabulary, "word").select("chunk", "n", (F.col("place") * 128 + F.col("class")).alias("code"))
-    known = known.groupBy("chunk").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts"))
+    known = _known_words(encoded, vocabulary)
     model = spark.sparkContext.broadcast((step, sizes))
     base_total = total + 0.5 * (size + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         step, sizes = model.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                row = {name: one[name][0].as_py() for name in one.schema.names if name not in ("codes", "counts")}
-                c = _Chunk(row)
-                n, of = np.zeros(len(c.words)), np.full(len(c.words), RARE)
-                if len(c.words):
-                    codes = one["codes"].flatten().to_numpy()
-                    n[codes >> 7], of[codes >> 7] = one["counts"].flatten().to_numpy(), codes & 127
-                n_of = c.with_ends(n, end_count)
-                before, here = _pairs(c.with_ends(of, END))
-                base = (n_of + 0.5) / base_total
-                emission = np.where(n_of > 0, n_of / np.maximum(sizes[here], 1), 0)
-                chance = share * step[before, here] * emission + (1 - share) * base
-                docs_ = len(c.sizes)
-                yield pa.record_batch(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(c.held),
-                        pa.array(c.sizes + 1),
-                        pa.array(np.bincount(c.doc[n_of > 0], minlength=docs_)),
-                        pa.array(np.bincount(c.doc, np.log10(base), docs_)),
-                        pa.array(np.bincount(c.doc, np.log10(chance), docs_)),
-                    ],
-                    [name.split()[0] for name in SCORES.split(", ")],
-                )
-
-    scored = encoded.join(known, "chunk", "left").mapInArrow(score, SCORES)
+        row = {name: chunk[name][0].as_py() for name in chunk.schema.names}
+        c = _Chunk(row)
+        n, of = _unpack_known(answers.sort_by("bucket")["body"].to_pylist(), len(c.words))
+        n_of = c.with_ends(n, end_count)
+        before, here = _pairs(c.with_ends(of, END))
+        base = (n_of + 0.5) / base_total
+        emission = np.where(n_of > 0, n_of / np.maximum(sizes[here], 1), 0)
+        chance = share * step[before, here] * emission + (1 - share) * base
+        docs_ = len(c.sizes)
+        return pa.table(
+            [
+                pa.array(row["doc_ids"], pa.int64()),
+                pa.array(c.held),
+                pa.array(c.sizes + 1),
+                pa.array(np.bincount(c.doc[n_of > 0], minlength=docs_)),
+                pa.array(np.bincount(c.doc, np.log10(base), docs_)),
+                pa.array(np.bincount(c.doc, np.log10(chance), docs_)),
+            ],
+            [name.split()[0] for name in SCORES.split(", ")],
+        )
+
+    # The words themselves stay behind: their answers come in their order.
+    texts = encoded.select("chunk", "doc_ids", "held", "sizes", "tokens", (F.octet_length("words") / 8).cast("int").alias("n_words"))
+    scored = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, SCORES)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )
