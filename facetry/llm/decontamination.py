@@ -5,6 +5,12 @@ many documents it stands in. Where a document has seeds of an item on nearby dia
 is aligned with the item by Smith-Waterman (match 2, mismatch and gap -1), all passages of a batch at once. A
 document is contaminated by an item from a score of ``LEAST_SCORE`` times the score of the whole item on.
 
+An edited copy may keep no three words in a row. Then each two matches cost at least one, and a score of half the
+item's or more needs two thirds of its words. So of the rarer half of an item's words (by the items that have them)
+a sixth of the item at least is matched, all within as many diagonals as the item has words: such bands of single
+words are the second kind of seeds, for items of ``LEAST_WORDS`` and more, and no passage that scores enough is without
+a seed of either kind. (With another ``least`` the same holds for what that score needs.)
+
 Common sequences make many passages that share little else with the item. These are told by a bound before they
 are aligned: a word of the item that the passage has not anywhere costs at least one, all others bring two at
 most, so no score is above that of the best run of the item's words. The bound looks words up in a table of hash
@@ -36,6 +42,8 @@ from facetry.llm.words import U64, Words, cut, shingles
 
 SEED_WORDS = 3
 LEAST_SCORE = 0.5
+#: Words of an item from which on single words are seeds: a few words may be anywhere.
+LEAST_WORDS = 8
 PART_BYTES = 8_000_000
 MATCH, OTHER = 2, -1
 _CELLS = 50_000
@@ -58,6 +66,11 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     sieve: np.ndarray
+    rare: Items | None = None
+
+    @property
+    def length(self) -> np.ndarray:
+        return np.array([len(w) for w in self.words], np.int64)
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where ``hashes`` are seeds: their places, and the first row of each in ``seeds``."""
@@ -69,17 +82,44 @@ class Items:
 
 
 def _items(rows: list[Row]) -> Items:
+    """The items with their seeds of both kinds."""
+    found = _with_seeds(rows)
+    found.rare = _rarer_half(found)
+    return found
+
+
+def _rarer_half(items: Items) -> Items:
+    """The same items with the rarer half of their places, one more than half of the words, as seeds."""
+    length = items.length
+    item = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(item)) - np.repeat(items.first[: len(length)], length)
+    # How many items have each word.
+    pairs = np.unique(np.stack([items.flat, item.astype(np.uint64)]), axis=1) if len(item) else np.zeros((2, 0), np.uint64)
+    known, number = np.unique(pairs[0], return_counts=True)
+    often = number[np.searchsorted(known, items.flat)] if len(item) else item
+    order = np.lexsort((place, often, item))
+    nth = np.empty(len(order), np.int64)
+    nth[order] = np.arange(len(order)) - np.repeat(items.first[: len(length)], length)
+    kept = (nth < length[item] // 2 + 1) & (length[item] >= LEAST_WORDS)
+    return _seeded(items.ids, items.words, items.flat, items.first, items.flat[kept], item[kept], place[kept])
+
+
+def _with_seeds(rows: list[Row]) -> Items:
     texts = pa.array([r["text"] or "" for r in rows], pa.string())
     words = cut(texts, lower=True, punctuation=False)
     first = words.first
     hashes, item = shingles(words, SEED_WORDS)
     place = np.arange(len(item)) - np.searchsorted(item, np.arange(len(rows)))[item] if len(item) else item
+    cuts = [words.hash[first[i] : first[i + 1]] for i in range(len(rows))]
+    return _seeded([r["item_id"] for r in rows], cuts, words.hash, first, hashes, item, place)
+
+
+def _seeded(ids: list, words: list, flat: np.ndarray, first: np.ndarray, hashes: np.ndarray, item: np.ndarray, place: np.ndarray) -> Items:
     order = np.argsort(hashes, kind="stable")
     size = 2 ** max(10, math.ceil(math.log2(16 * max(1, len(hashes)))))
     sieve = np.zeros(size, bool)
     sieve[(hashes & U64(size - 1)).astype(np.int64)] = True
-    cuts = [words.hash[first[i] : first[i + 1]] for i in range(len(rows))]
-    return Items([r["item_id"] for r in rows], cuts, words.hash, first, hashes[order], item[order], place[order], sieve)
+    return Items(ids, words, flat, first, hashes[order], item[order], place[order], sieve)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +147,8 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def _runs(rows: np.ndarray, slack: np.ndarray) -> np.ndarray:
-    """Rows (text, item, least and greatest diagonal) of one text and item joined where gaps are within the slack."""
-    text, item, low, high = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+    """Rows (text, item, least and greatest diagonal, seeds) of one text and item joined where gaps are within the slack."""
+    text, item, low, high, seeds = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
     # The greatest diagonal so far of the same text and item: groups are lifted above all before them.
@@ -117,13 +157,33 @@ def _runs(rows: np.ndarray, slack: np.ndarray) -> np.ndarray:
     reached = np.maximum.accumulate(high + lift) - lift
     new[1:] |= low[1:] - reached[:-1] > slack[item[1:]]
     a = np.flatnonzero(new)
-    return np.stack([text[a], item[a], low[a], np.maximum.reduceat(high, a)])
+    return np.stack([text[a], item[a], low[a], np.maximum.reduceat(high, a), np.add.reduceat(seeds, a)])
+
 
+def _least_seeds(length: np.ndarray, least: float) -> np.ndarray:
+    """How many of the rarer half of an item's words a passage without three words in a row of it has, to score enough.
 
-def _passages(items: Items, words: Words) -> Iterator[np.ndarray]:
+    With m matches in rows of two at most, there are m / 2 - 1 others between them at least: 2 m - (m / 2 - 1) is the
+    greatest score.
+    """
+    matches = np.ceil((2 * least * length - 1) / 1.5 - 1e-9)
+    return np.maximum(1, length // 2 + 1 - (length - matches)).astype(np.int64)
+
+
+def _passages(items: Items, words: Words, least: float) -> Iterator[np.ndarray]:
     """Columns (text, item, from, to), for some texts at a time: passages around seeds of one item on nearby diagonals."""
-    first = words.first
+    length = items.length
     hashes, text = shingles(words, SEED_WORDS)
+    # All gaps of an alignment that scores enough are together no more than the item's words.
+    yield from _around(items, words, hashes, text, length, np.ones(len(length), np.int64))
+    yield from _around(items.rare, words, words.hash, words.text, length, _least_seeds(length, least))
+
+
+def _around(
+    items: Items, words: Words, hashes: np.ndarray, text: np.ndarray, slack: np.ndarray, least: np.ndarray
+) -> Iterator[np.ndarray]:
+    """Passages around runs of ``least`` seeds at least, of which neighbours lie within ``slack`` diagonals."""
+    first = words.first
     at, row = items.hits(hashes)
     if not len(at):
         return
@@ -132,8 +192,7 @@ def _passages(items: Items, words: Words) -> Iterator[np.ndarray]:
     at = at - begin[text]
     copies = np.searchsorted(items.seeds, items.seeds[row], "right") - row
     ends = np.cumsum(copies)
-    length = np.array([len(w) for w in items.words])
-    slack = 4 + length // 4
+    length = items.length
     done, h = 0, 0
     while h < len(at):
         # Whole texts up to the limit, and one at least; a text beyond it is laid out part by part.
@@ -146,10 +205,13 @@ def _passages(items: Items, words: Words) -> Iterator[np.ndarray]:
             hit = np.searchsorted(ends, nth, "right")
             seed = row[hit] + nth - (ends[hit] - copies[hit])
             diagonal = at[hit] - items.place[seed]
-            parts.append(_runs(np.stack([text[hit], items.item[seed], diagonal, diagonal]), slack))
-        of, item, low, high = parts[0] if len(parts) == 1 else _runs(np.concatenate(parts, axis=1), slack)
+            one = np.ones(len(nth), np.int64)
+            parts.append(_runs(np.stack([text[hit], items.item[seed], diagonal, diagonal, one]), slack))
+        runs = parts[0] if len(parts) == 1 else _runs(np.concatenate(parts, axis=1), slack)
+        of, item, low, high, _ = runs[:, runs[4] >= least[runs[1]]]
         from_ = np.maximum(0, low - slack[item])
-        yield np.stack([of, item, from_, np.minimum(np.diff(first)[of], high + length[item] + slack[item])])
+        if len(of):
+            yield np.stack([of, item, from_, np.minimum(np.diff(first)[of], high + length[item] + slack[item])])
         done, h = int(ends[to - 1]), to
 
 
@@ -162,7 +224,7 @@ def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _hopeful(items: Items, words: Words, passages: np.ndarray, least: float) -> np.ndarray:
     """The columns of ``passages``, in order of size, whose words allow a score of ``least``."""
     first = words.first
-    length = np.array([len(w) for w in items.words])
+    length = items.length
     passages = passages[:, np.lexsort((passages[3] - passages[2], length[passages[1]]))]
     text, item, from_, to = passages
     width = to - from_
@@ -195,7 +257,7 @@ def _matches(items: Items, column: pa.Array, least: float) -> list[tuple[int, in
     """(text, item, score, start, end) of every passage that scores enough."""
     words = cut(column, lower=True, punctuation=False)
     out = []
-    for passages in _passages(items, words):
+    for passages in _passages(items, words, least):
         out += _aligned(items, words, _hopeful(items, words, passages, least).T.tolist(), least)
     return out
 

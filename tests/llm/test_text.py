@@ -264,7 +264,7 @@ def test_all_that_aligns_is_found_in_parts_of_any_size(monkeypatch):
     items = decontamination._items([{"item_id": k, "text": t} for k, t in enumerate(texts[0])])
     column = pa.array(texts[1])
     words = decontamination.cut(column, lower=True, punctuation=False)
-    passages = np.concatenate(list(decontamination._passages(items, words)), axis=1)
+    passages = np.concatenate(list(decontamination._passages(items, words, 0.5)), axis=1)
     expected = set(decontamination._aligned(items, words, passages.T.tolist(), 0.5))
     assert len(expected) > 20
     for places, bits in ((500_000, 8_000_000), (50, 1000), (1, 1)):
@@ -273,6 +273,47 @@ def test_all_that_aligns_is_found_in_parts_of_any_size(monkeypatch):
         assert set(decontamination._matches(items, column, 0.5)) == expected
 
 
+def best_local(a, b):
+    """Smith-Waterman by the definition: match 2, all else -1."""
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(max(0, row[j - 1] + (2 if x == y else -1), row[j] - 1, new[-1] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+def edited_copy(r, words, every):
+    out = []
+    for j, w in enumerate(words):
+        out += r.choice(([w, "inserted"], ["replaced"], [])) if j % every == every - 1 else [w]
+    return out
+
+
+def test_contaminated_documents_are_all_that_align(spark):
+    """Every document with every item, aligned in full: edits at every second to fifth word, and clean documents."""
+    r = random.Random(21)
+    items = [prose(600 + k, r.randint(8, 40)).split() for k in range(12)]
+    texts = []
+    for k in range(60):
+        copy = edited_copy(r, items[k % 12], 2 + k % 4)
+        texts.append(" ".join([prose(700 + k, r.randint(0, 30)), *copy, prose(800 + k, r.randint(0, 30))]))
+    texts.append(" ".join(" ".join((w, f"between{j}")) for j, w in enumerate(items[0])))  # a word after each word
+    texts.append(" ".join(w if j % 3 else f"other{j}" for j, w in enumerate(items[1])))  # every third word replaced
+    texts += [prose(900 + k, 200) for k in range(10)]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    found = {(x["doc_id"], x["item_id"]): x["score"] for x in contaminated(documents(spark, texts), benchmark).collect()}
+    expected = {}
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            score = best_local(item, words(text)) / (2 * len(item))
+            if score >= 0.5:
+                expected[d, k] = score
+    assert len(expected) > 40 and (60, 0) in expected and (61, 1) in expected
+    assert found == pytest.approx(expected)
+
+
 def test_a_benchmark_in_parts(spark, monkeypatch):
     items = [prose(200 + n, 20) for n in range(8)]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
