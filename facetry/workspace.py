@@ -6,11 +6,12 @@ lost executor never takes an intermediate table with it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from facetry.errors import FacetryError
 
@@ -35,3 +36,17 @@ def _local_root(application: str) -> str:
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path in the shared folder that no other job uses."""
     return f"{shared_root(spark)}/facetry/{purpose}-{uuid.uuid4().hex}"
+
+
+def discard(df: DataFrame) -> int:
+    """Delete the tables of the shared folder that ``df`` reads; returns how many there were.
+
+    Only what ``new_folder`` named is deleted, never a table of the user. The frame cannot be read afterwards.
+    """
+    spark = df.sparkSession
+    names = re.compile(rf"(.*{re.escape(shared_root(spark).split(':')[-1])}/facetry/[^/]+-[0-9a-f]{{32}})/")
+    folders = {found[1] for found in map(names.match, df.inputFiles()) if found}
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)

@@ -37,7 +37,7 @@ from facetry.sources.metadata import (
 from facetry.sources.sketches import build_sketches, distinct_from_sketches
 from facetry.streaming.counts import count_arrivals
 from facetry.streaming.histograms import stream_histogram
-from facetry.workspace import CHECKPOINT_DIR, new_folder, shared_root
+from facetry.workspace import CHECKPOINT_DIR, discard, new_folder, shared_root
 from pyspark.sql import functions as F
 
 
@@ -360,6 +360,17 @@ def test_what_is_no_object_is_an_error(spark, tmp_path, text):
         read_glossary(spark, str(path)).collect()
 
 
+def test_only_own_tables_are_discarded(spark, tmp_path):
+    own = str(tmp_path / "own")
+    spark.range(5).write.parquet(own)
+    first, second = materialise(spark.range(3)), materialise(spark.range(4))
+    assert discard(first.unionAll(spark.read.parquet(own))) == 1
+    assert second.count() == 4 and spark.read.parquet(own).count() == 5
+    assert discard(second) == 1 and discard(spark.range(3)) == 0
+    with pytest.raises(Exception):
+        first.count()
+
+
 def test_sketches_of_slices_merge(spark):
     rows = spark.range(20_000).select(
         F.when(F.col("id") < 15_000, "hot").otherwise("cold").alias("p"),
