@@ -146,6 +146,13 @@ class Coder:
             cls._of[key] = cls(ranks, pattern)
         return cls._of[key]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Give back the memory of all coders of this worker; the next task makes its own."""
+        for coder in cls._of.values():
+            coder.db.close()
+        cls._of.clear()
+
     def learn(self, pieces: Iterable[str]) -> None:
         """Have all these pieces among the known ones, encoding those that are new."""
         if len(self.known) > _REMEMBERED:
@@ -207,11 +214,14 @@ class Coder:
         return b"".join(ids), b"".join(decoded)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False) -> DataFrame:
+def encode_decode(
+    docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, remember: bool = True
+) -> DataFrame:
     """Encode every text and decode its ids again.
 
     Returns doc_id, n_tokens, ids and decoded, or with ``digest`` the SHA-256 of the ids and of the decoded bytes.
-    ``ranks_path`` is read by the driver; the vocabulary, of fixed size, is broadcast.
+    ``ranks_path`` is read by the driver; the vocabulary, of fixed size, is broadcast. With ``remember`` a worker keeps
+    the pieces it knows from one task to the next, some 200 MB; without, it makes room for the jobs that follow.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     key = hashlib.sha256(f"{ranks_path}\n{pattern}\n{len(ranks.value)}".encode()).hexdigest()
@@ -232,6 +242,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool =
                     [part["doc_id"], pa.array(counts, pa.int64()), pa.array(ids, kinds[0]), pa.array(decoded, kinds[1])],
                     [name.split()[0] for name in (DIGEST if digest else SCHEMA).split(", ")],
                 )
+        if not remember:
+            del coder
+            Coder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(code, DIGEST if digest else SCHEMA)
