@@ -58,7 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text of every document."""
-    return encode_decode(docs, RANKS, public_tokenizers.PATTERN)
+    return encode_decode(docs, RANKS, public_tokenizers.PATTERN, remember=False)
 
 
 STAGES = [
