@@ -4,6 +4,10 @@ Every word of a query stands inside one piece of a text without white space, so
 lists, for each triple, the addresses of the rows that have it, in the order of the triples, so a search reads the row
 groups of a few of them: the rarest, whose lists are shortest.  Rows on all these lists are read by their address and
 tested as ever; the others cannot hold the words.
+
+A list has one entry for each block of 64 rows of a file, with a bit for each row.  Tasks that read texts put the bits of
+a block together before anything is shuffled, so a triple that most rows have sends one entry for 64 of them, and one that
+few rows have never more than one for each.
 """
 
 from __future__ import annotations
@@ -16,26 +20,31 @@ from pyspark.sql import functions as F
 from facetry.errors import FacetryError
 from facetry.functions.missing import column
 from facetry.functions.text import has_words, words_of
-from facetry.operators.addresses import FILE, MOST_ADDRESSES, NUMBER, at_addresses, with_address
+from facetry.operators.addresses import FILE, MOST_ADDRESSES, NUMBER, PLACE, at_addresses, with_address
 
 LETTERS = 3
 #: Lists that a search reads at most.
 MOST_LISTS = 4
 ROW_GROUP_BYTES = 4 * 2**20
 
+BLOCK, BITS = "_block", "_bits"
+BLOCK_ROWS = 64
+#: Each place with two more letters behind it; one letter at a time is passed.
+TRIPLES = r"(?=(\S\S\S))\S"
+
 
 def _triples(text: Column) -> Column:
     """The different triples of letters inside the pieces of a text, in lower case."""
-    pieces = F.array_distinct(F.split(F.lower(text), r"\s+"))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TRIPLES), F.lit(1)))
+
+
+def _block() -> Column:
+    return F.floor(F.col(NUMBER) / BLOCK_ROWS)
 
-    def of_piece(piece: Column) -> Column:
-        letters = F.split(piece, "")
-        second, third = (F.slice(letters, first, 2**30).alias(name) for first, name in ((2, "b"), (3, "c")))
-        triples = F.arrays_zip(letters.alias("a"), second, third)
-        # Past the end the others are NULL, and so is what they are joined to.
-        return F.array_compact(F.transform(triples, lambda t: F.concat(t["a"], t["b"], t["c"])))
 
-    return F.array_distinct(F.flatten(F.transform(F.filter(pieces, lambda p: F.length(p) >= LETTERS), of_piece)))
+def _bit() -> Column:
+    """The bit of a row among those of its block."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(NUMBER) % BLOCK_ROWS).cast("int"))
 
 
 def triples_of(query: str) -> set[str]:
@@ -49,49 +58,72 @@ class TextIndex:
 
     lists: DataFrame
     sizes: DataFrame
+    files: DataFrame
     name: str
 
+    def _shortest(self, triples: set[str]) -> tuple[DataFrame, int, int]:
+        """Blocks with rows on all of the shortest lists; how many rows and how many blocks these are at most."""
+        # One row for each triple of the query.
+        found = self.sizes.where(F.col("triple").isin(list(triples))).collect()
+        sizes = {r["triple"]: (r["n"], r["blocks"]) for r in found}
+        rarest = sorted(triples, key=lambda t: (sizes.get(t, (0, 0)), t))[:MOST_LISTS]
+        entries = self.lists.where(F.col("triple").isin(rarest)).groupBy(PLACE, BLOCK)
+        blocks = entries.agg(F.count("*").alias("n"), F.bit_and(BITS).alias(BITS))
+        shared = blocks.where((F.col("n") == len(rarest)) & (F.col(BITS) != 0)).drop("n")
+        return shared, *map(min, zip(*(sizes.get(t, (0, 0)) for t in rarest), strict=True))
+
+    def _addresses(self, blocks: DataFrame) -> DataFrame:
+        rows = F.explode(F.sequence(F.lit(0), F.lit(BLOCK_ROWS - 1)).cast("array<long>"))
+        numbered = blocks.select(PLACE, BITS, BLOCK, rows.alias("at")).withColumn(NUMBER, F.col(BLOCK) * BLOCK_ROWS + F.col("at"))
+        return numbered.where(F.col(BITS).bitwiseAND(_bit()) != 0).join(self.files, PLACE).select(FILE, NUMBER)
+
     def candidates(self, triples: set[str]) -> tuple[DataFrame, int] | None:
         """Addresses of the rows on the shortest lists, and how many there are at most; nothing without any list."""
         if not triples:
             return None
-        # One row for each triple of the query.
-        sizes = {r["triple"]: r["n"] for r in self.sizes.where(F.col("triple").isin(list(triples))).collect()}
-        rarest = sorted(triples, key=lambda t: (sizes.get(t, 0), t))[:MOST_LISTS]
-        found = self.lists.where(F.col("triple").isin(rarest)).groupBy(FILE, NUMBER).agg(F.count("*").alias("n"))
-        return found.where(F.col("n") == len(rarest)).select(FILE, NUMBER), sizes.get(rarest[0], 0)
+        blocks, most, _ = self._shortest(triples)
+        return self._addresses(blocks), most
 
     def search(self, df: DataFrame, query: str) -> DataFrame:
         """Rows of ``df`` whose text holds all words of the query; ``df`` has rows of the table that is indexed."""
         test = has_words(column(self.name), query)
-        addressed, found = with_address(df), self.candidates(triples_of(query))
-        if found is None or addressed is None:
+        addressed, triples = with_address(df), triples_of(query)
+        if not triples or addressed is None:
             return df.where(test)
-        addresses, most = found
+        blocks, most, most_blocks = self._shortest(triples)
         if most <= MOST_ADDRESSES:
-            rows = at_addresses(addressed, addresses.toArrow())
+            rows = at_addresses(addressed, self._addresses(blocks).toArrow()).where(test)
         else:
-            rows = addressed.join(addresses, [FILE, NUMBER], "left_semi")
-        return rows.where(test).select(*map(column, df.columns))
+            # The bits and the test are one condition, so rows that are on no list are not tested.
+            same_block = (addressed[PLACE] == blocks[PLACE]) & (_block() == F.col(BLOCK))
+            held = F.when(F.col(BITS).bitwiseAND(_bit()) != 0, test)
+            blocks = F.broadcast(blocks) if most_blocks <= MOST_ADDRESSES else blocks
+            rows = addressed.join(blocks, same_block & held, "left_semi")
+        return rows.select(*map(column, df.columns))
 
 
 def build_text_index(df: DataFrame, name: str, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Write the index of a text column.
 
-    A triple that most rows have is dealt over many tasks, as lists are cut by address too. A row sends each of its
-    triples once.
+    Texts are read once: the ranges of the order are found from the entries of the lists, not from the texts.  A triple
+    that most rows have is dealt over many tasks, as lists are cut by address too.  Files are named by a number; should
+    two have the same, their rows are on each other's lists, which the test of a search sorts out.
     """
     addressed = with_address(df)
     if addressed is None:
         raise FacetryError("an index needs the rows of files")
-    rows = addressed.select(F.explode(_triples(column(name))).alias("triple"), FILE, NUMBER)
-    order = ["triple", FILE, NUMBER]
+    rows = addressed.select(F.explode(_triples(column(name))).alias("triple"), PLACE, _block().alias(BLOCK), _bit().alias(BITS))
+    order = ["triple", PLACE, BLOCK]
+    entries = rows.groupBy(*order).agg(F.bit_or(BITS).alias(BITS))
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    lists = entries.repartitionByRange(count, *order).sortWithinPartitions(*order)
     lists.write.option("parquet.block.size", row_group_bytes).parquet(f"{path}/lists")
     written = df.sparkSession.read.parquet(f"{path}/lists")
-    written.groupBy("triple").agg(F.count("*").alias("n")).write.parquet(f"{path}/sizes")
+    sizes = written.groupBy("triple").agg(F.sum(F.bit_count(BITS)).alias("n"), F.count("*").alias("blocks"))
+    sizes.write.parquet(f"{path}/sizes")
+    addressed.select(PLACE, FILE).distinct().write.parquet(f"{path}/files")
 
 
 def open_text_index(spark: SparkSession, path: str, name: str) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/sizes"), name)
+    lists, sizes, files = (spark.read.parquet(f"{path}/{part}") for part in ("lists", "sizes", "files"))
+    return TextIndex(lists, sizes, files, name)

@@ -1,6 +1,7 @@
 """Rows found by address, and layouts that let the reader leave out most of a table."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -237,3 +238,61 @@ def test_an_indexed_search_tests_few_rows(texts, monkeypatch):
     assert index.search(table, word).count() == hits
     with pytest.raises(FacetryError):
         build_text_index(table.groupBy("t").count(), "t", "nowhere")
+
+
+def test_an_index_lists_blocks_of_rows(texts):
+    """One entry for the rows of a block that have a triple, however many these are."""
+    table, index, _ = texts
+    listed, pairs = {}, 0
+    for row in with_address(table).where("t is not null").collect():
+        pieces = re.split(r"[ \t\n\x0b\f\r]+", row["t"].lower())
+        triples = {piece[i : i + 3] for piece in pieces for i in range(len(piece) - 2)}
+        pairs += len(triples)
+        for triple in triples:
+            key = (triple, row["_place"], row["_number"] // 64)
+            listed[key] = listed.get(key, 0) | 1 << row["_number"] % 64
+    entries = {(e["triple"], e["_place"], e["_block"]): e["_bits"] % 2**64 for e in index.lists.collect()}
+    assert entries == listed and index.lists.count() == len(listed) < pairs / 4
+    sizes = {s["triple"]: (s["n"], s["blocks"]) for s in index.sizes.collect()}
+    assert sum(n for n, _ in sizes.values()) == pairs and sum(b for _, b in sizes.values()) == len(listed)
+
+
+def test_an_index_reads_its_texts_once(spark, texts, tmp_path):
+    table, _, _ = texts
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    build_text_index(table.select("id", seen("t").alias("t")), "t", str(tmp_path / "index"))
+    assert read.value == table.count()
+
+
+@pytest.mark.parametrize("most", [0, 40])
+def test_long_lists_are_joined_by_their_blocks(texts, monkeypatch, most):
+    table, index, words = texts
+    r = random.Random(10)
+    monkeypatch.setattr(textindex, "MOST_ADDRESSES", most)  # 40: more than the blocks of the table, fewer than rows
+    for query in [w for w in words if len(w) > 4 and " " not in w][:3] + [" ".join(r.choices(words, k=2)) for _ in range(4)]:
+        expected = sorted(x["id"] for x in table.where(has_words(F.col("t"), query)).collect())
+        assert sorted(x["id"] for x in index.search(table, query).collect()) == expected
+
+
+def test_rows_that_are_on_no_list_are_not_tested(texts, monkeypatch):
+    table, index, words = texts
+    monkeypatch.setattr(textindex, "MOST_ADDRESSES", 0)
+    found = index.search(table, next(w for w in words if len(w) > 4 and " " not in w))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    tests = [line for line in plan.splitlines() if "Contains(" in line]
+    assert len(tests) == 1 and "Join LeftSemi" in tests[0]
+
+
+def test_triples_of_odd_texts(spark):
+    cases = ["", "ab", "abc", " abc ", "ab\x0bcde\x0cfg", "a b c de", "x\U0001d4b3y\U0001f600z \U0001f600\U0001f601", "\U0001f600\U0001f601\U0001f602\U0001f603"]
+    cases += ["ÀÉÎõ", "aaaaa", "a\x00bc", "éte", "abc\r\nabc ABC", "x" * 70_000]
+    rows = spark.createDataFrame(list(enumerate(cases)), "id int, t string").select("id", textindex._triples(F.col("t")).alias("found"))
+    for row in rows.collect():
+        pieces = re.split(r"[ \t\n\x0b\f\r]+", cases[row["id"]].lower())
+        assert sorted(row["found"]) == sorted({p[i : i + 3] for p in pieces for i in range(len(p) - 2)})
